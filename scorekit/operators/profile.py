@@ -21,21 +21,29 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFra
     """``column, count, mean, stddev, min, max`` as numbers, one row per column, from a single aggregate."""
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
-    facts: list[Column] = []
+    facts = []
     for i, name in enumerate(columns):
-        c = F.col(name).cast("double")
+        text, c = _literal(name), f"cast({_quoted(name)} as double)"
         facts.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                F.count(c).alias("count"),
-                F.avg(c).alias("mean"),
-                F.stddev_samp(c).alias("stddev"),
-                F.min(c).alias("min"),
-                F.max(c).alias("max"),
+            F.expr(
+                f"named_struct('column', {text}, 'count', count({c}), 'mean', avg({c}), 'stddev', stddev_samp({c}), "
+                f"'min', min({c}), 'max', max({c}))"
             ).alias(f"_{i}")
         )
-    wide = df.agg(*facts)
-    return wide.select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(columns))])))
+    return _rows(df.agg(*facts), len(columns))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _rows(wide: DataFrame, n: int) -> DataFrame:
+    """One row per struct column ``_0`` to ``_<n-1>`` of a single-row frame."""
+    return wide.select(F.inline(F.array(*[f"_{i}" for i in range(n)])))
 
 
 def head_rows(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
@@ -53,11 +61,10 @@ def schema_listing(df: DataFrame) -> DataFrame:
 def schema_profile(df: DataFrame) -> DataFrame:
     """The schema listing with the number of non-null values of each column, counted in one pass."""
     counts = [
-        F.struct(
-            F.lit(i).alias("position"), F.lit(name).alias("name"), F.lit(kind).alias("type"),
-            F.count(F.col(name)).alias("non_null"),
+        F.expr(
+            f"named_struct('position', {i}, 'name', {_literal(name)}, 'type', {_literal(kind)}, "
+            f"'non_null', count({_quoted(name)}))"
         ).alias(f"_{i}")
         for i, (name, kind) in enumerate(df.dtypes)
     ]
-    wide = df.agg(*counts)
-    return wide.select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(df.columns))])))
+    return _rows(df.agg(*counts), len(counts))

@@ -55,8 +55,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def users_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return user_table(spark, sf_dir)
+def _group_users(spark: SparkSession, sf_dir: str, spec: GroupSpec) -> DataFrame:
+    """The columns of the user table that a group reads, with key and labels."""
+    return user_table(spark, sf_dir, [USER_KEY, TRAINING_LABEL, SCORING_LABEL, *raw_columns(spec)])
 
 
 # --- sources and sinks ---------------------------------------------------------------------------------------
@@ -96,7 +97,7 @@ _KNOWN = {*raw_columns(*GROUPS.values()), TRAINING_LABEL, SCORING_LABEL, "ord_ca
 @query("csv_scan_training", f"SELECT {_contract_sql(TRAINING_COLUMNS, _KNOWN)} FROM users")
 def csv_scan_training(spark, sf_dir):
     path = new_path(spark, "training-csv")
-    sinks.write_csv(training_table(users_of(spark, sf_dir)), path)
+    sinks.write_csv(training_table(user_table(spark, sf_dir)), path)
     text = readers.read_training_text(spark, path)
     return text.select(*[C.to_double(n).alias(n) for n in text.columns])
 
@@ -104,7 +105,7 @@ def csv_scan_training(spark, sf_dir):
 @query("csv_scan_double", f"SELECT {_contract_sql(SCORING_COLUMNS, _KNOWN)} FROM users")
 def csv_scan_double(spark, sf_dir):
     path = new_path(spark, "scoring-csv")
-    sinks.write_csv(scoring_table(users_of(spark, sf_dir)), path)
+    sinks.write_csv(scoring_table(user_table(spark, sf_dir)), path)
     return readers.read_scoring(spark, path)
 
 
@@ -112,7 +113,7 @@ def csv_scan_double(spark, sf_dir):
 SELECT uid_uid::DOUBLE AS "ID", uid_uid::VARCHAR AS uid_uid, {_contract_sql(SCORING_COLUMNS, _KNOWN)} FROM users""")
 def csv_scan_keyed(spark, sf_dir):
     path = new_path(spark, "scoring-csv")
-    sinks.write_csv(scoring_table(users_of(spark, sf_dir), keyed=True), path)
+    sinks.write_csv(scoring_table(user_table(spark, sf_dir), keyed=True), path)
     return readers.read_scoring_keyed(spark, path)
 
 
@@ -156,7 +157,7 @@ _EXPLORE = ["uid_age", "voi_comment_count", "uid_dealorders", "ord_cancel_trn_or
 
 @query("select_columns", f"SELECT {', '.join(_EXPLORE)} FROM users")
 def select_columns(spark, sf_dir):
-    return users_of(spark, sf_dir).select(*_EXPLORE)
+    return user_table(spark, sf_dir, _EXPLORE)
 
 
 @query("drop_column", """
@@ -164,7 +165,7 @@ SELECT com_passenger_count::DOUBLE AS com_passenger_count, com_idno_count::DOUBL
        com_mobile_count::DOUBLE AS com_mobile_count,
        ord_success_order_cmobile_count::DOUBLE AS ord_success_order_cmobile_count FROM users""")
 def drop_column(spark, sf_dir):
-    return group_features(users_of(spark, sf_dir), GROUPS["relation"], True).drop(TRAINING_LABEL)
+    return group_features(_group_users(spark, sf_dir, GROUPS["relation"]), GROUPS["relation"], True).drop(TRAINING_LABEL)
 
 
 @query("cast_double", """
@@ -184,7 +185,7 @@ _GAPPY = ["ord_success_flt_order_amount", "ord_success_htl_order_refund_ratio",
 
 @query("fill_numeric", f"SELECT uid_uid, {', '.join(f'coalesce({c}, -1) AS {c}' for c in _GAPPY)} FROM users")
 def fill_numeric(spark, sf_dir):
-    return C.fill_numeric(users_of(spark, sf_dir).select(USER_KEY, *_GAPPY), -1.0)
+    return C.fill_numeric(user_table(spark, sf_dir, [USER_KEY, *_GAPPY]), -1.0)
 
 
 @query("ratio_default_one", """
@@ -193,7 +194,11 @@ SELECT uid_uid, coalesce(ord_success_flt_order_amount / nullif(ord_success_flt_o
        WHEN bil_payord_count > 0 THEN 'inf'::DOUBLE ELSE 1 END AS orders_per_flt
 FROM users""")
 def ratio_default_one(spark, sf_dir):
-    return users_of(spark, sf_dir).select(
+    users = user_table(
+        spark, sf_dir,
+        [USER_KEY, "ord_success_flt_order_count", "ord_success_flt_order_amount", "bil_payord_count"],
+    )
+    return users.select(
         USER_KEY,
         C.ratio_default_one("ord_success_flt_order_count", "ord_success_flt_order_amount").alias("flt_price"),
         C.ratio_default_one("ord_success_flt_order_count", "bil_payord_count").alias("orders_per_flt"),
@@ -206,7 +211,7 @@ SELECT uid_uid, uid_age // uid_age AS age2, uid_age + uid_age AS age3,
 def int_div_and_sum(spark, sf_dir):
     age2, age3 = C.int_div_and_sum("uid_age", "uid_age")
     per_grade, with_grade = C.int_div_and_sum("uid_age", "uid_grade")
-    return users_of(spark, sf_dir).select(
+    return user_table(spark, sf_dir, [USER_KEY, "uid_age", "uid_grade"]).select(
         USER_KEY, age2.alias("age2"), age3.alias("age3"), per_grade.alias("per_grade"), with_grade.alias("with_grade")
     )
 
@@ -238,7 +243,7 @@ def row_to_map(spark, sf_dir):
 
 @query("group_count", 'SELECT uid_age, count(*) AS "count" FROM users GROUP BY uid_age')
 def group_count(spark, sf_dir):
-    return profile.group_count(users_of(spark, sf_dir), "uid_age")
+    return profile.group_count(user_table(spark, sf_dir, ["uid_age"]), "uid_age")
 
 
 @query("count_rows", 'SELECT count(*) AS "count" FROM lineitem')
@@ -286,7 +291,7 @@ def _features_sql(spec: GroupSpec, training: bool, key: bool = True) -> str:
 
 @query("describe_numeric", _describe_sql(GROUPS["consuming"]))
 def describe_numeric(spark, sf_dir):
-    features = group_features(users_of(spark, sf_dir), GROUPS["consuming"], True).drop(TRAINING_LABEL)
+    features = group_features(_group_users(spark, sf_dir, GROUPS["consuming"]), GROUPS["consuming"], True).drop(TRAINING_LABEL)
     out = profile.describe_numeric(features)
     return out.select(
         "column", "count", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"),
@@ -315,7 +320,7 @@ def schema_listing(spark, sf_dir):
 def _register_features(name: str, group: str, training: bool) -> None:
     @query(name, _features_sql(GROUPS[group], training))
     def run(spark, sf_dir):
-        return group_features(users_of(spark, sf_dir), GROUPS[group], training, keep=(USER_KEY,))
+        return group_features(_group_users(spark, sf_dir, GROUPS[group]), GROUPS[group], training, keep=(USER_KEY,))
 
 
 _register_features("features_consuming_train", "consuming", True)
@@ -330,14 +335,14 @@ _register_features("features_interaction", "interaction", True)
     f"{f}::DOUBLE AS {f}" for f in GROUPS["relation"].features) + " FROM users")
 def assemble_labeled_query(spark, sf_dir):
     spec = GROUPS["relation"]
-    points = assemble_labeled(group_features(users_of(spark, sf_dir), spec, True), TRAINING_LABEL)
+    points = assemble_labeled(group_features(_group_users(spark, sf_dir, spec), spec, True), TRAINING_LABEL)
     return unpack(points, "features", list(spec.features), "label")
 
 
 @query("assemble_vector", _features_sql(GROUPS["interaction"], False, key=False))
 def assemble_vector_query(spark, sf_dir):
     spec = GROUPS["interaction"]
-    return unpack(assemble_vector(group_features(users_of(spark, sf_dir), spec, False)), "features", list(spec.features))
+    return unpack(assemble_vector(group_features(_group_users(spark, sf_dir, spec), spec, False)), "features", list(spec.features))
 
 
 @query("scaler_fit", f", features AS MATERIALIZED ({_features_sql(GROUPS['consuming'], True)}) " + " UNION ALL ".join(
@@ -345,7 +350,7 @@ def assemble_vector_query(spark, sf_dir):
     for f in GROUPS["consuming"].features))
 def scaler_fit(spark, sf_dir):
     spec = GROUPS["consuming"]
-    features = assemble(group_features(users_of(spark, sf_dir), spec, True), list(spec.features))
+    features = assemble(group_features(_group_users(spark, sf_dir, spec), spec, True), list(spec.features))
     out = scaler_summary(fit_scaler(features), features, list(spec.features))
     return out.select("feature", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
@@ -356,7 +361,7 @@ def scaler_fit(spark, sf_dir):
 def scaler_transform(spark, sf_dir):
     spec = GROUPS["financial"]
     names = list(spec.features)
-    features = assemble(group_features(users_of(spark, sf_dir), spec, False, keep=(USER_KEY,)), names)
+    features = assemble(group_features(_group_users(spark, sf_dir, spec), spec, False, keep=(USER_KEY,)), names)
     features = materialize(features.select(USER_KEY, "features"), "vectors")
     out = unpack(fit_scaler(features).transform(features), "scaled", names, USER_KEY)
     return out.select(USER_KEY, *[F.round(n, 6).alias(n) for n in names])
@@ -367,7 +372,7 @@ def scaler_transform(spark, sf_dir):
     for f in GROUPS["interaction"].features) + " FROM features")
 def minmax_transform(spark, sf_dir):
     names = list(GROUPS["interaction"].features)
-    features = materialize(group_features(users_of(spark, sf_dir), GROUPS["interaction"], False, keep=(USER_KEY,)), "features")
+    features = materialize(group_features(_group_users(spark, sf_dir, GROUPS["interaction"]), GROUPS["interaction"], False, keep=(USER_KEY,)), "features")
     _, scaled = min_max_scale(features, names)
     out = unpack(scaled, "scaled", names, USER_KEY)
     return out.select(USER_KEY, *[F.round(n, 6).alias(n) for n in names])
@@ -377,8 +382,7 @@ def minmax_transform(spark, sf_dir):
 
 def _group_table(spark: SparkSession, sf_dir: str, spec: GroupSpec) -> DataFrame:
     """The group's columns of the user table, with key and labels, written once for the passes of a fit."""
-    columns = [USER_KEY, TRAINING_LABEL, SCORING_LABEL, *raw_columns(spec)]
-    return materialize(users_of(spark, sf_dir).select(*columns), "group")
+    return materialize(_group_users(spark, sf_dir, spec), "group")
 
 
 def _train(users: DataFrame, spec: GroupSpec, **kw) -> GroupModel:
@@ -470,7 +474,7 @@ for _s in GROUPS.values():
 # --- evaluation on a stand-in prediction ---------------------------------------------------------------------
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return users_of(spark, sf_dir).select(
+    return user_table(spark, sf_dir, [USER_KEY, "pro_customervalue", TRAINING_LABEL]).select(
         USER_KEY, (F.col("pro_customervalue") / 500000.0).alias("score"), F.col(TRAINING_LABEL).cast("double").alias("label")
     )
 
@@ -597,7 +601,9 @@ _TOTAL_SQL = """(score_people * 0.3::DOUBLE + score_consuming * 0.25::DOUBLE + s
 
 def _stand_in_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = [compose.rescale_score(F.expr(e)).alias(n) for n, e in _STAND_INS.items()]
-    return users_of(spark, sf_dir).select(USER_KEY, SCORING_LABEL, *scores)
+    inputs = ["pro_customervalue", "bil_paysord_count", "bil_payord_count", "ord_success_max_order_amount",
+              "pro_htl_consuming_capacity", "uid_age"]
+    return user_table(spark, sf_dir, [USER_KEY, SCORING_LABEL, *inputs]).select(USER_KEY, SCORING_LABEL, *scores)
 
 
 @query("rescale_score", _PREDICTIONS_SQL + """
@@ -652,12 +658,12 @@ def positional_concat(spark, sf_dir):
 @query("score_with_label")
 def score_with_label(spark, sf_dir):
     """The total beside the known label, carried on the same row."""
-    return credit_score(users_of(spark, sf_dir), TRIAL, 5, (USER_KEY, SCORING_LABEL)).select(USER_KEY, "score_all", SCORING_LABEL)
+    return credit_score(user_table(spark, sf_dir), TRIAL, 5, (USER_KEY, SCORING_LABEL)).select(USER_KEY, "score_all", SCORING_LABEL)
 
 
 @query("credit_score")
 def credit_score_query(spark, sf_dir):
-    return credit_score(users_of(spark, sf_dir), TRIAL, 5)
+    return credit_score(user_table(spark, sf_dir), TRIAL, 5)
 
 
 # --- arrays, maps and scalars --------------------------------------------------------------------------------

@@ -10,6 +10,9 @@ branches they need, since a left join to a frame with unique keys is dropped whe
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,8 +68,7 @@ def _aggregate(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataF
     return df.groupBy(*keys).agg(*[F.expr(e).alias(n) for n, e in columns.items()])
 
 
-def order_measures(orders: DataFrame) -> DataFrame:
-    """Counts, amounts, maxima and recency per customer: one hash aggregate with partial sums."""
+def _order_measures() -> dict[str, str]:
     s = "success"
     out = {
         "ord_success_order_count": _count(s),
@@ -101,25 +103,54 @@ def order_measures(orders: DataFrame) -> DataFrame:
     for side in ("credit", "debit"):
         out[f"bil_payord_{side}_count"] = _count(side)
         out[f"bil_paysord_{side}_count"] = _count(s, side)
+    return out
+
+
+# What each branch yields per customer, as aggregate expressions.
+ORDER_MEASURES = _order_measures()
+ORDER_VARIETY = {
+    "ord_success_order_type_count": f"count(distinct CASE WHEN {_where('success')} THEN o_orderpriority END)",
+    "bil_ordertype_count": "count(distinct o_orderpriority)",
+    "bil_platform_count": "count(distinct o_orderstatus)",
+}
+LINE_MEASURES = {
+    "com_idno_count": "sum(n_suppliers)",
+    "ord_success_order_cmobile_count": "sum(n_ok_suppliers)",
+    "ord_success_order_acity_count": "count(s_nationkey) FILTER (WHERE nation_ok = 1)",
+    "ord_success_flt_order_acity_count": "count(s_nationkey) FILTER (WHERE nation_flt = 1)",
+    "_lead": "sum(lead_sum) / nullif(sum(lead_n), 0)",
+    "ord_success_flt_avg_order_pricerate": "sum(rate_sum) / nullif(sum(rate_n), 0) / 100.0D",
+    "_profit": "sum(profit_sum) / 10000.0D",
+    "_generous": "cast(coalesce(sum(pct_sum) >= 5 * sum(pct_n), false) as bigint)",
+}
+LINE_VARIETY = {
+    "com_passenger_count": "count(distinct l_partkey)",
+    "com_mobile_count": "count(distinct l_linenumber)",
+}
+EVENT_MEASURES = {
+    "_idle_days": f"cast(datediff({EVENT_DAY}, max(day)) as bigint)",
+    "_active_days": "count(distinct day)",
+    "_errors": "count(*) FILTER (WHERE event_type = 'error')",
+    "_clicks": "count(*) FILTER (WHERE event_type = 'click')",
+    "_large_errors": "count(*) FILTER (WHERE event_type = 'error' AND value > 50)",
+    "cap_tmoney_balance": "sum(_cents) FILTER (WHERE event_type = 'view') / 100.0D",
+    "cap_wallet_balance": "sum(_cents) FILTER (WHERE event_type = 'purchase') / 100.0D",
+}
+
+
+def order_measures(orders: DataFrame, columns: dict[str, str] = ORDER_MEASURES) -> DataFrame:
+    """Counts, amounts, maxima and recency per customer: one hash aggregate with partial sums."""
     priced = orders.withColumn("_cents", F.expr(CENTS.format("o_totalprice")))
-    return _aggregate(priced, ["o_custkey"], out)
+    return _aggregate(priced, ["o_custkey"], columns)
 
 
-def order_variety(orders: DataFrame) -> DataFrame:
+def order_variety(orders: DataFrame, columns: dict[str, str] = ORDER_VARIETY) -> DataFrame:
     """Distinct order priorities and statuses per customer. Duplicates are removed map-side, before any counting."""
     kinds = orders.select("o_custkey", "o_orderpriority", "o_orderstatus").distinct()
-    return _aggregate(
-        kinds.withColumnRenamed("o_custkey", "v_custkey"),
-        ["v_custkey"],
-        {
-            "ord_success_order_type_count": f"count(distinct CASE WHEN {_where('success')} THEN o_orderpriority END)",
-            "bil_ordertype_count": "count(distinct o_orderpriority)",
-            "bil_platform_count": "count(distinct o_orderstatus)",
-        },
-    )
+    return _aggregate(kinds.withColumnRenamed("o_custkey", "v_custkey"), ["v_custkey"], columns)
 
 
-def line_measures(lines: DataFrame, suppliers: DataFrame) -> DataFrame:
+def line_measures(lines: DataFrame, suppliers: DataFrame, columns: dict[str, str] = LINE_MEASURES) -> DataFrame:
     """Sums over the customer's lines, with distinct suppliers and supplier nations.
 
     Groups shrink from (customer, supplier) over (customer, nation) to customer, so each distinct count becomes a
@@ -166,71 +197,25 @@ def line_measures(lines: DataFrame, suppliers: DataFrame) -> DataFrame:
             **{c: f"sum({c})" for c in sums},
         },
     )
-    return _aggregate(
-        per_nation,
-        ["l_custkey"],
-        {
-            "com_idno_count": "sum(n_suppliers)",
-            "ord_success_order_cmobile_count": "sum(n_ok_suppliers)",
-            "ord_success_order_acity_count": "count(s_nationkey) FILTER (WHERE nation_ok = 1)",
-            "ord_success_flt_order_acity_count": "count(s_nationkey) FILTER (WHERE nation_flt = 1)",
-            "_lead": "sum(lead_sum) / nullif(sum(lead_n), 0)",
-            "ord_success_flt_avg_order_pricerate": "sum(rate_sum) / nullif(sum(rate_n), 0) / 100.0D",
-            "_profit": "sum(profit_sum) / 10000.0D",
-            "_generous": "cast(coalesce(sum(pct_sum) >= 5 * sum(pct_n), false) as bigint)",
-        },
-    )
+    return _aggregate(per_nation, ["l_custkey"], columns)
 
 
-def line_variety(lines: DataFrame) -> DataFrame:
+def line_variety(lines: DataFrame, columns: dict[str, str] = LINE_VARIETY) -> DataFrame:
     """Distinct parts and line numbers per customer, over three narrow columns."""
-    return _aggregate(
-        lines.selectExpr("o_custkey AS w_custkey", "l_partkey", "l_linenumber"),
-        ["w_custkey"],
-        {"com_passenger_count": "count(distinct l_partkey)", "com_mobile_count": "count(distinct l_linenumber)"},
-    )
+    return _aggregate(lines.selectExpr("o_custkey AS w_custkey", "l_partkey", "l_linenumber"), ["w_custkey"], columns)
 
 
-def event_measures(events: DataFrame) -> DataFrame:
+def event_measures(events: DataFrame, columns: dict[str, str] = EVENT_MEASURES) -> DataFrame:
     """Event counts, value sums and active days per user."""
     priced = events.selectExpr(
         "user_id", "event_type", "value", "to_date(ts) AS day", f"{CENTS.format('value')} AS _cents"
     )
-    return _aggregate(
-        priced,
-        ["user_id"],
-        {
-            "_idle_days": f"cast(datediff({EVENT_DAY}, max(day)) as bigint)",
-            "_active_days": "count(distinct day)",
-            "_errors": "count(*) FILTER (WHERE event_type = 'error')",
-            "_clicks": "count(*) FILTER (WHERE event_type = 'click')",
-            "_large_errors": "count(*) FILTER (WHERE event_type = 'error' AND value > 50)",
-            "cap_tmoney_balance": "sum(_cents) FILTER (WHERE event_type = 'view') / 100.0D",
-            "cap_wallet_balance": "sum(_cents) FILTER (WHERE event_type = 'purchase') / 100.0D",
-        },
-    )
-
+    return _aggregate(priced, ["user_id"], columns)
 
-def user_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``uid_uid``, the raw columns that the feature groups read, and both labels; one row per customer."""
-    customers = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    orders = load(spark, sf_dir, "orders")
-    lineitem = load(spark, sf_dir, "lineitem")
-    lines = lineitem.join(orders, lineitem["l_orderkey"] == orders["o_orderkey"])
-
-    om, ov = order_measures(orders), order_variety(orders)
-    lm, lv = line_measures(lines, load(spark, sf_dir, "supplier")), line_variety(lines)
-    ev = event_measures(load(spark, sf_dir, "events"))
-    key = customers["c_custkey"]
-    joined = (
-        customers.join(om, key == om["o_custkey"], "left")
-        .join(ov, key == ov["v_custkey"], "left")
-        .join(lm, key == lm["l_custkey"], "left")
-        .join(lv, key == lv["w_custkey"], "left")
-        .join(ev, key == ev["user_id"], "left")
-    )
 
-    made = [c for d in (om, ov, lm, lv) for c in d.columns]
+def _user_columns() -> dict[str, str]:
+    """Each column of the user table over the joined branches."""
+    made = [*ORDER_MEASURES, *ORDER_VARIETY, *LINE_MEASURES, *LINE_VARIETY]
     columns = {USER_KEY: "c_custkey"}
     columns.update({n: f"coalesce({n}, 0L)" for n in made if n.endswith("_count")})
     columns.update({n: f"coalesce({n}, 0.0D)" for n in made if "_max_" in n})
@@ -275,7 +260,41 @@ def user_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             SCORING_LABEL: flag,
         }
     )
-    return joined.select(*[F.expr(e).alias(n) for n, e in columns.items()])
+    return columns
+
+
+USER_COLUMNS = _user_columns()
+
+
+def user_table(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
+    """``uid_uid``, the raw columns that the feature groups read, and both labels; one row per customer.
+
+    Given ``columns``, only those, in that order, and only the branches behind them are planned.
+    """
+    wanted = list(USER_COLUMNS) if columns is None else list(dict.fromkeys(columns))
+    used = set(re.findall(r"[a-z_]\w*", " ".join(USER_COLUMNS[c] for c in wanted)))
+
+    def needed(available: dict[str, str]) -> dict[str, str]:
+        return {n: e for n, e in available.items() if n in used}
+
+    out = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    if needed({**ORDER_MEASURES, **ORDER_VARIETY, **LINE_MEASURES, **LINE_VARIETY}):
+        orders = load(spark, sf_dir, "orders")
+    if chosen := needed(ORDER_MEASURES):
+        out = out.join(order_measures(orders, chosen), F.col("c_custkey") == F.col("o_custkey"), "left")
+    if chosen := needed(ORDER_VARIETY):
+        out = out.join(order_variety(orders, chosen), F.col("c_custkey") == F.col("v_custkey"), "left")
+    if needed({**LINE_MEASURES, **LINE_VARIETY}):
+        lines = load(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if chosen := needed(LINE_MEASURES):
+        measures = line_measures(lines, load(spark, sf_dir, "supplier"), chosen)
+        out = out.join(measures, F.col("c_custkey") == F.col("l_custkey"), "left")
+    if chosen := needed(LINE_VARIETY):
+        out = out.join(line_variety(lines, chosen), F.col("c_custkey") == F.col("w_custkey"), "left")
+    if chosen := needed(EVENT_MEASURES):
+        events = event_measures(load(spark, sf_dir, "events"), chosen)
+        out = out.join(events, F.col("c_custkey") == F.col("user_id"), "left")
+    return out.select(*[F.expr(USER_COLUMNS[c]).alias(c) for c in wanted])
 
 
 def _contract(users: DataFrame, names: list[str]) -> list[Column]:
