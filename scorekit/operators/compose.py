@@ -77,17 +77,21 @@ def row_positions(df: DataFrame, position: str = "position") -> DataFrame:
     return numbered.select(F.col("_position").alias(position), *columns)
 
 
-def positional_concat(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Row *i* of ``left`` next to row *i* of ``right``, all columns of both; names may repeat.
+def positional_concat(*frames: DataFrame) -> DataFrame:
+    """Row *i* of each frame side by side, all columns of all frames, in row order; names may repeat.
 
-    Raises when the row counts differ. Needed only for frames that share no key; scores of one frame stay in it.
+    Raises when the row counts differ. Needed only for frames that share no key; scores of one frame stay in it. The
+    closing sort keeps the row order, so that the result can itself be paired by position.
     """
-    sides = [_placed(left), _placed(right)]
-    n_left, n_right = (sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0] for _, sizes in sides)
-    if n_left != n_right:
-        raise ValueError(f"cannot pair {n_left} rows with {n_right}")
-    a, b = (_positions(placed, sizes) for placed, sizes in sides)
-    width = len(left.columns)
-    b = b.select("_position", *[F.col(f"c{i}").alias(f"c{width + i}") for i in range(len(right.columns))])
-    joined = a.join(b, "_position")
-    return joined.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(left.columns + right.columns)])
+    sides = [_placed(f) for f in frames]
+    counts = [sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0] for _, sizes in sides]
+    if len(set(counts)) > 1:
+        raise ValueError(f"cannot pair frames of {counts} rows")
+    joined, names = None, []
+    for frame, (placed, sizes) in zip(frames, sides, strict=True):
+        inner = [f"c{i}" for i in range(len(frame.columns))]
+        outer = [f"c{len(names) + i}" for i in range(len(frame.columns))]
+        side = _positions(placed, sizes).select("_position", *[F.col(i).alias(o) for i, o in zip(inner, outer, strict=True)])
+        joined = side if joined is None else joined.join(side, "_position")
+        names += frame.columns
+    return joined.orderBy("_position").select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

@@ -1,0 +1,116 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from scorekit.functions import columns as C
+
+
+def column(df, c):
+    return [r[0] for r in df.select(c).collect()]
+
+
+def test_ratio_is_null_on_zero_and_null(spark):
+    df = spark.createDataFrame([(6.0, 3), (6.0, 0), (None, 0), (None, 2), (4.0, None), (0.0, 0)], "a double, n int")
+    assert column(df, C.ratio("a", "n")) == [2.0, None, None, None, None, None]
+
+
+def test_ratio_default_one(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(2.0, 6.0), (0.0, 5.0), (0.0, -5.0), (0.0, 0.0), (None, 1.0), (1.0, None), (nan, 1.0), (1.0, nan), (0.0, nan),
+            (2.0, inf)]
+    df = spark.createDataFrame(rows, "d double, n double")
+    assert column(df, C.ratio_default_one("d", "n")) == [3.0, inf, -inf, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, inf]
+
+
+def test_fill_numeric_leaves_infinity_and_text(spark):
+    df = spark.createDataFrame(
+        [(None, None, None), (float("nan"), 1, "a"), (float("inf"), 2, "b")], "x double, i int, s string")
+    assert [tuple(r) for r in C.fill_numeric(df, -1.0).collect()] == [(-1.0, -1, None), (-1.0, 1, "a"), (math.inf, 2, "b")]
+    assert C.fill_numeric(df.select("s"), 0.0).count() == 3
+    assert column(C.fill_numeric(df, 0.0, ["i"]), "x")[0] is None
+
+
+def test_to_double(spark):
+    df = spark.createDataFrame([("1.5",), ("x",), ("",), (None,), ("-2e3",)], "s string")
+    assert column(df, C.to_double("s")) == [1.5, None, None, None, -2000.0]
+
+
+def test_int_div_and_sum(spark):
+    df = spark.createDataFrame([(7, 2), (-7, 2), (5, 0), (None, 1)], "a int, b int")
+    q, s = C.int_div_and_sum("a", "b")
+    assert [tuple(r) for r in df.select(q, s).collect()] == [(3, 9), (-3, -5), (None, 5), (None, None)]
+
+
+def test_recodes_keep_null(spark):
+    df = spark.createDataFrame([(-1,), (0,), (2,), (3,), (4,), (None,)], "x int")
+    assert column(df, C.recode_clamp_zero("x")) == [-1, 1, 2, 3, 3, None]
+    assert column(df, C.recode_cap("x")) == [-1, 0, 2, 3, 3, None]
+
+
+def test_factorial_is_exact(spark):
+    ns = [-2, 0, 1, 2, 10, 20, 21, 33, None]
+    df = spark.createDataFrame([(n,) for n in ns], "n int")
+    got = column(df, C.factorial("n"))
+    assert [None if g is None else int(g) for g in got] == [None if n is None else math.factorial(max(n, 0)) for n in ns]
+
+
+def test_factorial_raises_beyond_its_type(spark):
+    with pytest.raises(Exception, match="factorial above 33"):
+        spark.createDataFrame([(34,)], "n int").select(C.factorial("n")).collect()
+
+
+def test_arrays(spark):
+    df = spark.createDataFrame([([1, 2, 4],), ([],), (None,), ([None, 3],)], "xs array<int>")
+    assert column(df, C.array_affine("xs")) == [[3, 5, 9], [], None, [None, 7]]
+    assert column(df, C.array_add("xs", 2)) == [[3, 4, 6], [], None, [None, 5]]
+    assert column(df, C.array_add("xs")) == [[2, 6, 20], [], None, [None, 12]]
+    squares = [v and [x and int(x) for x in v] for v in column(df, C.array_square("xs"))]
+    assert squares == [[1, 4, 16], [], None, [None, 9]]
+
+
+def test_array_square_of_large_integers(spark):
+    big = 2**62
+    df = spark.createDataFrame([([big],)], "xs array<bigint>")
+    assert int(column(df, C.array_square("xs"))[0][0]) == big * big
+
+
+def test_maps(spark):
+    # The colour map.
+    colours = {"red": "#FF0000", "azure": "#F0FFFF", "peru": "#CD853F"}
+    df = spark.createDataFrame([(1, colours)], "id int, m map<string,string>")
+    assert {r["key"] for r in C.map_keys_rows(df, "m", "id").collect()} == set(colours)
+    assert {r["key"]: r["value"] for r in C.map_entries_rows(df, "m").collect()} == colours
+    assert column(df, C.map_lookup("m", "red")) == ["#FF0000"]
+    assert column(df, C.map_lookup("m", "blue")) == [None]
+    assert column(df, C.map_lookup("m", "peru", strict=True)) == ["#CD853F"]
+    with pytest.raises(Exception, match="key not found: blue"):
+        df.select(C.map_lookup("m", "blue", strict=True)).collect()
+
+
+def test_strict_lookup_of_a_null_value(spark):
+    df = spark.createDataFrame([({"a": None},)], "m map<string,string>")
+    assert column(df, C.map_lookup("m", "a", strict=True)) == [None]
+
+
+def test_row_to_map_and_text(spark):
+    df = spark.createDataFrame([("Ann", 30), ("Bo", None)], "name string, age int")
+    assert column(df, C.row_to_map("name", "age")) == [{"name": "Ann", "age": "30"}, {"name": "Bo", "age": None}]
+    rows = df.select(*[c.alias(n) for n, c in C.row_to_text("name", "age").items()]).collect()
+    assert tuple(rows[0]) == ("name:Ann age:30", "name:Ann age:30", "name:[Ann,30]", "name:Ann")
+    assert rows[1]["by_name"] == "name:Bo age:null"
+
+
+def test_split_fields(spark):
+    df = spark.createDataFrame([("a,b,,c,,",), ("",), (None,), (",,",)], "s string")
+    assert column(df, C.split_fields("s")) == [["a", "b", "", "c", "", ""], [""], None, ["", "", ""]]
+    assert column(df, C.split_fields("s", drop_trailing_empty=True))[0] == ["a", "b", "", "c"]
+    pipes = spark.createDataFrame([("a|b",)], "s string")
+    assert column(pipes, C.split_fields("s", "|")) == [["a", "b"]]
+
+
+def test_no_python_in_any_expression(spark):
+    df = spark.createDataFrame([([1], {"a": "b"}, 3.0, 0.0)], "xs array<int>, m map<string,string>, n double, d double")
+    out = df.select(C.array_square("xs"), C.map_lookup("m", "a"), C.ratio("n", "d"), C.factorial(F.lit(3)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
