@@ -30,7 +30,8 @@ class TreeParams:
     """Model sizes. The defaults are those of the scoring model; smaller ones suit trials.
 
     ``cache_node_ids`` spares executors from walking every tree again at each level, and checkpoints as it goes: for
-    deep trees over many rows.
+    deep trees over many rows. ``min_partitions`` spreads a small table that is packed into one file, since tree fits
+    are compute-bound; it does not depend on the cores at hand, because a forest's samples depend on partitioning.
     """
 
     rf_trees: int = 30
@@ -41,6 +42,7 @@ class TreeParams:
     seed: int = 42
     cache_node_ids: bool = False
     checkpoint_every: int = 10
+    min_partitions: int = 4
 
     def forest(self, spec: GroupSpec) -> RandomForestRegressor:
         return RandomForestRegressor(
@@ -147,6 +149,11 @@ def training_vectors(df: DataFrame, spec: GroupSpec, label: str = TRAINING_LABEL
     return PipelineModel([assembler, scaler]), scaler.transform(assembled).select("label", scaled)
 
 
+def spread(df: DataFrame, partitions: int) -> DataFrame:
+    """``df`` on at least ``partitions`` partitions; a table that already has them is left alone."""
+    return df if df.rdd.getNumPartitions() >= partitions else df.repartition(partitions)
+
+
 def train_group(
     df: DataFrame, spec: GroupSpec, params: TreeParams = TreeParams(), label: str = TRAINING_LABEL,
     forest: bool = True, boosted: bool | None = None,
@@ -157,6 +164,7 @@ def train_group(
     """
     shared_root(df.sparkSession)  # so that boosting rounds can checkpoint
     prepare, scaled = training_vectors(df, spec, label)
+    scaled = spread(scaled, params.min_partitions)
     want_boosted = spec.gbt_share > 0 if boosted is None else boosted
     return GroupModel(
         spec,

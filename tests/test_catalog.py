@@ -22,10 +22,15 @@ def test_only_models_lack_sql():
     assert set(queries()) - set(SQL) == ROWS_ONLY
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(name, spark, duck, sf_dir):
-    ours = queries()[name](spark, sf_dir).toPandas()
-    assert difference(ours, duck.sql(SQL[name]).df()) is None
+    ours, theirs = queries()[name](spark, sf_dir), duck.sql(SQL[name])
+    types = dict(zip(theirs.columns, map(str, theirs.types), strict=True))
+    assert {c: TYPES[t] for c, t in ours.dtypes} == types
+    assert difference(ours.toPandas(), theirs.df()) is None
 
 
 def test_random_split_keeps_every_row(spark, sf_dir):
