@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -76,18 +77,10 @@ def recode_cap(c: Column | str) -> Column:
 
 def factorial(c: Column | str) -> Column:
     """n! as ``decimal(38,0)``, 1 for n <= 1. Exact through 33!; a larger n raises rather than giving null."""
-    n = _col(c).cast("int")
-    product = F.aggregate(
-        F.sequence(F.lit(2), F.greatest(n, F.lit(2))),
-        F.lit(1).cast("decimal(38,0)"),
-        lambda acc, i: (acc * i.cast("decimal(38,0)")).cast("decimal(38,0)"),
-    )
-    return (
-        F.when(n.isNull(), F.lit(None).cast("decimal(38,0)"))
-        .when(n <= 1, F.lit(1).cast("decimal(38,0)"))
-        .when(n > 33, F.raise_error(F.lit("factorial above 33 exceeds decimal(38,0)")).cast("decimal(38,0)"))
-        .otherwise(product)
-    )
+    n = _col(c)
+    table = F.array(*[F.lit(str(math.factorial(i))).cast("decimal(38,0)") for i in range(34)])
+    too_large = F.raise_error(F.lit("factorial above 33 exceeds decimal(38,0)")).cast("decimal(38,0)")
+    return F.when(n > 33, too_large).otherwise(F.get(table, F.when(n < 0, 0).otherwise(n).cast("int")))
 
 
 def split_fields(line: Column | str, delimiter: str = ",", drop_trailing_empty: bool = False) -> Column:

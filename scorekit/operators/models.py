@@ -125,28 +125,39 @@ class GroupModel:
             GBTRegressionModel.load(f"{base}_GBT") if spec.gbt_share else None,
         )
 
-    def predict(self, df: DataFrame, training: bool = False) -> DataFrame:
-        """``df`` with ``rf_<group>`` and, if fitted, ``gbt_<group>``. No shuffle and no join.
+    def inputs(self, training: bool = False) -> dict[str, Column]:
+        """The feature columns to add before :meth:`apply`, filled as in scoring, or as in training."""
+        return dict(zip(input_columns(self.spec), feature_columns(self.spec, training), strict=True))
 
-        Gaps are filled as in scoring, or as in training to judge held-out rows of the training table.
-        """
-        inputs = input_columns(self.spec)
-        features = feature_columns(self.spec, training)
-        out = self.prepare.transform(df.withColumns(dict(zip(inputs, features, strict=True))))
+    def apply(self, df: DataFrame) -> DataFrame:
+        """Predictions from the feature columns; working columns are left in."""
+        out = self.prepare.transform(df)
         for model in (self.forest, self.boosted):
             if model is not None:
                 out = model.transform(out)
-        return out.drop(*inputs, vector_column(self.spec), scaled_column(self.spec))
+        return out
+
+    def predict(self, df: DataFrame, training: bool = False) -> DataFrame:
+        """``df`` with ``rf_<group>`` and, if fitted, ``gbt_<group>``. No shuffle and no join.
+
+        ``training`` fills gaps as in training, to judge held-out rows of the training table.
+        """
+        out = self.apply(df.withColumns(self.inputs(training)))
+        return out.drop(*input_columns(self.spec), vector_column(self.spec), scaled_column(self.spec))
 
 
-def training_vectors(df: DataFrame, spec: GroupSpec, label: str = TRAINING_LABEL) -> tuple[PipelineModel, DataFrame]:
-    """Fit the group's preparation; with it, the frame of label and scaled vector to train on."""
+def training_vectors(
+    df: DataFrame, spec: GroupSpec, label: str = TRAINING_LABEL, fit_on: Column | None = None
+) -> tuple[PipelineModel, DataFrame]:
+    """Fit the group's preparation on all rows; with it, the label and scaled vector of the rows to train on."""
     inputs, vector, scaled = input_columns(spec), vector_column(spec), scaled_column(spec)
-    named = group_features(df, spec, True, label).toDF("label", *inputs)
+    marked = df.withColumn("_fit", F.lit(True) if fit_on is None else fit_on)
+    named = group_features(marked, spec, True, label, keep=("_fit",)).toDF("_fit", "label", *inputs)
     assembler = VectorAssembler(inputCols=inputs, outputCol=vector, handleInvalid="error")
-    assembled = assembler.transform(named).select("label", vector)
+    assembled = assembler.transform(named).select("_fit", "label", vector)
     scaler = fit_scaler(assembled, vector, scaled)
-    return PipelineModel([assembler, scaler]), scaler.transform(assembled).select("label", scaled)
+    chosen = assembled.filter("_fit").drop("_fit")
+    return PipelineModel([assembler, scaler]), scaler.transform(chosen).select("label", scaled)
 
 
 def spread(df: DataFrame, partitions: int) -> DataFrame:
@@ -156,14 +167,15 @@ def spread(df: DataFrame, partitions: int) -> DataFrame:
 
 def train_group(
     df: DataFrame, spec: GroupSpec, params: TreeParams = TreeParams(), label: str = TRAINING_LABEL,
-    forest: bool = True, boosted: bool | None = None,
+    forest: bool = True, boosted: bool | None = None, fit_on: Column | None = None,
 ) -> GroupModel:
     """Fit one group: features, scaler, forest, and boosted trees where the group blends them (or on request).
 
+    The scaler sees all rows; ``fit_on`` chooses those that the trees learn from, so that the rest can judge them.
     Fitting reads ``df`` several times; give it a written or cached table. MLlib keeps its binned rows itself.
     """
     shared_root(df.sparkSession)  # so that boosting rounds can checkpoint
-    prepare, scaled = training_vectors(df, spec, label)
+    prepare, scaled = training_vectors(df, spec, label, fit_on)
     scaled = spread(scaled, params.min_partitions)
     want_boosted = spec.gbt_share > 0 if boosted is None else boosted
     return GroupModel(
@@ -176,14 +188,14 @@ def train_group(
 
 def train_groups(
     df: DataFrame, specs: Iterable[GroupSpec] = GROUPS.values(), params: TreeParams = TreeParams(),
-    label: str = TRAINING_LABEL, parallelism: int = 1,
+    label: str = TRAINING_LABEL, parallelism: int = 1, fit_on: Column | None = None,
 ) -> dict[str, GroupModel]:
     """Fit the groups, up to ``parallelism`` at a time. Each fit is its own series of Spark jobs."""
     specs = list(specs)
 
     @inheritable_thread_target(df.sparkSession)
     def fit(spec: GroupSpec) -> GroupModel:
-        return train_group(df, spec, params, label)
+        return train_group(df, spec, params, label, fit_on=fit_on)
 
     with ThreadPool(max(1, min(parallelism, len(specs)))) as pool:
         return {m.spec.name: m for m in pool.map(fit, specs, chunksize=1)}
@@ -216,9 +228,9 @@ def score_groups(
 
     All scores are columns of one frame over one scan, so nothing is shuffled, joined or paired by position.
     """
-    out = df
+    out = df.withColumns({name: c for m in models.values() for name, c in m.inputs().items()})
     for model in models.values():
-        out = model.predict(out)
+        out = model.apply(out)
     scores = out.select(*keep, *[group_score(m.spec, clamp) for m in models.values()])
     if not total:
         return scores

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,14 +17,14 @@ from ..functions import columns as C
 from ..operators import compose, evaluate, profile
 from ..operators.features import GROUPS, GroupSpec, assemble, assemble_labeled, assemble_vector, group_features, raw_columns
 from ..operators.models import (
-    GroupModel, TreeParams, hash_bucket, hash_split, random_split, score_groups, train_group, training_vectors,
+    GroupModel, TreeParams, hash_bucket, hash_split, random_split, score_groups, train_group,
 )
 from ..operators.scaling import fit_scaler, min_max_scale, scaler_summary, unpack
 from ..sources import readers, sinks
 from ..sources.contracts import SCORING_COLUMNS, SCORING_LABEL, TRAINING_COLUMNS, TRAINING_LABEL, USER_KEY, string_schema
 from ..sources.user_table import load, scoring_table, training_table, user_table
 from ..staging import materialize, new_path
-from .credit_score import credit_score, write_audit
+from .credit_score import credit_score, train_and_evaluate, write_audit
 from .user_table_sql import USERS_CTE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -386,8 +385,7 @@ def _group_table(spark: SparkSession, sf_dir: str, spec: GroupSpec) -> DataFrame
 
 
 def _train(users: DataFrame, spec: GroupSpec, **kw) -> GroupModel:
-    part, _ = hash_split(users, USER_KEY)
-    return train_group(part, spec, TRIAL, **kw)
+    return train_group(users, spec, TRIAL, fit_on=hash_bucket(USER_KEY) < 75, **kw)
 
 
 @query("random_split")
@@ -448,6 +446,13 @@ def train_submodel(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, mean double, std double, importance double")
 
 
+@query("train_evaluate")
+def train_evaluate(spark, sf_dir):
+    """Both models of a group on its held-out users."""
+    spec = GROUPS["interaction"]
+    return train_and_evaluate(_group_table(spark, sf_dir, spec), spec, TRIAL)[1]
+
+
 @query("model_roundtrip")
 def model_roundtrip(spark, sf_dir):
     """Predictions before saving and after loading, side by side on the same row."""

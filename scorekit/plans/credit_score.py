@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..operators.evaluate import evaluation_report
 from ..operators.features import GROUPS, GroupSpec, raw_columns
-from ..operators.models import GroupModel, TreeParams, hash_split, score_groups, train_groups
+from ..operators.models import GroupModel, TreeParams, hash_bucket, score_groups, train_group, train_groups
 from ..sources.contracts import SCORING_LABEL, TRAINING_LABEL, USER_KEY
 from ..sources.sinks import write_csv
 from ..staging import materialize
@@ -15,9 +17,29 @@ def train(
     users: DataFrame, params: TreeParams = TreeParams(), parallelism: int = 1, train_percent: int = 75,
     specs: list[GroupSpec] | None = None,
 ) -> dict[str, GroupModel]:
-    """Models for the groups, from the training part of a written user table."""
-    part, _ = hash_split(users, USER_KEY, train_percent)
-    return train_groups(part, specs or list(GROUPS.values()), params, TRAINING_LABEL, parallelism)
+    """Models for the groups from a written user table: scalers on all users, trees on the training part."""
+    fit_on = hash_bucket(USER_KEY) < train_percent
+    return train_groups(users, specs or list(GROUPS.values()), params, TRAINING_LABEL, parallelism, fit_on)
+
+
+def train_and_evaluate(
+    users: DataFrame, spec: GroupSpec, params: TreeParams = TreeParams(), train_percent: int = 75, boosted: bool = True,
+    save_to: str | None = None,
+) -> tuple[GroupModel, DataFrame]:
+    """One group's models, saved if a path is given, and how they judge the held-out users.
+
+    The report has ``model, metric, value``: mean squared error, share of unequal predictions, and both areas.
+    """
+    bucket = hash_bucket(USER_KEY)
+    model = train_group(users, spec, params, TRAINING_LABEL, boosted=boosted, fit_on=bucket < train_percent)
+    if save_to is not None:
+        model.save(save_to)
+    judged = model.predict(users.filter(bucket >= train_percent), training=True)
+    report = None
+    for kind in ("rf", "gbt") if model.boosted is not None else ("rf",):
+        part = evaluation_report(judged, f"{kind}_{spec.name}", TRAINING_LABEL).select(F.lit(kind).alias("model"), "metric", "value")
+        report = part if report is None else report.unionByName(part)
+    return model, report
 
 
 def credit_score(

@@ -8,7 +8,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 SQL = oracle_sql()
 ROWS_ONLY = {
     "random_split", "rf_predict", "gbt_predict", "holdout_predictions", "batch_predict", "train_submodel", "model_roundtrip",
-    "score_people", "score_consuming", "score_fanacial", "score_interaction", "score_relation", "score_with_label",
+    "train_evaluate",    "score_people", "score_consuming", "score_fanacial", "score_interaction", "score_relation", "score_with_label",
     "credit_score",
 }
 

@@ -7,7 +7,7 @@ from scorekit.operators.models import (
     GroupModel, TreeParams, hash_bucket, hash_split, load_models, random_split, save_models, score_groups, train_group,
     train_groups,
 )
-from scorekit.plans.credit_score import credit_score, train, write_audit
+from scorekit.plans.credit_score import credit_score, train, train_and_evaluate, write_audit
 from scorekit.sources import readers
 
 SMALL = TreeParams(rf_trees=5, rf_depth=4, gbt_rounds=3, gbt_depth=3)
@@ -18,7 +18,7 @@ def models(users):
     return train(users, SMALL, parallelism=5)
 
 
-def test_defaults_are_the_full_sizes():
+def test_defaults_are_the_full_sizes(spark):
     p = TreeParams()
     assert (p.rf_trees, p.rf_depth, p.bins, p.gbt_rounds, p.gbt_depth) == (30, 10, 32, 50, 10)
     rf, gbt = p.forest(GROUPS["people"]), p.boosted(GROUPS["people"])
@@ -121,3 +121,23 @@ def test_audit_file(spark, users, tmp_path):
     assert back.columns == ["score_all", "score"] and back.count() == users.count()
     with pytest.raises(Exception):
         write_audit(scores, path)
+
+
+def test_report_judges_only_held_out_rows(spark, users, tmp_path):
+    spec = GROUPS["relation"]
+    model, report = train_and_evaluate(users, spec, SMALL, save_to=str(tmp_path / "relation"))
+    got = {(r["model"], r["metric"]): r["value"] for r in report.collect()}
+    assert set(got) == {(m, k) for m in ("rf", "gbt") for k in ("mse", "test_error", "auc_pr", "auc_roc")}
+    _, held = hash_split(users, "uid_uid")
+    rows = model.predict(held, training=True).select("rf_relation", "uid_flag").collect()
+    assert abs(sum((r[0] - r[1]) ** 2 for r in rows) / len(rows) - got["rf", "mse"]) < 1e-9
+    assert {p.name for p in tmp_path.iterdir()} == {"relation_PREP", "relation_RF", "relation_GBT"}
+
+
+def test_scaler_sees_all_rows_and_trees_only_theirs(users):
+    spec = GROUPS["relation"]
+    half = train_group(users, spec, SMALL, fit_on=F.col("uid_uid") % 2 == 0)
+    whole = train_group(users, spec, SMALL)
+    assert list(half.scaler.mean) == list(whole.scaler.mean)
+    only = train_group(users.filter("uid_uid % 2 = 0"), spec, SMALL)
+    assert list(only.scaler.mean) != list(whole.scaler.mean)
