@@ -291,6 +291,7 @@ def _features_sql(spec: GroupSpec, training: bool, key: bool = True) -> str:
 @query("describe_numeric", _describe_sql(GROUPS["consuming"]))
 def describe_numeric(spark, sf_dir):
     features = group_features(_group_users(spark, sf_dir, GROUPS["consuming"]), GROUPS["consuming"], True).drop(TRAINING_LABEL)
+    features = materialize(features, "features")
     out = profile.describe_numeric(features)
     return out.select(
         "column", "count", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"),

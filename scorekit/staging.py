@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -61,6 +64,17 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def cached(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Iterator[DataFrame]:
+    """``df`` kept by the executors for the length of a block, for exploration. A lost executor's part is recomputed
+    from the source; work that must not be repeated belongs in :func:`materialize`."""
+    df.persist(level)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def drop_path(spark: SparkSession, path: str) -> bool:
     """Delete a staged table or model that is no longer needed, through the file system that holds it."""
     jvm = spark.sparkContext._jvm

@@ -97,6 +97,11 @@ def test_profiles(spark):
     assert (out["i"]["count"], out["i"]["mean"], out["i"]["min"], out["i"]["max"]) == (2, 2.0, 1.0, 3.0)
     assert math.isclose(out["i"]["stddev"], math.sqrt(2))
     assert out["odd `name'"]["count"] == 1 and out["odd `name'"]["stddev"] is None
+    many = spark.range(3).selectExpr(*[f"id + {k} AS c{k}" for k in range(30)])
+    passes, single = describe_numeric(many), describe_numeric(many, columns_per_pass=None)
+    assert passes.count() == 30 and passes.exceptAll(single).count() == 0
+    with pytest.raises(ValueError):
+        describe_numeric(df.select("s"))
     assert [tuple(r) for r in schema_listing(df).collect()][1] == (1, "s", "string")
     assert [r["non_null"] for r in schema_profile(df).orderBy("position").collect()] == [2, 1, 1]
     assert head_rows(df, 1, F.desc("i")).collect()[0]["i"] == 3

@@ -3,7 +3,7 @@ from pyspark.sql import types as T
 
 from scorekit.sources import readers, sinks
 from scorekit.sources.contracts import SCORING_COLUMNS, TRAINING_COLUMNS, double_schema, keyed_schema, string_schema
-from scorekit.staging import drop_path, materialize, new_path, shared_root
+from scorekit.staging import cached, drop_path, materialize, new_path, shared_root
 
 
 def lines(tmp_path, *rows):
@@ -122,3 +122,12 @@ def test_staged_table_survives_its_source(spark):
     path = new_path(spark, "gone")
     spark.range(1).write.parquet(path)
     assert drop_path(spark, path) and not drop_path(spark, path)
+
+
+def test_cache_ends_with_its_block(spark):
+    df = spark.range(5)
+    with pytest.raises(RuntimeError):
+        with cached(df) as kept:
+            assert kept.count() == 5 and kept.storageLevel.useMemory
+            raise RuntimeError
+    assert not df.storageLevel.useMemory
