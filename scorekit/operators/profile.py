@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import _NUMERIC
+from ..staging import literal_rows
 
 
 def group_count(df: DataFrame, *keys: str) -> DataFrame:
@@ -70,8 +70,7 @@ def head_rows(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
 def schema_listing(df: DataFrame) -> DataFrame:
     """``position, name, type`` of each column; metadata only."""
     rows = [(i, name, kind) for i, (name, kind) in enumerate(df.dtypes)]
-    schema = T.StructType.fromDDL("position int, name string, type string")
-    return df.sparkSession.createDataFrame(rows, schema)
+    return literal_rows(df.sparkSession, ["position", "name", "type"], rows)
 
 
 def schema_profile(df: DataFrame) -> DataFrame:

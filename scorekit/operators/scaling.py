@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import literal_rows
 from .features import assemble
 
 
@@ -18,7 +19,7 @@ def fit_scaler(df: DataFrame, input_col: str = "features", output_col: str = "sc
 def scaler_summary(model: StandardScalerModel, source: DataFrame, features: list[str]) -> DataFrame:
     """``feature, mean, std``: one row per vector slot."""
     rows = [(n, float(m), float(s)) for n, m, s in zip(features, model.mean, model.std, strict=True)]
-    return source.sparkSession.createDataFrame(rows, "feature string, mean double, std double")
+    return literal_rows(source.sparkSession, ["feature", "mean", "std"], rows)
 
 
 def min_max_scale(df: DataFrame, features: list[str], output_col: str = "scaled") -> tuple[MinMaxScalerModel, DataFrame]:

@@ -23,7 +23,7 @@ from ..operators.scaling import fit_scaler, min_max_scale, scaler_summary, unpac
 from ..sources import readers, sinks
 from ..sources.contracts import SCORING_COLUMNS, SCORING_LABEL, TRAINING_COLUMNS, TRAINING_LABEL, USER_KEY, string_schema
 from ..sources.user_table import load, scoring_table, training_table, user_table
-from ..staging import materialize, new_path
+from ..staging import literal_rows, materialize, new_path
 from .credit_score import credit_score, train_and_evaluate, write_audit
 from .user_table_sql import USERS_CTE
 
@@ -444,7 +444,7 @@ def train_submodel(spark, sf_dir):
         (f, float(m), float(s), float(w))
         for f, m, s, w in zip(spec.features, model.scaler.mean, model.scaler.std, weights, strict=True)
     ]
-    return spark.createDataFrame(rows, "feature string, mean double, std double, importance double")
+    return literal_rows(spark, ["feature", "mean", "std", "importance"], rows)
 
 
 @query("train_evaluate")

@@ -13,6 +13,12 @@ from ..sources.sinks import write_csv
 from ..staging import materialize
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """``df`` with a user key: its own, or a row number for files without one. Write the result before training, so
+    that the numbers are stored with their rows."""
+    return df if USER_KEY in df.columns else df.withColumn(USER_KEY, F.monotonically_increasing_id())
+
+
 def train(
     users: DataFrame, params: TreeParams = TreeParams(), parallelism: int = 1, train_percent: int = 75,
     specs: list[GroupSpec] | None = None,

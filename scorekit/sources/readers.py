@@ -37,9 +37,11 @@ def read_typed(spark: SparkSession, path: str, schema: T.StructType, on_bad: str
     typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
     good = F.lit(True)
     for f in typed:
-        good = good & (F.col(f.name).isNull() | F.col(f.name).try_cast(f.dataType).isNotNull())
-    if on_bad == "fail":
-        good = F.when(good, F.lit(True)).otherwise(F.raise_error(F.lit(f"bad value in {path}")).cast("boolean"))
+        fits = F.col(f.name).isNull() | F.col(f.name).try_cast(f.dataType).isNotNull()
+        if on_bad == "fail":
+            bad = F.raise_error(F.lit(f"bad value for {f.name} in {path}")).cast("boolean")
+            fits = F.when(fits, F.lit(True)).otherwise(bad)
+        good = good & fits
     return text.filter(good).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 

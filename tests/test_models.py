@@ -7,8 +7,10 @@ from scorekit.operators.models import (
     GroupModel, TreeParams, hash_bucket, hash_split, load_models, random_split, save_models, score_groups, train_group,
     train_groups,
 )
-from scorekit.plans.credit_score import credit_score, train, train_and_evaluate, write_audit
-from scorekit.sources import readers
+from scorekit.plans.credit_score import credit_score, keyed, train, train_and_evaluate, write_audit
+from scorekit.sources import readers, sinks
+from scorekit.sources.user_table import scoring_table, training_table
+from scorekit.staging import materialize
 
 SMALL = TreeParams(rf_trees=5, rf_depth=4, gbt_rounds=3, gbt_depth=3)
 
@@ -141,3 +143,22 @@ def test_scaler_sees_all_rows_and_trees_only_theirs(users):
     assert list(half.scaler.mean) == list(whole.scaler.mean)
     only = train_group(users.filter("uid_uid % 2 = 0"), spec, SMALL)
     assert list(only.scaler.mean) != list(whole.scaler.mean)
+
+
+def test_contract_files_end_to_end(spark, users, tmp_path):
+    """Training file without a key, scoring file with one: train, save, load, score, audit."""
+    sinks.write_csv(training_table(users), str(tmp_path / "train"))
+    sinks.write_csv(scoring_table(users, keyed=True), str(tmp_path / "score"))
+    raw = readers.read_inferred(spark, str(tmp_path / "train"))
+    assert "uid_uid" not in raw.columns and keyed(users) is users
+    table = materialize(keyed(raw), "train")
+    save_models(train(table, SMALL, parallelism=5), str(tmp_path / "models"))
+    batch = readers.read_scoring_keyed(spark, str(tmp_path / "score"))
+    scores = score_groups(batch, load_models(spark, str(tmp_path / "models")), ("uid_uid", "score"))
+    write_audit(scores, str(tmp_path / "audit"))
+    audit = readers.read_inferred(spark, str(tmp_path / "audit"))
+    assert audit.columns == ["score_all", "score"] and audit.count() == users.count()
+    assert audit.filter("score_all < 300 OR score_all > 900 OR score_all IS NULL").count() == 0
+    # Users with a positive label score higher on the whole: the tables carry a signal.
+    means = {r["score"]: r["m"] for r in audit.groupBy("score").agg(F.avg("score_all").alias("m")).collect()}
+    assert means[1.0] > means[0.0]
