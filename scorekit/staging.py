@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -29,10 +28,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+# Paths handed out by new_path and not yet removed, in order.
+_LIVE: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors can reach, from ``spark.checkpoint.dir``.
 
-    A machine-local folder stands in only under a local master, where one process holds everything.
+    Where that is unset, a folder below the warehouse stands in, as executors share the warehouse too. A warehouse on
+    a local disk (``file:``) is shared only under a local master, so any other master is refused there.
     The Spark context's own checkpoint folder is set to the same place if nobody set it.
     """
     context = spark.sparkContext
@@ -40,9 +44,11 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = context.getCheckpointDir()
     if not root:
-        if not context.master.startswith("local"):
+        warehouse = context._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"))
+        files = warehouse.getFileSystem(context._jsc.hadoopConfiguration())
+        if files.getScheme() == "file" and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="scorekit-")
+        root = files.makeQualified(warehouse).toString().rstrip("/") + "/_staging"
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)
     return root.rstrip("/")
@@ -50,7 +56,21 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _LIVE.append(path)
+    return path
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end of the block, what was staged inside it. Results that still read those tables must have been
+    written or fetched by then."""
+    start = len(_LIVE)
+    try:
+        yield
+    finally:
+        for path in _LIVE[start:][::-1]:
+            drop_path(spark, path)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -84,6 +104,8 @@ def cached(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) ->
 
 def drop_path(spark: SparkSession, path: str) -> bool:
     """Delete a staged table or model that is no longer needed, through the file system that holds it."""
+    if path in _LIVE:
+        _LIVE.remove(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
