@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import materialize, new_path
 from .chunk_dedup import exact_duplicates
-from .common import LOWER, PLAIN_WORD, UPPER, load
+from .common import LOWER, PLAIN_WORD, SPACED_WORD, UPPER, load
+from .id_output import read_ids, write_ids
+from .mixing import plan_mix
+from .secret_scan import scan_secrets, train
+from .token_rollup import TokenRollup
+from .toxic_segments import score_toxicity
+from .url_trust import judge_urls
 from .winnow import decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +60,93 @@ FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)""")
 def op9_decontaminate(spark, sf_dir):
     out = decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op1_url_trust")
+def op1_url_trust(spark, sf_dir):
+    return judge_urls(load(spark, sf_dir, "pages"))
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    found = scan_secrets(docs, train(docs))
+
+    def shown(spans):
+        return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda x: x["kind"] != "markov")
+    return found.select("doc_id", *[count(k) for k in ("assign", "access", "hex", "markov")],
+                        F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
+# Two tokenizers; a revision of the first also counts line ends; documents that labels call junk are taken down.
+@query("op4_token_rollup", rf"""
+WITH d AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '{SPACED_WORD}')) + len(regexp_extract_all(coalesce(text, ''), '\n')) AS spaced,
+                  len(regexp_extract_all(coalesce(text, ''), '{PLAIN_WORD}')) AS plain
+           FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL))
+SELECT source, lang, 'spaced-1' AS tokenizer, count(*) AS n_docs, sum(spaced)::BIGINT AS n_tokens FROM d GROUP BY ALL
+UNION ALL SELECT source, lang, 'plain-1', count(*), sum(plain)::BIGINT FROM d GROUP BY ALL""")
+def op4_token_rollup(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    count = lambda p, name: F.regexp_count(text, F.lit(p)).cast("long").alias(name)
+    docs = materialize(load(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", count(SPACED_WORD, "spaced"), count(PLAIN_WORD, "plain"), count("\n", "breaks")), "counts")
+    junk = load(spark, sf_dir, "labels").where("quality = 0").select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"))
+
+    def changes(op, frame, tokenizer, tokens):
+        return frame.select(F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), tokens.alias("tokens"))
+
+    spaced, plain = changes("insert", docs, "spaced-1", F.col("spaced")), changes("insert", docs, "plain-1", F.col("plain"))
+    recount = changes("revise", docs, "spaced-1", F.col("spaced") + F.col("breaks"))
+    gone = changes("delete", junk, "spaced-1", F.lit(0)).unionByName(changes("delete", junk, "plain-1", F.lit(0)))
+    rollup = TokenRollup(spark, new_path(spark, "rollup"))
+    # A failed driver would try batches again, so two of them come twice.
+    for name, batch in (("spaced", spaced), ("plain", plain), ("spaced", spaced), ("recount", recount), ("junk", gone), ("junk", gone)):
+        rollup.commit(name, batch)
+    return rollup.totals()
+
+
+_WORDS = f"len(regexp_extract_all(coalesce(text, ''), '{SPACED_WORD}'))"
+
+
+@query("op7_mixing", rf"""
+WITH d AS (SELECT doc_id, source, {_WORDS}::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k, text FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS most,
+             [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source),
+t AS (SELECT sum(source_size)::BIGINT AS size, sum(weight)::BIGINT AS weight FROM s),
+c AS (SELECT *, sum(most) OVER w AS capped, sum(weight) OVER w AS used, row_number() OVER w AS n FROM s
+      WINDOW w AS (ORDER BY most / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT 0 AS n, t.size / t.weight AS level, (SELECT min(most / weight) FROM s) AS next FROM t
+      UNION ALL
+      SELECT n, (t.size - capped)::BIGINT / (t.weight - used)::BIGINT, lead(most / c.weight) OVER (ORDER BY n) FROM c, t WHERE t.weight > used),
+v AS (SELECT level FROM l WHERE next IS NULL OR level <= next ORDER BY n LIMIT 1),
+b AS (SELECT source, source_size, least(most::DOUBLE, weight * level) AS target FROM s, v),
+p AS (SELECT d.doc_id, d.size, b.source_size, b.target, floor(b.target)::BIGINT AS quota,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bef
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0 ELSE (quota // source_size) * size + greatest(0, least(size, quota % source_size - bef)) END::BIGINT AS taken
+FROM p""")
+def op7_mixing(spark, sf_dir):
+    return plan_mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, sf_dir):
+    out = score_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
+@query("op6_id_output")
+def op6_id_output(spark, sf_dir):
+    return encoded(spark, load(spark, sf_dir, "documents"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    path = new_path(spark, "ids")
+    write_ids(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_ids(spark, path)
