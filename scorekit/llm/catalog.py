@@ -12,11 +12,13 @@ from ..staging import materialize, new_path
 from .chunk_dedup import exact_duplicates
 from .common import LOWER, PLAIN_WORD, SPACED_WORD, UPPER, load
 from .id_output import read_ids, write_ids
+from .jaccard_join import jaccard_groups
 from .mixing import plan_mix
 from .secret_scan import scan_secrets, train
 from .token_rollup import TokenRollup
 from .toxic_segments import score_toxicity
 from .url_trust import judge_urls
+from .weak_quality import score_quality
 from .winnow import decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +152,13 @@ def encoded(spark: SparkSession, docs: DataFrame) -> DataFrame:
     path = new_path(spark, "ids")
     write_ids(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_ids(spark, path)
+
+
+@query("op8_weak_quality")
+def op8_weak_quality(spark, sf_dir):
+    return score_quality(load(spark, sf_dir, "documents")).drop("row")
+
+
+@query("op2_jaccard_join")
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard_groups(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -15,53 +15,54 @@ import numpy as np
 PERIOD = 1024  # ids after which the order-0 frequencies are brought up to date
 LONGEST, SHORTEST = 16384, 2048  # ids of a block
 LANES = 512  # blocks coded side by side
-BITS2, BITS1 = 13, 11  # sizes of the context tables
+BITS = 12  # of the number of contexts of each order
 NOVEL = 1 << 16  # ids are below this
 _MASK = np.uint64(0xFFFFFFFF)
 _WORD = np.uint64(32)
 _LOW = np.uint64(1 << 32)
-_PRIOR = np.array([2, 2, 24, 12], dtype=np.int64)  # counts of: order 2, order 1, order 0, new
-_STEP = 24
+_FULL = 0xFFFFFFFFFFFFFFFF
+_PRIOR = np.array([1, 1, 12, 6], dtype=np.uint64)  # counts of: order 2, order 1, order 0, new
+_STEP = np.uint64(8)
 
 
 class _Model:
-    """What encoder and decoder both know after the same ids: contexts and mixing counts, one row per lane."""
+    """What encoder and decoder both know after the same ids, for the two contexts (first axis) of all lanes (second).
+
+    A context's entry in ``table`` holds the id it predicts and, in the last two bits, how often that held of late. By
+    this confidence each context picks a row of counts of what came true; their sum is the mixed distribution.
+    """
 
     def __init__(self, lanes: int) -> None:
-        self.lane2 = np.arange(lanes, dtype=np.int64) << BITS2
-        self.lane1 = np.arange(lanes, dtype=np.int64) << BITS1
-        self.pred2, self.conf2 = np.zeros(lanes << BITS2, dtype=np.int64), np.zeros(lanes << BITS2, dtype=np.int8)
-        self.pred1, self.conf1 = np.zeros(lanes << BITS1, dtype=np.int64), np.zeros(lanes << BITS1, dtype=np.int8)
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.counts = np.tile(_PRIOR, (lanes * 24, 1))  # per lane: 16 of both confidences, 4 of each one
+        self.table = np.zeros(lanes << (BITS + 1), dtype=np.int64)
+        self.bases = (np.arange(2 * lanes, dtype=np.int64) << BITS).reshape(2, lanes)
+        self.counts = np.tile(_PRIOR, (lanes * 8, 1))
         self.flat = self.counts.reshape(-1)
-        self.base = self.lane * 24
-
-    def look(self, before2: np.ndarray, before1: np.ndarray) -> None:
-        """Predictions and cumulated mixed counts for the next id of every lane."""
-        self.at2 = self.lane2 + (((before2 * 40503 + before1 * 2654435761) >> 7) & ((1 << BITS2) - 1))
-        self.at1 = self.lane1 + (((before1 * 40503) >> 4) & ((1 << BITS1) - 1))
-        self.p2, self.c2 = self.pred2.take(self.at2), self.conf2.take(self.at2)
-        self.p1, self.c1 = self.pred1.take(self.at1), self.conf1.take(self.at1)
-        one, two = self.base + 16 + self.c2, self.base + 20 + self.c1
-        both = self.base + self.c2 * 4 + self.c1
-        self.rows = (both, one, two)
-        mixed = self.counts.take(both, axis=0) * 2
-        mixed += self.counts.take(one, axis=0)
-        mixed += self.counts.take(two, axis=0)
-        self.mixed = mixed
-        self.upto = mixed.cumsum(axis=1)
+        self.sets = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) * 4
+        self.fours = np.arange(lanes, dtype=np.int64) * 4
+
+    def places(self, before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
+        """Where the contexts of the next ids are, of one step (lanes) or of many (steps, lanes)."""
+        both = np.stack(((before2 * 40503 + before1 * 2654435761) >> 7, (before1 * 40503) >> 4), axis=-2)
+        both &= (1 << BITS) - 1
+        both += self.bases
+        return both
+
+    def look(self, at: np.ndarray) -> None:
+        self.at = at
+        self.entry = self.table.take(at)
+        self.ids, self.sure = self.entry >> 2, self.entry & 3
+        self.rows = self.sets + self.sure
+        two = self.counts.take(self.rows, axis=0)
+        self.mixed = two[0] + two[1]
+        self.upto = self.mixed.cumsum(axis=1)
 
     def learn(self, ids: np.ndarray, how: np.ndarray) -> None:
-        for row in self.rows:
-            self.flat[row * 4 + how] += _STEP
-        for pred, conf, at, p, c in ((self.pred2, self.conf2, self.at2, self.p2, self.c2), (self.pred1, self.conf1, self.at1, self.p1, self.c1)):
-            hit = p == ids
-            pred[at] = np.where(hit | (c > 0), p, ids)
-            conf[at] = np.minimum(3, np.where(hit, c + 1, np.maximum(c - 1, 0)))
+        self.flat[self.rows * 4 + how] += _STEP
+        lost = np.where(self.sure > 0, self.entry - 1, ids << 2)
+        self.table[self.at] = np.where(self.ids == ids, self.entry + (self.sure < 3), lost)
 
     def age(self) -> None:
-        np.maximum(self.counts >> 1, 1, out=self.counts)
+        np.maximum(self.counts >> np.uint64(1), np.uint64(1), out=self.counts)
 
 
 def _frequencies(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,21 +81,25 @@ def _frequencies(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 class _Writer:
     def __init__(self, lanes: int, room: int) -> None:
-        self.low, self.range = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+        self.low, self.range = np.zeros(lanes, dtype=np.uint64), np.full(lanes, _FULL, dtype=np.uint64)
         self.out, self.n = np.zeros((lanes, room), dtype=np.uint32), np.zeros(lanes, dtype=np.int64)
 
     def put(self, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        share = self.range // total.astype(np.uint64)
-        self.low += share * start.astype(np.uint64)
-        self.range = share * size.astype(np.uint64)
+        share = self.range // total
+        self.low += share * start
+        self.range = share * size
+
+    def shift(self) -> None:
+        """Write a word where the range has become small. Both symbols of an id together need less than 32 bits."""
         small = np.flatnonzero(self.range < _LOW)
         if len(small):
-            low, span = self.low[small], self.range[small]
-            apart = ((low ^ (low + span)) >> _WORD) != 0
-            span = np.where(apart, (~low + np.uint64(1)) & _MASK, span)
-            self.out[small, self.n[small]] = low >> _WORD
+            low, span = self.low.take(small), self.range.take(small)
+            word = low >> _WORD
+            self.out[small, self.n.take(small)] = word
             self.n[small] += 1
-            self.low[small], self.range[small] = low << _WORD, span << _WORD
+            apart = ((low + span) >> _WORD) != word
+            self.low[small] = low << _WORD
+            self.range[small] = np.where(apart, ~low + np.uint64(1), span) << _WORD
 
     def finish(self) -> list[bytes]:
         for _ in range(2):
@@ -111,88 +116,92 @@ class _Reader:
         self.words = np.zeros((lanes, max(map(len, words)) + 2), dtype=np.uint64)
         for row, w in zip(self.words, words, strict=True):
             row[: len(w)] = w
-        self.low, self.range = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+        self.low, self.range = np.zeros(lanes, dtype=np.uint64), np.full(lanes, _FULL, dtype=np.uint64)
         self.code = (self.words[:, 0] << _WORD) | self.words[:, 1]
         self.n = np.full(lanes, 2, dtype=np.int64)
 
     def target(self, total: np.ndarray) -> np.ndarray:
-        self.share = self.range // total.astype(np.uint64)
-        return np.minimum(((self.code - self.low) // self.share).astype(np.int64), total - 1)
+        self.share = self.range // total
+        return np.minimum((self.code - self.low) // self.share, total - np.uint64(1))
 
     def take(self, start: np.ndarray, size: np.ndarray) -> None:
-        self.low += self.share * start.astype(np.uint64)
-        self.range = self.share * size.astype(np.uint64)
+        self.low += self.share * start
+        self.range = self.share * size
+
+    def shift(self) -> None:
         small = np.flatnonzero(self.range < _LOW)
         if len(small):
-            low, span = self.low[small], self.range[small]
-            apart = ((low ^ (low + span)) >> _WORD) != 0
-            span = np.where(apart, (~low + np.uint64(1)) & _MASK, span)
-            self.code[small] = (self.code[small] << _WORD) | self.words[small, self.n[small]]
+            low, span = self.low.take(small), self.range.take(small)
+            self.code[small] = (self.code.take(small) << _WORD) | self.words[small, self.n.take(small)]
             self.n[small] += 1
-            self.low[small], self.range[small] = low << _WORD, span << _WORD
+            apart = ((low ^ (low + span)) >> _WORD) != 0
+            self.low[small] = low << _WORD
+            self.range[small] = np.where(apart, ~low + np.uint64(1), span) << _WORD
 
 
 def _encode(ids: np.ndarray) -> list[bytes]:
     """One stream per row of ``ids``."""
     lanes, length = ids.shape
-    model, writer = _Model(lanes), _Writer(lanes, length * 2 + 4)
-    zero, one = np.zeros(lanes, dtype=np.int64), np.ones(lanes, dtype=np.int64)
-    before2, before1 = zero, zero
+    model, writer = _Model(lanes), _Writer(lanes, length + 4)
+    zero, one = np.zeros(lanes, dtype=np.uint64), np.ones(lanes, dtype=np.uint64)
+    steps = np.zeros((length + 2, lanes), dtype=np.int64)
+    steps[2:] = ids.T
     for t0 in range(0, length, PERIOD):
-        now = np.ascontiguousarray(ids[:, t0:t0 + PERIOD].T)
-        start, size = np.zeros(now.shape, dtype=np.int64), np.zeros(now.shape, dtype=np.int64)
+        now = steps[t0 + 2:t0 + 2 + PERIOD]
+        start, size = np.zeros(now.shape, dtype=np.uint64), np.zeros(now.shape, dtype=np.uint64)
         if t0:
-            ranked, first, often = _frequencies(ids[:, :t0])
+            ranked, _, often = _frequencies(ids[:, :t0])
             for lane in range(lanes):
                 place = np.minimum(np.searchsorted(ranked[lane], now[:, lane].astype(np.uint16)), t0 - 1)
                 known = ranked[lane][place] == now[:, lane]
                 start[:, lane], size[:, lane] = place, np.where(known, often[lane][place], 0)
             model.age()
-        base = np.where(size > 0, 2, 3)
-        start, size, total = np.where(size > 0, start, now), np.maximum(size, 1), np.where(size > 0, t0, NOVEL)
+        seen = size > 0
+        base = np.where(seen, 2, 3)
+        start, size, total = np.where(seen, start, now.astype(np.uint64)), np.maximum(size, one), np.where(seen, np.uint64(t0), np.uint64(NOVEL))
+        places = model.places(steps[t0:t0 + len(now)], steps[t0 + 1:t0 + 1 + len(now)])
         for k in range(len(now)):
             x = now[k]
-            model.look(before2, before1)
-            how = np.where(model.p2 == x, 0, np.where(model.p1 == x, 1, base[k]))
-            pick = model.lane * 4 + how
-            f = model.mixed.reshape(-1).take(pick)
-            writer.put(model.upto.reshape(-1).take(pick) - f, f, model.upto[:, 3])
+            model.look(places[k])
+            how = np.where(model.ids[0] == x, 0, np.where(model.ids[1] == x, 1, base[k]))
+            pick = model.fours + how
+            f = model.mixed.take(pick)
+            writer.put(model.upto.take(pick) - f, f, model.upto[:, 3])
             plain = how > 1
             writer.put(np.where(plain, start[k], zero), np.where(plain, size[k], one), np.where(plain, total[k], one))
+            writer.shift()
             model.learn(x, how)
-            before2, before1 = before1, x
     return writer.finish()
 
 
 def _decode(blocks: list[bytes], length: int) -> np.ndarray:
     lanes = len(blocks)
     model, reader = _Model(lanes), _Reader(blocks)
-    ids = np.zeros((length, lanes), dtype=np.int64)
-    zero, one = np.zeros(lanes, dtype=np.int64), np.ones(lanes, dtype=np.int64)
-    before2, before1 = zero, zero
-    ranked = first = often = np.zeros((lanes, 1), dtype=np.int32)
+    steps = np.zeros((length + 2, lanes), dtype=np.int64)
+    none, one = np.zeros(lanes, dtype=np.int64), np.ones(lanes, dtype=np.uint64)
+    lane = np.arange(lanes, dtype=np.int64)
+    ranked = first = often = np.zeros((lanes, 1), dtype=np.int64)
     for t in range(length):
         if t and t % PERIOD == 0:
-            ranked, first, often = _frequencies(ids[:t].T)
+            ranked, first, often = _frequencies(steps[2:t + 2].T)
             model.age()
-        seen = t - t % PERIOD
-        model.look(before2, before1)
-        total = model.upto[:, 3]
-        got = reader.target(total)
-        how = (model.upto[:, :3] <= got[:, None]).sum(axis=1)
-        pick = model.lane * 4 + how
-        f = model.mixed.reshape(-1).take(pick)
-        reader.take(model.upto.reshape(-1).take(pick) - f, f)
-        total = np.where(how == 2, seen, np.where(how == 3, NOVEL, one))
-        got = reader.target(total)
-        place = model.lane * max(seen, 1) + np.where(how == 2, got, zero)
-        old = ranked.reshape(-1).take(place).astype(np.int64)
-        x = np.where(how == 0, model.p2, np.where(how == 1, model.p1, np.where(how == 2, old, got)))
-        reader.take(np.where(how == 2, first.reshape(-1).take(place), np.where(how == 3, got, zero)), np.where(how == 2, often.reshape(-1).take(place), one))
+        seen = max(1, t - t % PERIOD)
+        model.look(model.places(steps[t], steps[t + 1]))
+        upto = model.upto
+        got = reader.target(upto[:, 3])
+        how = (upto[:, :3] <= got[:, None]).sum(axis=1)
+        pick = model.fours + how
+        f = model.mixed.take(pick)
+        reader.take(upto.take(pick) - f, f)
+        counted, fresh = how == 2, how == 3
+        got = reader.target(np.where(counted, np.uint64(seen), np.where(fresh, np.uint64(NOVEL), one)))
+        place = lane * seen + np.where(counted, got.astype(np.int64), none)
+        x = np.where(counted, ranked.take(place), np.where(fresh, got.astype(np.int64), np.where(how == 0, model.ids[0], model.ids[1])))
+        reader.take(np.where(counted, first.take(place), np.where(fresh, x, none)).astype(np.uint64), np.where(counted, often.take(place), 1).astype(np.uint64))
+        reader.shift()
         model.learn(x, how)
-        ids[t] = x
-        before2, before1 = before1, x
-    return ids.T
+        steps[t + 2] = x
+    return steps[2:].T
 
 
 def block_length(n: int) -> int:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import materialize
-from .common import PLAIN_WORD, ascii_lower
+from .common import PLAIN_WORD, ascii_lower, small_side
 
 # Rows whose crc32 of the id, written as text, leaves this remainder by five are never learnt from.
 HELD_OUT = 0
@@ -49,27 +49,33 @@ def maximal_segments(hits: list[tuple[int, float]], neutral: float) -> list[tupl
     return [(a, b, high - low) for a, b, low, high, _ in out]
 
 
-def train_words(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, least: int = 5, z: float = 4.0, prior: float = 1.0, terms: int = 50_000) -> dict:
+def train_words(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, least: int = 3, z: float = 3.3, terms: int = 50_000) -> dict:
     """Scores of words from the labelled rows that are not held out.
 
-    Each word's log-odds, with the whole vocabulary's frequencies as Dirichlet prior, count if the word occurs ``least``
-    times and its odds lie ``z`` standard errors above even; ``terms`` bounds the size of the model. Returns the scores,
-    and the rate of each scored word in clean text.
+    Counts are of different texts that hold a word, so neither a word repeated all over one text nor a text copied many
+    times weighs more than once. The log-odds of a word are those of its posterior in toxic and clean texts, with a
+    Dirichlet prior of half a text plus the word's share of all; they count if ``least`` texts hold the word and the odds
+    lie ``z`` standard errors above even. ``terms`` bounds the size of the model. Returns the scores, and how often each
+    scored word comes up in clean text.
     """
-    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(~held_out(F.col("doc_id"))).join(labels, "doc_id")
-    words = known.select("toxic", F.explode(F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(PLAIN_WORD), 0)).alias("w"))
-    counts = materialize(words.groupBy("w").agg(
-        F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c")).where(f"t + c >= {least}"), "words")
-    sums = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
-    nt, nc = sums["t"] or 0.0, sums["c"] or 0.0
+    learnt = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(~held_out(F.col("doc_id")))
+    thin = learnt.select("doc_id", F.xxhash64("text").alias("h")).join(labels, "doc_id")
+    one_each = materialize(thin.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "learnt")
+    sums = one_each.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
+    nt, nc = sums["t"] or 0, sums["n"] - (sums["t"] or 0)
     if not nt or not nc:
         return {"scores": {}, "rates": {}}
-    mass = F.lit(prior * 1000.0) * (F.col("t") + F.col("c")) / (nt + nc)
-    odds = lambda k, n: F.log((F.col(k) + mass) / (n + prior * 1000.0 - F.col(k) - mass))
+    known = learnt.withColumn("h", F.xxhash64("text")).join(small_side(one_each, sums["n"], 48), ["doc_id", "h"])
+    words = known.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(PLAIN_WORD), 0))).alias("w"))
+    counts = materialize(words.groupBy("w").agg(
+        F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c")).where(f"t + c >= {least}"), "words")
+    seen = counts.agg(F.sum("c").alias("c")).first()["c"] or 0.0
+    prior = F.lit(0.5) + (F.col("t") + F.col("c")) / (nt + nc)
+    odds = lambda k, n: F.log((F.col(k) + prior) / (n + 1.5 - F.col(k)))
     gain = odds("t", nt) - odds("c", nc)
-    error = F.sqrt(1 / (F.col("t") + mass) + 1 / (F.col("c") + mass))
+    error = F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
     rows = counts.select("w", "c", gain.alias("s"), (gain / error).alias("z")).where(f"z >= {z} AND s > 0").orderBy(F.desc("z"), "w").limit(terms).collect()
-    return {"scores": {r["w"]: r["s"] for r in rows}, "rates": {r["w"]: (r["c"] + 0.5) / (nc + 0.5) for r in rows}}
+    return {"scores": {r["w"]: r["s"] for r in rows}, "rates": {r["w"]: (r["c"] + 0.5) / (seen + 0.5) for r in rows}}
 
 
 def decay(model: dict, neutral: float) -> float:

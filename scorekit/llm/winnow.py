@@ -43,9 +43,9 @@ def decontaminate(
     """How much of each document repeats benchmark items word for word.
 
     A window is any ``span`` consecutive words of an item, or a whole item of fewer; words are lower-cased (A-Z). Returns
-    one row per input row: ``doc_id, n_words, n_hit, n_items, item_ids, contaminated``, where ``n_hit`` counts the words
+    one row per input row: ``doc_id, row, n_words, n_hit, n_items, item_ids, contaminated``, where ``n_hit`` counts the words
     inside occurrences of windows and ``item_ids`` lists, as sorted strings, the items whose windows occur. A null text
-    has no words; an item without words has no window; an item without an id marks words but is not listed. Rows that
+    has no words; ``row`` is the :func:`row_key`; an item without words has no window; an item without an id marks words but is not listed. Rows that
     share an id are judged each by its own text. Empty tables on either side give no hits.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -101,7 +101,7 @@ def decontaminate(
     zero = F.lit(0).cast("long")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return marked.select("doc_id", "row", "n_words").join(found_rows, "row", "left").select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", zero).alias("n_hit"),
+        "doc_id", "row", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", zero).alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
     )
 
