@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import materialize
+from ..staging import drop_path, materialize, new_path
 from .common import SPACED_WORD, ascii_lower, let, row_key, small_side
 from .graph import components
 
@@ -59,9 +59,10 @@ class Shard:
     def search(self, query: np.ndarray) -> np.ndarray:
         """Numbers of the sets with a Jaccard similarity to ``query`` of 0.8 or more."""
         least = -(-4 * len(query) // 5)
-        at = np.searchsorted(self.tokens, query)
-        at = at[at < len(self.tokens)]
-        at = at[np.isin(self.tokens[at], query)]
+        if not len(query) or not len(self.tokens):
+            return np.zeros(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
+        at = at[self.tokens[at] == query]
         if len(at) < least:
             return np.zeros(0, dtype=np.int64)
         starts, ends = self.starts[at], self.ends[at]
@@ -120,7 +121,10 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     n = F.size("ts")
     lead = (n - needed(n) + 1).alias("lead")
     base = sets.select("doc_id", "row", F.xxhash64("ts").alias("key"), n.alias("n"), F.monotonically_increasing_id().alias("node"), lead, F.slice("ts", 1, (lead * 2).cast("int")).alias("first"))
-    base = materialize(base, "sets")
+    path = new_path(docs.sparkSession, "sets")
+    base.write.parquet(path)
+    wide = docs.sparkSession.read.schema(base.schema).parquet(path)
+    base = materialize(wide.drop("lead", "first"), "rows")
 
     # A class is named by one of its rows.
     keyed = base.where("n > 0").groupBy("key").agg(F.min("node").alias("node"), F.count("*").alias("rows"), F.min("doc_id").alias("least_id"))
@@ -128,11 +132,11 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     copied = keyed.where("rows > 1").select("key", F.col("node").alias("named"))
     others = base.where("n > 0").select("key", "node").join(copied, "key").where("node <> named").select("node")
     others = materialize(others, "copies")
-    classes = base.where("n > 0").join(small_side(others, others.count(), 32), "node", "left_anti").select("node", "row", "n", "lead", "first")
-
-    common = _common_tokens(classes)
-    heads = materialize(_heads(rows, classes, common), "heads")
-    links = _links(rows, classes.select("node", "row", "n"), heads)
+    side = small_side(others, others.count(), 32)
+    classes = wide.where("n > 0").join(side, "node", "left_anti").select("node", "row", "n", "lead", "first")
+    nodes = _heads(rows, classes, _common_tokens(classes))
+    drop_path(docs.sparkSession, path)
+    links = _links(rows, nodes)
 
     roots = components(links)
     named = keyed.join(roots, "node", "left").select("key", "least_id", F.coalesce("root", "node").alias("root"))
@@ -167,8 +171,12 @@ def _common_tokens(classes: DataFrame) -> DataFrame:
     return both.where(F.col("n") >= floor)
 
 
+_HEADS = "node bigint, row bigint, n int, lead int, head array<bigint>, last bigint, short boolean"
+
+
 def _heads(rows: DataFrame, classes: DataFrame, common: DataFrame) -> DataFrame:
-    """``node, n, t``: the first tokens of each class in the order that puts common tokens last."""
+    """``node, row, n, lead, head, last``: the ``lead`` first tokens of each class in the order that puts common tokens
+    last, and the last one of them, or the largest number if that is common."""
     table = classes.sparkSession.sparkContext.broadcast(np.sort(np.array([r["t"] for r in common.select("t").collect()], dtype=np.int64)))  # COMMON_MOST at most
 
     def flagged(tokens: np.ndarray) -> np.ndarray:
@@ -180,36 +188,38 @@ def _heads(rows: DataFrame, classes: DataFrame, common: DataFrame) -> DataFrame:
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The first tokens where the leading part shows them; else none, and ``short`` is set."""
         for batch in batches:
-            nodes, sizes, out, short = [], [], [], []
-            for node, size, lead, first in zip(batch["node"], batch["n"], batch["lead"], batch["first"], strict=True):
-                rare = first[~flagged(first)][:lead]
+            heads, last, short = [], [], []
+            for size, lead, first in zip(batch["n"], batch["lead"], batch["first"], strict=True):
+                often = flagged(first)
+                rare = first[~often][:lead]
+                last.append(int(rare[-1]) if len(rare) == lead else np.iinfo(np.int64).max)
                 if len(rare) < lead and len(first) == size:
-                    rare = np.concatenate([rare, first[flagged(first)][: lead - len(rare)]])
-                nodes.append(node)
-                sizes.append(size)
+                    rare = np.concatenate([rare, first[often][: lead - len(rare)]])
                 short.append(len(rare) < lead)
-                out.append(rare if len(rare) == lead else rare[:0])
-            yield pd.DataFrame({"node": nodes, "n": sizes, "head": out, "short": short})
+                heads.append(rare if len(rare) == lead else rare[:0])
+            yield batch[["node", "row", "n", "lead"]].assign(head=heads, last=last, short=short)
 
-    picked = materialize(classes.select("node", "n", "lead", "first").mapInPandas(pick, "node bigint, n int, head array<bigint>, short boolean"), "picked")
-    short = picked.where("short").select("node").join(classes.select("node", "row", "n", "lead"), "node")
-    short = materialize(short, "short")
+    picked = materialize(classes.mapInPandas(pick, _HEADS), "picked")
+    short = materialize(picked.where("short").select("node", "row", "n", "lead"), "short")
     # Documents made up mostly of common tokens show their order only as a whole.
     whole = rows.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "text").join(small_side(short, short.count(), 48), "row").select(
-        "node", "n", "lead", token_set(F.col("text")).alias("first"))
-    again = whole.mapInPandas(pick, "node bigint, n int, head array<bigint>, short boolean").dropDuplicates(["node"])
-    return picked.where("NOT short").unionByName(again).select("node", "n", F.explode("head").alias("t"))
+        "node", "row", "n", "lead", token_set(F.col("text")).alias("first"))
+    again = materialize(whole.mapInPandas(pick, _HEADS).dropDuplicates(["node"]), "again")
+    return picked.where("NOT short").unionByName(again).drop("short")
 
 
-def _links(rows: DataFrame, classes: DataFrame, heads: DataFrame) -> DataFrame:
+def _links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links that connect whatever is connected."""
+    classes = nodes.select("node", "row", "n")
+    heads = nodes.select("node", F.posexplode("head").alias("pos", "t"))
     stats = heads.groupBy("t").agg(F.count("*").alias("k"), F.min("node").alias("hub")).where(f"k > {COMMON}")
     stats = materialize(stats, "frequent")
     k = stats.count()
     near = comps = None
     if k:
         # Members of frequent tokens are compared with one of them first, which gathers groups of near copies.
-        pairs = heads.join(small_side(stats, k, 64), "t").where("node <> hub").groupBy("node", "n", "hub").agg(F.count("*").alias("shared"))
+        frequent = materialize(heads.join(small_side(stats, k, 64), "t").select("t", "node", "hub"), "members")
+        pairs = frequent.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("shared")).join(classes, "node")
         pairs = materialize(pairs.where(F.col("shared") * 25 >= F.col("n")).select("node", F.col("hub").alias("target")), "pairs")
         placed = _place(classes, None)
         asked = pairs.join(placed.select(F.col("node").alias("target"), "shard"), "target").select("node", "shard").distinct()
@@ -217,20 +227,43 @@ def _links(rows: DataFrame, classes: DataFrame, heads: DataFrame) -> DataFrame:
         comps = components(near)
 
     placed = _place(classes, comps)
-    rare = heads.join(small_side(stats.select("t"), k, 48), "t", "left_anti") if k else heads
-    a, b = rare.select("t", "node", "n"), rare.select("t", F.col("node").alias("target"), F.col("n").alias("m"))
-    pairs = a.join(b, "t").where("node < target AND 5 * least(n, m) >= 4 * greatest(n, m)").select("node", "target").distinct()
-    pairs = materialize(pairs, "pairs")
+    pairs = _pairs(heads, nodes, stats, k)
     own, far = placed.select("node", "comp"), placed.select(F.col("node").alias("target"), F.col("comp").alias("other"), "shard")
     pairs = materialize(pairs.join(own, "node").join(far, "target").where("comp <> other"), "pairs")
     asked, index = pairs.select("node", "shard"), pairs.select(F.col("target").alias("node"))
     if k:
-        some_asked, some_index = _across(heads.join(small_side(stats.select("t"), k, 48), "t"), placed)
+        some_asked, some_index = _across(frequent, placed)
         asked, index = asked.unionByName(some_asked), index.unionByName(some_index)
     more = materialize(_search(rows, placed, asked.distinct(), index.distinct()), "far")
     return more if near is None else near.unionByName(more)
 
 
+def _pairs(heads: DataFrame, nodes: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    """Pairs (node, target) that share tokens of their heads, frequent ones aside, and may be similar enough.
+
+    Tokens shared up to the nearer end of both heads are all in the heads, so those and the rest of the set with that
+    end bound the overlap. Frequent tokens are not looked at here and count as shared as far as both sets have any.
+    """
+    rare = heads.join(small_side(stats.select("t"), k, 48), "t", "left_anti") if k else heads
+    a, b = rare.select("t", "node", "pos"), rare.select("t", F.col("node").alias("target"), F.col("pos").alias("far_pos"))
+    met = a.join(b, "t").where("node < target").groupBy("node", "target").agg(
+        F.count("*").alias("shared"), F.max("pos").alias("x"), F.max("far_pos").alias("y"))
+    facts = nodes.select("node", "n", "lead", "last")
+    if k:
+        often = heads.join(small_side(stats.select("t"), k, 48), "t", "left_semi").groupBy("node").agg(F.count("*").alias("often"))
+        facts = facts.join(often, "node", "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    else:
+        facts = facts.withColumn("often", F.lit(0))
+    facts = materialize(facts, "facts")
+    there = facts.select(*[F.col(c).alias(d) for c, d in zip(facts.columns, ("target", "m", "far_lead", "far_last", "far_often"), strict=True)])
+    met = materialize(met, "met").join(facts, "node").join(there, "target")
+    behind = F.least(F.col("n") - F.col("x") - 1, F.col("m") - F.col("y") - 1)
+    here = F.when(F.col("last") < F.col("far_last"), F.col("n") - F.col("lead")).when(F.col("last") > F.col("far_last"), F.col("m") - F.col("far_lead"))
+    most = F.col("shared") + F.least("often", "far_often") + F.least(behind, here)  # least() passes over null
+    enough = 9 * most >= 4 * (F.col("n") + F.col("m"))
+    return met.where((5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & enough).select("node", "target")
+
+
 def _place(classes: DataFrame, comps: DataFrame | None) -> DataFrame:
     """``node, row, n, comp, shard``: components stay together in a shard, or in as many as their size asks for."""
     nodes = classes.select("node", "row", "n")
