@@ -50,9 +50,12 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     same = Window.partitionBy("doc_id", "recipe").orderBy(F.lit(1))
     rows = recipes.withColumn("copy", F.row_number().over(same))
     groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return rows.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256",
+    groups = materialize(groups.where("group_size > 1"), "groups")  # written, so that the join can split a large group's rows
+    out = rows.join(groups, "recipe", "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return out.select(
+        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (F.col("doc_id").eqNullSafe(keep) & (F.col("copy") == 1)).alias("kept"), "text_sha256",
     )
 
 
