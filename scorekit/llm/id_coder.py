@@ -12,10 +12,11 @@ import zlib
 
 import numpy as np
 
-PERIOD = 1024  # ids after which the order-0 frequencies are brought up to date
-LONGEST, SHORTEST = 16384, 2048  # ids of a block
-LANES = 512  # blocks coded side by side
-BITS = 12  # of the number of contexts of each order
+FIRST = 512  # ids after which order-0 frequencies are first taken, and again whenever their number has doubled
+PERIOD = 1024  # ids after which the mixing counts are halved
+LONGEST, SHORTEST = 16384, 1024  # ids of a block
+LANES = 2048  # blocks coded side by side
+BITS = 10  # of the number of contexts of each order
 NOVEL = 1 << 16  # ids are below this
 _MASK = np.uint64(0xFFFFFFFF)
 _WORD = np.uint64(32)
@@ -33,7 +34,7 @@ class _Model:
     """
 
     def __init__(self, lanes: int) -> None:
-        self.table = np.zeros(lanes << (BITS + 1), dtype=np.int64)
+        self.table = np.zeros(lanes << (BITS + 1), dtype=np.int32)
         self.bases = (np.arange(2 * lanes, dtype=np.int64) << BITS).reshape(2, lanes)
         self.counts = np.tile(_PRIOR, (lanes * 8, 1))
         self.flat = self.counts.reshape(-1)
@@ -62,12 +63,13 @@ class _Model:
         self.table[self.at] = np.where(self.ids == ids, self.entry + (self.sure < 3), lost)
 
     def age(self) -> None:
+        """Keeps totals below 2^15, so that both symbols of an id fit between two shifts of the coder."""
         np.maximum(self.counts >> np.uint64(1), np.uint64(1), out=self.counts)
 
 
 def _frequencies(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids seen so far in order, and for each place where its id begins there and how often it occurs."""
-    ranked = np.sort(seen.astype(np.uint16), axis=1, kind="stable")
+    ranked = np.sort(np.ascontiguousarray(seen, dtype=np.uint16), axis=1, kind="stable")
     places = np.arange(ranked.shape[1], dtype=np.int32)
     change = ranked[:, 1:] != ranked[:, :-1]
     first = np.zeros(ranked.shape, dtype=np.int32)
@@ -75,7 +77,7 @@ def _frequencies(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     np.maximum.accumulate(first, axis=1, out=first)
     last = np.full(ranked.shape, ranked.shape[1], dtype=np.int32)
     last[:, :-1] = np.where(change, places[1:], ranked.shape[1])
-    last = np.minimum.accumulate(last[:, ::-1], axis=1)[:, ::-1]
+    last = np.ascontiguousarray(np.minimum.accumulate(last[:, ::-1], axis=1)[:, ::-1])
     return ranked, first, last - first
 
 
@@ -139,6 +141,14 @@ class _Reader:
             self.range[small] = np.where(apart, ~low + np.uint64(1), span) << _WORD
 
 
+def _stretches(length: int) -> list[tuple[int, int]]:
+    """From where to where the same order-0 frequencies hold."""
+    ends = [0, FIRST]
+    while ends[-1] < length:
+        ends.append(ends[-1] * 2)
+    return [(a, min(b, length)) for a, b in zip(ends, ends[1:]) if a < length]
+
+
 def _encode(ids: np.ndarray) -> list[bytes]:
     """One stream per row of ``ids``."""
     lanes, length = ids.shape
@@ -146,8 +156,8 @@ def _encode(ids: np.ndarray) -> list[bytes]:
     zero, one = np.zeros(lanes, dtype=np.uint64), np.ones(lanes, dtype=np.uint64)
     steps = np.zeros((length + 2, lanes), dtype=np.int64)
     steps[2:] = ids.T
-    for t0 in range(0, length, PERIOD):
-        now = steps[t0 + 2:t0 + 2 + PERIOD]
+    for t0, t1 in _stretches(length):
+        now = steps[t0 + 2:t1 + 2]
         start, size = np.zeros(now.shape, dtype=np.uint64), np.zeros(now.shape, dtype=np.uint64)
         if t0:
             ranked, _, often = _frequencies(ids[:, :t0])
@@ -155,12 +165,13 @@ def _encode(ids: np.ndarray) -> list[bytes]:
                 place = np.minimum(np.searchsorted(ranked[lane], now[:, lane].astype(np.uint16)), t0 - 1)
                 known = ranked[lane][place] == now[:, lane]
                 start[:, lane], size[:, lane] = place, np.where(known, often[lane][place], 0)
-            model.age()
         seen = size > 0
         base = np.where(seen, 2, 3)
         start, size, total = np.where(seen, start, now.astype(np.uint64)), np.maximum(size, one), np.where(seen, np.uint64(t0), np.uint64(NOVEL))
         places = model.places(steps[t0:t0 + len(now)], steps[t0 + 1:t0 + 1 + len(now)])
         for k in range(len(now)):
+            if (t0 + k) % PERIOD == 0:
+                model.age()
             x = now[k]
             model.look(places[k])
             how = np.where(model.ids[0] == x, 0, np.where(model.ids[1] == x, 1, base[k]))
@@ -181,11 +192,13 @@ def _decode(blocks: list[bytes], length: int) -> np.ndarray:
     none, one = np.zeros(lanes, dtype=np.int64), np.ones(lanes, dtype=np.uint64)
     lane = np.arange(lanes, dtype=np.int64)
     ranked = first = often = np.zeros((lanes, 1), dtype=np.int64)
+    seen, due = 1, dict(_stretches(length))
     for t in range(length):
-        if t and t % PERIOD == 0:
+        if t and t in due:
             ranked, first, often = _frequencies(steps[2:t + 2].T)
+            seen = t
+        if t % PERIOD == 0:
             model.age()
-        seen = max(1, t - t % PERIOD)
         model.look(model.places(steps[t], steps[t + 1]))
         upto = model.upto
         got = reader.target(upto[:, 3])
