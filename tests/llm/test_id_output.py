@@ -1,0 +1,81 @@
+"""Round trips of the coder, and the files against the tokenizer itself."""
+
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from scorekit.llm import id_coder
+from scorekit.llm.id_output import FILE_SCHEMA, read_ids, write_ids
+from scorekit.staging import new_path
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.mark.parametrize("ids", [
+    [], [7], [0] * 5000, list(range(3000)), [65535, 0] * 900, [1, 2, 3] * 4000 + [49407] * 50,
+    np.random.default_rng(3).integers(0, 65536, 9000).tolist(),
+    np.minimum(np.random.default_rng(5).zipf(1.2, 40_000), 65535).tolist(),
+])
+def test_round_trip(ids):
+    blocks = id_coder.encode(np.array(ids, dtype=np.int64))
+    assert sum(n for n, _, _ in blocks) == len(ids)
+    assert id_coder.decode(blocks).tolist() == ids
+
+
+def test_blocks_stand_alone_and_predictable_ids_shrink():
+    ids = np.tile(np.arange(100), 100)
+    blocks = id_coder.encode(ids)
+    assert len(blocks) > 1
+    assert np.array_equal(np.concatenate([id_coder.decode([b]) for b in blocks]), ids)
+    assert sum(len(b) for _, _, b in blocks) < len(ids)  # less than half of two bytes each
+    assert np.array_equal(id_coder.decode(blocks[::-1]), np.concatenate([id_coder.decode([b]) for b in blocks[::-1]]))
+
+
+def test_damage_is_noticed():
+    (n, crc, coded), *_ = id_coder.encode(np.arange(500) * 7 % 1000)
+    broken = coded[:40] + bytes([coded[40] ^ 1]) + coded[41:]
+    with pytest.raises(ValueError, match="damaged"):
+        id_coder.decode([(n, crc, broken)])
+
+
+def expected(rows):
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    out, start = [], 0
+    for d, t in rows:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+        out.append((d, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), ids))
+        start += len(ids)
+    return out
+
+
+TEXTS = ["", None, "a", "  Hello,\tWORLD\n", "it's 1234 isn't", " x y ́ é É", "<|endoftext|> and<|startoftext|>x", "ΣΑΣ ẞ \U0001f600\U0001f1e9", "!!!??? ###", "word " * 30_000]
+
+
+def test_files_hold_what_the_tokenizer_says(spark):
+    rows = [(i * 3, t) for i, t in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("start", F.lit("clash")).withColumn("range", F.lit(1)).repartition(5)
+    path = new_path(spark, "ids")
+    write_ids(df, path, VOCABULARY, 2)
+    got = [tuple(r) for r in read_ids(spark, path, with_ids=True).orderBy("doc_id").collect()]
+    assert got == expected(rows)
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = [(5, "b b"), (5, "b b"), (5, "c"), (None, "n"), (None, None), (1, "z")]
+    path = new_path(spark, "ids")
+    write_ids(spark.createDataFrame(rows, "doc_id bigint, text string"), path, VOCABULARY, 2)
+    got = sorted(map(tuple, read_ids(spark, path).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, None, 1, 5, 5, 5]
+    assert [r[1] for r in got] == list(np.cumsum([0] + [r[2] for r in got[:-1]]))
+    assert sorted(r[3] for r in got) == sorted(r[3] for r in expected(rows))
+
+
+def test_no_documents(spark):
+    path = new_path(spark, "ids")
+    write_ids(spark.createDataFrame([], "doc_id bigint, text string"), path, VOCABULARY, 2)
+    assert read_ids(spark, path).count() == 0
+    assert spark.read.schema(FILE_SCHEMA).parquet(path).count() == 0

@@ -1,0 +1,117 @@
+"""Groups against all pairs compared one by one, with the limits lowered so that every way of the search is taken."""
+
+import random
+
+import numpy as np
+import pytest
+
+from scorekit.llm import jaccard_join
+from scorekit.llm.graph import components
+from scorekit.llm.jaccard_join import Shard, jaccard_groups
+
+
+def shingles(t):
+    ws = (t or "").encode().lower().split()
+    return frozenset(tuple(ws[i:i + 5]) for i in range(len(ws) - 4)) if len(ws) >= 5 else frozenset([tuple(ws)] if ws else [])
+
+
+def expected(rows):
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return sorted(((d, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
+
+
+def got(df):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in df.collect()), key=str)
+
+
+def corpus(seed, clusters=6, size=12, common=True):
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(40)]
+
+    def some(n):
+        return [f"w{rng.randrange(4000)}" for _ in range(n)]
+
+    rows, d = [], 0
+    for _ in range(clusters):
+        base = some(rng.randrange(30, 200))
+        for _ in range(size):
+            ws = list(base)
+            for _ in range(rng.randrange(0, 6)):
+                ws[rng.randrange(len(ws))] = f"m{rng.randrange(9999)}"
+            base = ws if rng.random() < 0.3 else base  # chains: the ends of a group need not be alike
+            rows.append((1000 - d, " ".join(ws)))
+            d += 1
+    if common:
+        for _ in range(40):
+            rows.append((2000 + d, " ".join(some(rng.randrange(5, 90)) + passage)))
+            d += 1
+        rows += [(3000 + k, " ".join(passage[:38 + k % 3])) for k in range(6)]
+    rows += [(1, None), (2, ""), (3, " \t"), (4, "One two"), (5, "one\ntwo"), (6, "one two three"), (7, "a b c d e"), (8, "A b c d e"),
+             (None, "a b c d e"), (None, "alone without any id here"), (4, "one two"), (4, "something else under the same id"), (9, "x " * 20_000)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed, least, shard", [(1, 16, 2_000_000), (2, 2, 500), (3, 4, 2000)])
+def test_groups(spark, monkeypatch, seed, least, shard):
+    monkeypatch.setattr(jaccard_join, "COMMON", least)
+    monkeypatch.setattr(jaccard_join, "SHARD", shard)
+    rows = corpus(seed)
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id bigint, text string, node int, key string").repartition(6)
+    assert got(jaccard_groups(df)) == expected(rows)
+
+
+def test_few_common_tokens_allowed(spark, monkeypatch):
+    """Where there are too many common tokens, only the commonest are treated as such; groups stay the same."""
+    monkeypatch.setattr(jaccard_join, "COMMON", 2)
+    monkeypatch.setattr(jaccard_join, "COMMON_MOST", 30)
+    rows = corpus(4, clusters=4)
+    assert got(jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string"))) == expected(rows)
+
+
+def test_many_near_copies(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for d in range(1500):
+        ws = list(base)
+        ws[rng.randrange(150)] = f"m{d}"
+        rows.append((d, " ".join(ws)))
+    out = jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert out.where("component_id = 0").count() == 1500
+
+
+def test_no_rows_or_words(spark):
+    assert jaccard_groups(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+    assert got(jaccard_groups(spark.createDataFrame([(1, None)], "doc_id bigint, text string"))) == [(1, 0, 1)]
+
+
+def test_search_finds_every_partner():
+    rng = np.random.default_rng(2)
+    shared = rng.integers(0, 10**9, 30)
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 300, n)])) for n in rng.integers(0, 12, 300)]
+    shard = Shard(sets)
+    for q in [*sets[:60], np.array([1, 2, 3]), shared[:0], np.sort(shared[:25])]:
+        want = [i for i, s in enumerate(sets) if len(q) and 5 * len(np.intersect1d(q, s)) >= 4 * len(np.union1d(q, s))]
+        assert sorted(shard.search(q)) == want
+
+
+def test_components_of_long_chains(spark):
+    links = [(i, i + 1) for i in range(300)] + [(1000, k) for k in range(1001, 1400)] + [(7000, 7000), (8001, 8000), (8000, 8001)]
+    roots = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert {roots[i] for i in range(301)} == {0} and {roots[i] for i in range(1000, 1400)} == {1000} and roots[8001] == 8000
