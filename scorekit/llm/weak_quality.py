@@ -13,40 +13,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import materialize
-from .common import SPACED_WORD, row_key
+from .common import row_key
 
 GOOD, JUNK, NONE = 1, 0, 2
 ECHO = r"(?<!\S)(\S++)(?=\s++\1(?!\S))"  # a word that comes again at once
+REPEATED = "\u0001"
+ENDS = ".,!?;:"
+PLAIN = [shape + end for shape in ("a", "Aa", "A", "9") for end in ("", *ENDS)]  # shapes of letters with one sign at most
 
 
-def votes(text: Column) -> dict[str, Column]:
-    """What each heuristic says of a text: good, junk, or nothing."""
+def measures(text: Column, words: Column) -> dict[str, Column]:
+    """What the heuristics look at, in a text and the shapes of its words."""
     count = lambda p: F.regexp_count(text, F.lit(p))
-    n, chars, letters = count(SPACED_WORD), F.length(text), count(r"\p{L}")
-    symbols, capitals = count(r"[^\p{L}\p{N}\s]"), count(r"\p{Lu}")
-    ends, lower, plain = count(r"[.,!?;:](?!\S)"), count(r"(?<!\S)\p{Ll}"), count(r"(?<!\S)\p{L}++[.,!?;:]?+(?!\S)")
+    among = lambda keep: F.size(F.filter(words, keep))
     lines = F.split(text, "\n")
+    return {
+        "n": F.size(words), "chars": F.length(text), "letters": F.length(F.regexp_replace(text, r"\P{L}++", "")),
+        "symbols": count(r"[^\p{L}\p{N}\s]"), "capitals": count(r"\p{Lu}"), "echoes": among(lambda w: w == REPEATED),
+        "ends": among(lambda w: F.substring(w, -1, 1).isin(list(ENDS))), "lower": among(lambda w: F.substring(w, 1, 1) == "a"),
+        "plain": among(lambda w: w.isin(PLAIN)), "lines": F.size(lines), "lines_apart": F.size(F.array_distinct(lines)),
+    }
+
 
-    def vote(junk: Column, good: Column, applies: Column) -> Column:
-        return F.when(~applies, NONE).when(junk, JUNK).when(good, GOOD).otherwise(NONE)
+def votes() -> dict[str, Column]:
+    """What each heuristic makes of the measures: good, junk, or nothing."""
+    def vote(junk: str, good: str, applies: str) -> Column:
+        return F.expr(f"CASE WHEN NOT ({applies}) THEN {NONE} WHEN {junk} THEN {JUNK} WHEN {good} THEN {GOOD} ELSE {NONE} END")
 
-    some = n >= 20
     return {
-        "symbols": vote(symbols >= 0.075 * chars, symbols <= 0.05 * chars, chars > 0),
-        "capitals": vote(capitals >= 0.3 * letters, capitals <= 0.06 * letters, letters >= 10),
-        "echoes": vote(count(ECHO) >= 0.1 * n, count(ECHO) <= 0.02 * n, n >= 2),
-        "sentences": vote((ends <= 0.05 * n) | (ends >= 0.4 * n), (ends >= 0.08 * n) & (ends <= 0.25 * n), some),
-        "case": vote(lower <= 0.6 * n, lower >= 0.8 * n, some),
-        "words": vote(plain <= 0.75 * n, plain >= 0.95 * n, n >= 5),
-        "lines": vote(F.size(F.array_distinct(lines)) <= 0.5 * F.size(lines), F.size(F.array_distinct(lines)) >= 0.9 * F.size(lines), F.size(lines) >= 4),
+        "v_symbols": vote("symbols >= 0.075 * chars", "symbols <= 0.05 * chars", "n >= 20"),
+        "v_capitals": vote("capitals >= 0.3 * letters", "capitals <= 0.06 * letters", "n >= 20"),
+        "v_echoes": vote("echoes >= 0.1 * n", "echoes <= 0.02 * n", "n >= 2"),
+        "v_sentences": vote("ends <= 0.05 * n OR ends >= 0.4 * n", "ends BETWEEN 0.08 * n AND 0.25 * n", "n >= 20"),
+        "v_case": vote("lower <= 0.6 * n", "lower >= 0.8 * n", "n >= 20"),
+        "v_words": vote("plain <= 0.5 * n", "plain >= 0.95 * n", "n >= 5"),
+        "v_lines": vote("lines_apart <= 0.5 * lines", "lines_apart >= 0.9 * lines", "lines >= 4"),
     }
 
 
 def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> tuple[float, list[list[list[float]]]]:
-    """Share of good documents, and for each labeller its chances to vote junk, good or nothing on junk and on good ones.
+    """Share of good documents, and for each labeller its chances to vote junk or good on junk and on good ones.
 
     Expectation-maximisation over the counts of vote patterns, from the majority of votes. Labellers are taken as
-    independent given the class.
+    independent given the class, and silence, which mostly means that a text is short, says nothing about it.
     """
     posterior = {}
     for v in patterns:
@@ -61,10 +70,11 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> tuple[f
         chances = [[[0.0] * 3 for _ in range(2)] for _ in range(width)]
         for k in range(width):
             for c in range(2):
-                seen = [1.0] * 3
+                seen = [1.0, 1.0]
                 for v, n in patterns.items():
-                    seen[v[k]] += n * (posterior[v] if c else 1 - posterior[v])
-                chances[k][c] = [s / (mass[c] + 3) for s in seen]
+                    if v[k] != NONE:
+                        seen[v[k]] += n * (posterior[v] if c else 1 - posterior[v])
+                chances[k][c] = [seen[0] / sum(seen), seen[1] / sum(seen), 1.0]  # no vote, no evidence
         moved = {v: judge(v, share, chances) for v in patterns}
         change = max((abs(moved[v] - posterior[v]) for v in patterns), default=0.0)
         posterior = moved
@@ -80,9 +90,9 @@ def judge(v: tuple[int, ...], share: float, chances: list[list[list[float]]]) ->
 
 
 def shapes(text: Column) -> Column:
-    """Words as shapes: runs of small letters, capitals and digits as one sign each, a repeated word as an echo."""
-    out = F.regexp_replace(text, ECHO, "\u0001")
-    for pattern, sign in ((r"\p{Lu}{2,}+", "B"), (r"\p{Lu}", "A"), (r"[\p{L}&&[^AB]]++", "a"), (r"\p{N}++", "0")):
+    """Words as shapes: runs of small letters, of capitals and of digits as one sign each, a repeated word as an echo."""
+    out = F.regexp_replace(text, ECHO, REPEATED)
+    for pattern, sign in ((r"\p{Ll}++", "a"), (r"\p{N}++", "0"), (r"\p{Lu}{2,}+", "9"), (r"\p{Lu}", "A")):
         out = F.regexp_replace(out, pattern, sign)
     return F.filter(F.split(out, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
@@ -100,10 +110,13 @@ def score_quality(
     result, and if all weak labels agree they are the scores.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    cast = votes(F.col("text"))
+    cast = votes()
     names = list(cast)
     hashing, scale = HashingTF(numFeatures=features, inputCol="shapes", outputCol="counts"), Normalizer(p=1.0, inputCol="counts", outputCol="features")
-    read = rows.select("doc_id", "row", F.xxhash64("text").alias("h"), shapes(F.col("text")).alias("shapes"), *[c.alias(k) for k, c in cast.items()])
+    # Shapes and measures are columns of their own below what reads them, so that each is taken once.
+    read = rows.withColumn("shapes", shapes(F.col("text")))
+    read = read.select("doc_id", "row", F.xxhash64("text").alias("h"), "shapes", *[c.alias(k) for k, c in measures(F.col("text"), F.col("shapes")).items()])
+    read = read.select("doc_id", "row", "h", "shapes", *[c.alias(k) for k, c in cast.items()])
     # The only pass over texts: what follows reads a few hundred bytes per document.
     voted = materialize(scale.transform(hashing.transform(read)).drop("shapes", "counts"), "votes")
     counts = {tuple(r[k] for k in names): r["n"] for r in voted.groupBy(*names).agg(F.count("*").alias("n")).collect()}  # 3^7 at most
