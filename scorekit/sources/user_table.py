@@ -16,6 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import materialize
 from .contracts import SCORING_COLUMNS, SCORING_LABEL, TRAINING_COLUMNS, TRAINING_LABEL, USER_KEY
 
 # Reference dates, tags and thresholds of the mapping, as SQL predicates over an order.
@@ -110,9 +111,9 @@ def _order_measures() -> dict[str, str]:
 # What each branch yields per customer, as aggregate expressions.
 ORDER_MEASURES = _order_measures()
 ORDER_VARIETY = {
-    "ord_success_order_type_count": f"count(distinct CASE WHEN {_where('success')} THEN o_orderpriority END)",
-    "bil_ordertype_count": "count(distinct o_orderpriority)",
-    "bil_platform_count": "count(distinct o_orderstatus)",
+    "ord_success_order_type_count": "count(o_orderpriority) FILTER (WHERE ok)",
+    "bil_ordertype_count": "count(o_orderpriority)",
+    "bil_platform_count": "count(o_orderstatus)",
 }
 LINE_MEASURES = {
     "com_idno_count": "sum(n_suppliers)",
@@ -124,9 +125,12 @@ LINE_MEASURES = {
     "_profit": "sum(profit_sum) / 10000.0D",
     "_generous": "cast(coalesce(sum(pct_sum) >= 5 * sum(pct_n), false) as bigint)",
 }
+# What the branches below read of a line and its order.
+LINE_FACTS = ["o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice", "l_suppkey", "l_partkey",
+              "l_linenumber", "l_shipdate", "l_discount", "l_extendedprice"]
 LINE_VARIETY = {
-    "com_passenger_count": "count(distinct l_partkey)",
-    "com_mobile_count": "count(distinct l_linenumber)",
+    "com_passenger_count": "count(l_partkey)",
+    "com_mobile_count": "count(l_linenumber)",
 }
 EVENT_MEASURES = {
     "_idle_days": f"cast(datediff({EVENT_DAY}, max(day)) as bigint)",
@@ -145,12 +149,13 @@ def order_measures(orders: DataFrame, columns: dict[str, str] = ORDER_MEASURES)
     return _aggregate(priced, ["o_custkey"], columns)
 
 
-def order_variety(orders: DataFrame, columns: dict[str, str] = ORDER_VARIETY) -> DataFrame:
-    """Distinct order priorities and statuses per customer, over three narrow columns.
-
-    Each (customer, value) is reduced to one row map-side, before any counting.
-    """
-    return _aggregate(orders.withColumnRenamed("o_custkey", "v_custkey"), ["v_custkey"], columns)
+def order_variety(orders: DataFrame, columns: dict[str, str] = ORDER_VARIETY) -> list[DataFrame]:
+    """Distinct order priorities and statuses per customer, a frame each: one row per value is left before they are counted."""
+    tagged = orders.withColumn("ok", F.expr(_where("success")))
+    return [
+        _aggregate(tagged.groupBy(F.col("o_custkey").alias(f"{value}_custkey"), value).agg(F.max("ok").alias("ok")), [f"{value}_custkey"], chosen)
+        for value in ("o_orderpriority", "o_orderstatus") if (chosen := {n: e for n, e in columns.items() if value in e})
+    ]
 
 
 def line_measures(lines: DataFrame, suppliers: DataFrame, columns: dict[str, str] = LINE_MEASURES) -> DataFrame:
@@ -203,9 +208,12 @@ def line_measures(lines: DataFrame, suppliers: DataFrame, columns: dict[str, str
     return _aggregate(per_nation, ["l_custkey"], columns)
 
 
-def line_variety(lines: DataFrame, columns: dict[str, str] = LINE_VARIETY) -> DataFrame:
-    """Distinct parts and line numbers per customer, over three narrow columns."""
-    return _aggregate(lines.selectExpr("o_custkey AS w_custkey", "l_partkey", "l_linenumber"), ["w_custkey"], columns)
+def line_variety(lines: DataFrame, columns: dict[str, str] = LINE_VARIETY) -> list[DataFrame]:
+    """Distinct parts and line numbers per customer, a frame each: one row per value is left before they are counted."""
+    return [
+        lines.select(F.col("o_custkey").alias(f"{value}_custkey"), value).distinct().groupBy(f"{value}_custkey").agg(F.expr(columns[name]).alias(name))
+        for name, value in (("com_passenger_count", "l_partkey"), ("com_mobile_count", "l_linenumber")) if name in columns
+    ]
 
 
 def event_measures(events: DataFrame, columns: dict[str, str] = EVENT_MEASURES) -> DataFrame:
@@ -286,14 +294,19 @@ def user_table(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None =
     if chosen := needed(ORDER_MEASURES):
         out = out.join(order_measures(orders, chosen), F.col("c_custkey") == F.col("o_custkey"), "left")
     if chosen := needed(ORDER_VARIETY):
-        out = out.join(order_variety(orders, chosen), F.col("c_custkey") == F.col("v_custkey"), "left")
+        for part in order_variety(orders, chosen):
+            out = out.join(part, F.col("c_custkey") == F.col(part.columns[0]), "left")
     if needed({**LINE_MEASURES, **LINE_VARIETY}):
-        lines = load(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        lines = load(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(*LINE_FACTS)
+        if len(needed(LINE_VARIETY)) + bool(needed(LINE_MEASURES)) > 1:
+            # The dearest join runs once: its narrow result is written and feeds every branch.
+            lines = materialize(lines, "lines")
     if chosen := needed(LINE_MEASURES):
         measures = line_measures(lines, load(spark, sf_dir, "supplier"), chosen)
         out = out.join(measures, F.col("c_custkey") == F.col("l_custkey"), "left")
     if chosen := needed(LINE_VARIETY):
-        out = out.join(line_variety(lines, chosen), F.col("c_custkey") == F.col("w_custkey"), "left")
+        for part in line_variety(lines, chosen):
+            out = out.join(part, F.col("c_custkey") == F.col(part.columns[0]), "left")
     if chosen := needed(EVENT_MEASURES):
         events = event_measures(load(spark, sf_dir, "events"), chosen)
         out = out.join(events, F.col("c_custkey") == F.col("user_id"), "left")
