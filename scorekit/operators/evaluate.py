@@ -14,9 +14,27 @@ from pyspark.sql import functions as F
 from ..staging import materialize
 
 
+def checked(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """``score, label`` as doubles. A null or NaN in either raises, as it would otherwise drop out of a count unseen."""
+    def sound(name: str, alias: str) -> Column:
+        c = F.col(name).cast("double")
+        return F.when(c.isNull() | F.isnan(c), F.raise_error(F.lit(f"{alias} is null or NaN"))).otherwise(c).alias(alias)
+
+    return df.select(sound(score, "score"), sound(label, "label"))
+
+
+def _mse() -> Column:
+    gap = F.col("label") - F.col("score")
+    return F.avg(gap * gap)
+
+
+def _error(cutoff: float | None) -> Column:
+    predicted = F.col("score") if cutoff is None else (F.col("score") > cutoff).cast("double")
+    return F.avg((F.col("label") != predicted).cast("double"))
+
+
 def mse(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    gap = F.col(label) - F.col(score)
-    return df.agg(F.avg(gap * gap).alias("mse"))
+    return checked(df, score, label).agg(_mse().alias("mse"))
 
 
 def prediction_error(df: DataFrame, score: str = "score", label: str = "label", cutoff: float | None = None) -> DataFrame:
@@ -24,35 +42,24 @@ def prediction_error(df: DataFrame, score: str = "score", label: str = "label",
 
     The comparison is exact, hence close to 1 for regressors; with ``cutoff`` the score is first turned into 0 or 1.
     """
-    predicted = F.col(score) if cutoff is None else (F.col(score) > cutoff).cast("double")
-    return df.agg(F.avg((F.col(label) != predicted).cast("double")).alias("test_error"))
+    return checked(df, score, label).agg(_error(cutoff).alias("test_error"))
 
 
 def scores_and_labels(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     return df.select(F.col(score).cast("double").alias("score"), F.col(label).cast("double").alias("label"))
 
 
-def threshold_counts(df: DataFrame, score: str = "score", label: str = "label", stage: bool = True) -> DataFrame:
+def threshold_counts(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """``threshold, pos, neg, tp, fp, p, n``: per distinct score, its own and the cumulative counts at or above it.
 
     A running total over all thresholds in one window would run in one task. Instead the distinct scores are range
     partitioned and written once, with their range number, so that both uses see the same ranges. Each range's total
-    is a single row, and the running total over those rows, one per range, is broadcast back as an offset. With
-    ``stage=False`` the single window is used: for scores known to take few distinct values.
+    is a single row, and the running total over those rows, one per range, is broadcast back as an offset.
     """
-    pairs = df.select(F.col(score).cast("double").alias("threshold"), (F.col(label) > 0.5).alias("_hit"))
+    pairs = checked(df, score, label).select(F.col("score").alias("threshold"), (F.col("label") > 0.5).alias("_hit"))
     per_score = pairs.groupBy("threshold").agg(
         F.count(F.when(F.col("_hit"), 1)).alias("pos"), F.count(F.when(~F.col("_hit"), 1)).alias("neg")
     )
-    if not stage:
-        down = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, W.currentRow)
-        everything = W.partitionBy()
-        return per_score.select(
-            "threshold", "pos", "neg",
-            F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"),
-            F.sum("pos").over(everything).alias("p"), F.sum("neg").over(everything).alias("n"),
-        )
-
     ranged = per_score.repartitionByRange(F.desc("threshold")).withColumn("_range", F.spark_partition_id())
     ranged = materialize(ranged, "thresholds")
     # One row per range from here to the broadcast: as many rows as shuffle partitions, whatever the data size.
@@ -111,10 +118,11 @@ def thresholds(counts: DataFrame) -> DataFrame:
 
 def pr_curve(counts: DataFrame) -> DataFrame:
     """``recall, precision`` per threshold, led by (0, precision of the highest threshold)."""
-    points = counts.select(_recall().alias("recall"), _precision().alias("precision"))
-    # The highest threshold is the row whose cumulative counts are its own counts.
-    first = counts.filter(F.col("tp") + F.col("fp") == F.col("pos") + F.col("neg"))
-    return first.select(F.lit(0.0).alias("recall"), _precision().alias("precision")).unionByName(points)
+    point = F.struct(_recall().alias("recall"), _precision().alias("precision"))
+    start = F.struct(F.lit(0.0).alias("recall"), _precision().alias("precision"))
+    # The highest threshold is the row whose cumulative counts are its own counts; it yields two points.
+    first = F.col("tp") + F.col("fp") == F.col("pos") + F.col("neg")
+    return counts.select(F.inline(F.when(first, F.array(start, point)).otherwise(F.array(point))))
 
 
 def roc_curve(counts: DataFrame) -> DataFrame:
@@ -124,31 +132,40 @@ def roc_curve(counts: DataFrame) -> DataFrame:
     return points.unionByName(ends)
 
 
-def auc_roc(counts: DataFrame) -> DataFrame:
-    """Area under the ROC curve. A step's start follows from the row's own counts, so no row looks at another."""
+def _area_roc() -> Column:
     tpr, fpr = _recall(), _share(F.col("fp"), F.col("n"))
     tpr0 = _share(F.col("tp") - F.col("pos"), F.col("p"))
-    width = _share(F.col("neg"), F.col("n"))
-    area = F.sum(width * (tpr + tpr0) / 2)
-    closing = (1 - F.max(fpr)) * (1 + F.max(tpr)) / 2
-    return counts.agg((area + closing).alias("auc_roc"))
+    area = F.sum(_share(F.col("neg"), F.col("n")) * (tpr + tpr0) / 2)
+    return area + (1 - F.max(fpr)) * (1 + F.max(tpr)) / 2
 
 
-def auc_pr(counts: DataFrame) -> DataFrame:
-    """Area under the precision-recall curve, from (0, precision of the highest threshold)."""
+def _area_pr() -> Column:
     tp0 = F.col("tp") - F.col("pos")
     seen0 = tp0 + F.col("fp") - F.col("neg")
     before = F.when(seen0 == 0, _precision()).otherwise(_share(tp0, seen0))
-    width = _share(F.col("pos"), F.col("p"))
-    return counts.agg(F.sum(width * (_precision() + before) / 2).alias("auc_pr"))
+    return F.sum(_share(F.col("pos"), F.col("p")) * (_precision() + before) / 2)
+
+
+def auc_roc(counts: DataFrame) -> DataFrame:
+    """Area under the ROC curve. A step's start follows from the row's own counts, so no row looks at another."""
+    return counts.agg(_area_roc().alias("auc_roc"))
+
+
+def auc_pr(counts: DataFrame) -> DataFrame:
+    """Area under the precision-recall curve, from (0, precision of the highest threshold)."""
+    return counts.agg(_area_pr().alias("auc_pr"))
 
 
 def evaluation_report(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """``metric, value``: mean squared error, share of unequal predictions, and both areas."""
-    counts = threshold_counts(df, score, label)
-    parts = [mse(df, score, label), prediction_error(df, score, label), auc_pr(counts), auc_roc(counts)]
-    report = None
-    for part in parts:
-        row = part.select(F.lit(part.columns[0]).alias("metric"), F.col(part.columns[0]).alias("value"))
-        report = row if report is None else report.unionByName(row)
-    return report
+    """``metric, value``: mean squared error, share of unequal predictions, and both areas.
+
+    Scores and labels are written once, so what predicts them runs once; errors take one aggregate, areas another.
+    """
+    pairs = materialize(checked(df, score, label), "judged")
+    errors = pairs.agg(_mse().alias("mse"), _error(None).alias("test_error"))
+    areas = threshold_counts(pairs).agg(_area_pr().alias("auc_pr"), _area_roc().alias("auc_roc"))
+
+    def rows(one: DataFrame) -> DataFrame:
+        return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in one.columns])))
+
+    return rows(errors).unionByName(rows(areas))

@@ -79,7 +79,6 @@ def test_random_scores_match_brute_force_and_the_library(spark):
     df = frame(spark, rows)
     expected = brute(rows)
     assert counts_of(df) == expected
-    assert counts_of(df, stage=False) == expected
     assert counts_of(df.repartition(13, "label")) == expected
     c = E.threshold_counts(df)
     for metric, ours in (("areaUnderROC", E.auc_roc(c)), ("areaUnderPR", E.auc_pr(c))):
@@ -100,11 +99,11 @@ def test_many_distinct_scores_over_many_ranges(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16KB")
     try:
-        staged, single = counts_of(df), counts_of(df, stage=False)
+        staged = counts_of(df)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
-    assert staged == single and len(staged) > 13000
+    assert staged == brute([(r.score, r.label > 0.5) for r in df.collect()]) and len(staged) > 13000
     assert staged[-1][1] + staged[-1][2] == n
 
 
@@ -118,3 +117,16 @@ def test_report(spark):
     got = {r["metric"]: r["value"] for r in E.evaluation_report(frame(spark, GOLDEN)).collect()}
     assert set(got) == {"mse", "test_error", "auc_pr", "auc_roc"}
     assert math.isclose(got["auc_roc"], 0.583333, abs_tol=1e-6)
+
+
+@pytest.mark.parametrize("row", [(None, 1.0), (0.5, None), (float("nan"), 1.0), (0.5, float("nan"))])
+def test_rows_that_cannot_be_judged_raise(spark, row):
+    df = spark.createDataFrame([(0.2, 0.0), (0.8, 1.0), row], "score double, label double")
+    for judged in (E.mse, E.prediction_error, E.threshold_counts, lambda d: E.auc_roc(E.threshold_counts(d)), E.evaluation_report):
+        with pytest.raises(Exception, match="is null or NaN"):
+            judged(df).collect()
+
+
+def test_curve_reads_its_counts_once(spark):
+    plan = E.pr_curve(E.threshold_counts(frame(spark, GOLDEN)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 0
