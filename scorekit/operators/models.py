@@ -18,8 +18,8 @@ from pyspark.ml.regression import (
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.contracts import TRAINING_LABEL
-from ..staging import shared_root
+from ..sources.contracts import TRAINING_LABEL, USER_KEY
+from ..staging import drop_path, materialize, path_exists, shared_root
 from .compose import blend_scores, rescale_score, weighted_total
 from .features import GROUPS, GroupSpec, feature_columns, group_features
 from .scaling import fit_scaler
@@ -30,8 +30,8 @@ class TreeParams:
     """Model sizes. The defaults are those of the scoring model; smaller ones suit trials.
 
     ``cache_node_ids`` spares executors from walking every tree again at each level, and checkpoints as it goes: for
-    deep trees over many rows. ``min_partitions`` spreads a small table that is packed into one file, since tree fits
-    are compute-bound; it does not depend on the cores at hand, because a forest's samples depend on partitioning.
+    deep trees over many rows. A forest's samples depend on how rows are dealt out, so training rows always go to
+    ``partitions`` partitions by their key, whatever the files, executors and cores at hand; raise it with the table.
     """
 
     rf_trees: int = 30
@@ -42,7 +42,7 @@ class TreeParams:
     seed: int = 42
     cache_node_ids: bool = False
     checkpoint_every: int = 10
-    min_partitions: int = 4
+    partitions: int = 8
 
     def forest(self, spec: GroupSpec) -> RandomForestRegressor:
         return RandomForestRegressor(
@@ -110,19 +110,28 @@ class GroupModel:
         return self.prepare.stages[-1]
 
     def save(self, base: str) -> None:
-        """Save under ``base``_PREP, ``base``_RF and ``base``_GBT, replacing what is there."""
+        """Save under ``base``_PREP, ``base``_RF and ``base``_GBT, replacing what is there: a part that this model lacks
+        is removed, so that it is never paired with parts of another model."""
+        spark = SparkSession.active()
         for part, suffix in ((self.prepare, "PREP"), (self.forest, "RF"), (self.boosted, "GBT")):
             if part is not None:
                 part.write().overwrite().save(f"{base}_{suffix}")
+            else:
+                drop_path(spark, f"{base}_{suffix}")
 
     @classmethod
-    def load(cls, spec: GroupSpec, base: str) -> GroupModel:
-        """Load a saved group; boosted trees only where the group blends them in."""
+    def load(cls, spec: GroupSpec, base: str, boosted: bool = True) -> GroupModel:
+        """Load what was saved; ``boosted=False`` leaves boosted trees aside."""
+        spark = SparkSession.active()
+
+        def part(kind, suffix: str):
+            return kind.load(f"{base}_{suffix}") if path_exists(spark, f"{base}_{suffix}") else None
+
         return cls(
             spec,
             PipelineModel.load(f"{base}_PREP"),
-            RandomForestRegressionModel.load(f"{base}_RF"),
-            GBTRegressionModel.load(f"{base}_GBT") if spec.gbt_share else None,
+            part(RandomForestRegressionModel, "RF"),
+            part(GBTRegressionModel, "GBT") if boosted else None,
         )
 
     def inputs(self, training: bool = False) -> dict[str, Column]:
@@ -147,22 +156,22 @@ class GroupModel:
 
 
 def training_vectors(
-    df: DataFrame, spec: GroupSpec, label: str = TRAINING_LABEL, fit_on: Column | None = None
+    df: DataFrame, spec: GroupSpec, label: str = TRAINING_LABEL, fit_on: Column | None = None, partitions: int = TreeParams.partitions,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Fit the group's preparation on all rows; with it, the label and scaled vector of the rows to train on."""
+    """Fit the group's preparation on all rows; with it, the label and scaled vector of the rows to train on.
+
+    The vectors are written once, for all models of the group, and dealt out by a hash of the user key, sorted within
+    partitions, so that every fit sees the same rows in the same places. Without a key the features take its part.
+    """
     inputs, vector, scaled = input_columns(spec), vector_column(spec), scaled_column(spec)
-    marked = df.withColumn("_fit", F.lit(True) if fit_on is None else fit_on)
-    named = group_features(marked, spec, True, label, keep=("_fit",)).toDF("_fit", "label", *inputs)
+    key = ["_key"] if USER_KEY in df.columns else ["label", *inputs]
+    marked = df.withColumn("_fit", F.lit(True) if fit_on is None else fit_on).withColumn("_key", F.col(USER_KEY) if USER_KEY in df.columns else F.lit(0))
+    named = group_features(marked, spec, True, label, keep=("_fit", "_key")).toDF("_fit", "_key", "label", *inputs)
     assembler = VectorAssembler(inputCols=inputs, outputCol=vector, handleInvalid="error")
-    assembled = assembler.transform(named).select("_fit", "label", vector)
+    assembled = assembler.transform(named).select("_fit", *dict.fromkeys(["label", *key]), vector)
     scaler = fit_scaler(assembled, vector, scaled)
-    chosen = assembled.filter("_fit").drop("_fit")
-    return PipelineModel([assembler, scaler]), scaler.transform(chosen).select("label", scaled)
-
-
-def spread(df: DataFrame, partitions: int) -> DataFrame:
-    """``df`` on at least ``partitions`` partitions; a table that already has them is left alone."""
-    return df if df.rdd.getNumPartitions() >= partitions else df.repartition(partitions)
+    rows = materialize(scaler.transform(assembled.filter("_fit")).select(*dict.fromkeys(["label", *key]), scaled), "training")
+    return PipelineModel([assembler, scaler]), rows.repartition(partitions, *key).sortWithinPartitions(*key).select("label", scaled)
 
 
 def train_group(
@@ -172,11 +181,10 @@ def train_group(
     """Fit one group: features, scaler, forest, and boosted trees where the group blends them (or on request).
 
     The scaler sees all rows; ``fit_on`` chooses those that the trees learn from, so that the rest can judge them.
-    Fitting reads ``df`` several times; give it a written or cached table. MLlib keeps its binned rows itself.
+    Features are computed twice, for the scaler and for the written vectors; MLlib keeps its binned rows itself.
     """
     shared_root(df.sparkSession)  # so that boosting rounds can checkpoint
-    prepare, scaled = training_vectors(df, spec, label, fit_on)
-    scaled = spread(scaled, params.min_partitions)
+    prepare, scaled = training_vectors(df, spec, label, fit_on, params.partitions)
     want_boosted = spec.gbt_share > 0 if boosted is None else boosted
     return GroupModel(
         spec,
@@ -188,14 +196,15 @@ def train_group(
 
 def train_groups(
     df: DataFrame, specs: Iterable[GroupSpec] = GROUPS.values(), params: TreeParams = TreeParams(),
-    label: str = TRAINING_LABEL, parallelism: int = 1, fit_on: Column | None = None,
+    label: str = TRAINING_LABEL, parallelism: int = 1, fit_on: Column | None = None, boosted: bool | None = None,
 ) -> dict[str, GroupModel]:
-    """Fit the groups, up to ``parallelism`` at a time. Each fit is its own series of Spark jobs."""
+    """Fit the groups, up to ``parallelism`` at a time. Each fit is its own series of Spark jobs. Boosted trees are
+    fitted where a group blends them, or for all groups or none if ``boosted`` says so."""
     specs = list(specs)
 
     @inheritable_thread_target(df.sparkSession)
     def fit(spec: GroupSpec) -> GroupModel:
-        return train_group(df, spec, params, label, fit_on=fit_on)
+        return train_group(df, spec, params, label, boosted=boosted, fit_on=fit_on)
 
     with ThreadPool(max(1, min(parallelism, len(specs)))) as pool:
         return {m.spec.name: m for m in pool.map(fit, specs, chunksize=1)}
@@ -222,17 +231,21 @@ def group_score(spec: GroupSpec, clamp: bool = False) -> Column:
 
 
 def score_groups(
-    df: DataFrame, models: dict[str, GroupModel], keep: Iterable[str], total: bool = True, clamp: bool = False
+    df: DataFrame, models: dict[str, GroupModel], keep: Iterable[str], total: bool = True, clamp: bool = False,
+    weights: dict[str, float] | None = None,
 ) -> DataFrame:
     """Kept columns, each group's score and, if asked, the weighted total ``score_all``.
 
+    The total needs the models of all groups, unless ``weights`` names those to add up by their score columns.
     All scores are columns of one frame over one scan, so nothing is shuffled, joined or paired by position.
     """
+    if total and weights is None and set(models) != set(GROUPS):
+        raise ValueError(f"score_all needs all groups; missing: {sorted(set(GROUPS) - set(models))}")
     out = df.withColumns({name: c for m in models.values() for name, c in m.inputs().items()})
     for model in models.values():
         out = model.apply(out)
     scores = out.select(*keep, *[group_score(m.spec, clamp) for m in models.values()])
     if not total:
         return scores
-    weights = {m.spec.score_column: m.spec.weight for m in models.values()}
+    weights = weights or {m.spec.score_column: m.spec.weight for m in models.values()}
     return scores.withColumn("score_all", weighted_total(weights))

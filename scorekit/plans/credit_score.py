@@ -14,18 +14,17 @@ from ..staging import materialize
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    """``df`` with a user key: its own, or a row number for files without one. Write the result before training, so
-    that the numbers are stored with their rows."""
-    return df if USER_KEY in df.columns else df.withColumn(USER_KEY, F.monotonically_increasing_id())
+    """``df`` with a user key: its own, or a row number for files without one, written so that it stays with its row."""
+    return df if USER_KEY in df.columns else materialize(df.withColumn(USER_KEY, F.monotonically_increasing_id()), "keyed")
 
 
 def train(
     users: DataFrame, params: TreeParams = TreeParams(), parallelism: int = 1, train_percent: int = 75,
-    specs: list[GroupSpec] | None = None,
+    specs: list[GroupSpec] | None = None, boosted: bool | None = None,
 ) -> dict[str, GroupModel]:
     """Models for the groups from a written user table: scalers on all users, trees on the training part."""
     fit_on = hash_bucket(USER_KEY) < train_percent
-    return train_groups(users, specs or list(GROUPS.values()), params, TRAINING_LABEL, parallelism, fit_on)
+    return train_groups(users, specs or list(GROUPS.values()), params, TRAINING_LABEL, parallelism, fit_on, boosted)
 
 
 def train_and_evaluate(

@@ -12,9 +12,11 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from scorekit.staging import local_session
+    from scorekit.staging import local_session, staging_scope
 
-    return local_session(8, 4)
+    session = local_session(8, 4)
+    with staging_scope(session):
+        yield session
 
 
 @pytest.fixture(scope="session")

@@ -162,3 +162,42 @@ def test_contract_files_end_to_end(spark, users, tmp_path):
     # Users with a positive label score higher on the whole: the tables carry a signal.
     means = {r["score"]: r["m"] for r in audit.groupBy("score").agg(F.avg("score_all").alias("m")).collect()}
     assert means[1.0] > means[0.0]
+
+
+def test_any_group_keeps_its_boosted_trees(spark, users, tmp_path):
+    spec = GROUPS["relation"]
+    both = train_group(users, spec, SMALL, boosted=True)
+    both.save(str(tmp_path / "relation"))
+    loaded = GroupModel.load(spec, str(tmp_path / "relation"))
+    a, b = (m.predict(users).select("uid_uid", "rf_relation", "gbt_relation") for m in (both, loaded))
+    assert a.exceptAll(b).count() == 0
+    assert GroupModel.load(spec, str(tmp_path / "relation"), boosted=False).boosted is None
+    train_group(users, spec, SMALL).save(str(tmp_path / "relation"))
+    assert GroupModel.load(spec, str(tmp_path / "relation")).boosted is None
+
+
+def test_many_groups_can_all_have_boosted_trees(users):
+    specs = [GROUPS["relation"], GROUPS["interaction"]]
+    assert all(m.boosted is not None for m in train_groups(users, specs, SMALL, boosted=True).values())
+
+
+def test_total_needs_all_groups(users, models):
+    some = {n: models[n] for n in ("relation", "people")}
+    with pytest.raises(ValueError, match="missing"):
+        score_groups(users, some, ("uid_uid",))
+    weighted = score_groups(users, some, ("uid_uid",), weights={"score_relation": 0.5, "score_people": 0.5})
+    row = weighted.first()
+    assert abs(row["score_all"] - (row["score_relation"] + row["score_people"]) / 2) < 1e-9
+
+
+def test_forest_does_not_depend_on_files(users):
+    spec = GROUPS["interaction"]
+    a, b = (train_group(materialize(users.repartition(n).sortWithinPartitions(F.rand(n)), "layout"), spec, SMALL) for n in (1, 7))
+    one, other = (m.predict(users).select("uid_uid", "rf_interaction") for m in (a, b))
+    assert one.exceptAll(other).count() == 0
+
+
+def test_row_numbers_stay_with_their_rows(spark):
+    df = keyed(spark.range(100).select((F.col("id") * 7).alias("v")).repartition(5))
+    assert [r["uid_uid"] for r in df.orderBy("v").collect()] == [r["uid_uid"] for r in df.orderBy("v").collect()]
+    assert df.select("uid_uid").distinct().count() == 100
