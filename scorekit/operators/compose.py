@@ -77,11 +77,11 @@ def row_positions(df: DataFrame, position: str = "position") -> DataFrame:
     return numbered.select(F.col("_position").alias(position), *columns)
 
 
-def positional_concat(*frames: DataFrame) -> DataFrame:
-    """Row *i* of each frame side by side, all columns of all frames, in row order; names may repeat.
+def positional_concat(*frames: DataFrame, ordered: bool = True) -> DataFrame:
+    """Row *i* of each frame side by side, all columns of all frames; names may repeat.
 
-    Raises when the row counts differ. Needed only for frames that share no key; scores of one frame stay in it. The
-    closing sort keeps the row order, so that the result can itself be paired by position.
+    Raises when the row counts differ. Needed only for frames that share no key; scores of one frame stay in it. With
+    ``ordered`` the result is sorted by row, so that it can itself be paired by position; without, no sort is planned.
     """
     sides = [_placed(f) for f in frames]
     counts = [sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0] for _, sizes in sides]
@@ -94,4 +94,4 @@ def positional_concat(*frames: DataFrame) -> DataFrame:
         side = _positions(placed, sizes).select("_position", *[F.col(i).alias(o) for i, o in zip(inner, outer, strict=True)])
         joined = side if joined is None else joined.join(side, "_position")
         names += frame.columns
-    return joined.orderBy("_position").select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    return (joined.orderBy("_position") if ordered else joined).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

@@ -17,36 +17,22 @@ def count_rows(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("count"))
 
 
-def describe_numeric(df: DataFrame, columns: list[str] | None = None, columns_per_pass: int | None = 12) -> DataFrame:
+def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``column, count, mean, stddev, min, max`` as numbers, one row per column.
 
-    An aggregate over more than about a dozen columns outgrows Spark's code generation and runs several times slower,
-    so the columns are taken a dozen at a time; over a columnar table each pass reads its own columns only. For a frame
-    that is costly to compute, write it first, or pass ``columns_per_pass=None`` for a single aggregate.
+    One scan however wide the frame is: each row is turned into (column, value) pairs, which are combined per column
+    before the shuffle. A column without values has a count of 0 and nulls.
     """
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
-    width = columns_per_pass or max(1, len(columns))
-    out = None
-    for i in range(0, len(columns), width):
-        part = _describe(df, columns[i : i + width])
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    if not columns:
         raise ValueError("no numeric columns")
-    return out
-
-
-def _describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    facts = []
-    for i, name in enumerate(columns):
-        text, c = _literal(name), f"cast({_quoted(name)} as double)"
-        facts.append(
-            F.expr(
-                f"named_struct('column', {text}, 'count', count({c}), 'mean', avg({c}), 'stddev', stddev_samp({c}), "
-                f"'min', min({c}), 'max', max({c}))"
-            ).alias(f"_{i}")
-        )
-    return _rows(df.agg(*facts), len(columns))
+    cells = [F.struct(F.lit(i).alias("_i"), F.col(_quoted(n)).cast("double").alias("_v")) for i, n in enumerate(columns)]
+    facts = df.select(F.inline(F.array(*cells))).groupBy("_i").agg(
+        F.count("_v").alias("count"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("stddev"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    names = literal_rows(df.sparkSession, ["_n", "column"], list(enumerate(columns)))
+    out = names.join(F.broadcast(facts), F.col("_n") == F.col("_i"), "left")  # one row per column on either side
+    return out.select("column", F.coalesce("count", F.lit(0).cast("bigint")).alias("count"), "mean", "stddev", "min", "max")
 
 
 def _quoted(name: str) -> str:

@@ -29,10 +29,6 @@ from .user_table_sql import USERS_CTE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Forests at full size; fewer and shallower boosting rounds, which run one after another, so that a check stays quick.
-TRIAL = TreeParams(gbt_rounds=10, gbt_depth=5)
-
-
 @dataclass(frozen=True)
 class Entry:
     run: Query
@@ -291,7 +287,6 @@ def _features_sql(spec: GroupSpec, training: bool, key: bool = True) -> str:
 @query("describe_numeric", _describe_sql(GROUPS["consuming"]))
 def describe_numeric(spark, sf_dir):
     features = group_features(_group_users(spark, sf_dir, GROUPS["consuming"]), GROUPS["consuming"], True).drop(TRAINING_LABEL)
-    features = materialize(features, "features")
     out = profile.describe_numeric(features)
     return out.select(
         "column", "count", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"),
@@ -386,7 +381,7 @@ def _group_table(spark: SparkSession, sf_dir: str, spec: GroupSpec) -> DataFrame
 
 
 def _train(users: DataFrame, spec: GroupSpec, **kw) -> GroupModel:
-    return train_group(users, spec, TRIAL, fit_on=hash_bucket(USER_KEY) < 75, **kw)
+    return train_group(users, spec, TreeParams(), fit_on=hash_bucket(USER_KEY) < 75, **kw)
 
 
 @query("random_split")
@@ -451,7 +446,7 @@ def train_submodel(spark, sf_dir):
 def train_evaluate(spark, sf_dir):
     """Both models of a group on its held-out users."""
     spec = GROUPS["interaction"]
-    return train_and_evaluate(_group_table(spark, sf_dir, spec), spec, TRIAL)[1]
+    return train_and_evaluate(_group_table(spark, sf_dir, spec), spec)[1]
 
 
 @query("model_roundtrip")
@@ -658,18 +653,18 @@ def positional_concat(spark, sf_dir):
     by_key = orders.orderBy("o_orderkey").select(F.col("o_orderkey").alias("first_key"), F.col("o_totalprice").alias("first_price"))
     by_price = orders.orderBy(F.desc("o_totalprice"), "o_orderkey").select(
         F.col("o_orderkey").alias("other_key"), F.col("o_orderpriority").alias("other_priority"))
-    return compose.positional_concat(by_key, by_price)
+    return compose.positional_concat(by_key, by_price, ordered=False)
 
 
 @query("score_with_label")
 def score_with_label(spark, sf_dir):
     """The total beside the known label, carried on the same row."""
-    return credit_score(user_table(spark, sf_dir), TRIAL, 5, (USER_KEY, SCORING_LABEL)).select(USER_KEY, "score_all", SCORING_LABEL)
+    return credit_score(user_table(spark, sf_dir), TreeParams(), 5, (USER_KEY, SCORING_LABEL)).select(USER_KEY, "score_all", SCORING_LABEL)
 
 
 @query("credit_score")
 def credit_score_query(spark, sf_dir):
-    return credit_score(user_table(spark, sf_dir), TRIAL, 5)
+    return credit_score(user_table(spark, sf_dir), TreeParams(), 5)
 
 
 # --- arrays, maps and scalars --------------------------------------------------------------------------------

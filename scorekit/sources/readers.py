@@ -17,11 +17,11 @@ def read_inferred(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=True)
 
 
-def read_typed(spark: SparkSession, path: str, schema: T.StructType, on_bad: str = "null", header: bool = True) -> DataFrame:
+def read_typed(spark: SparkSession, path: str, schema: T.StructType, on_bad: str = "fail", header: bool = True) -> DataFrame:
     """CSV under an explicit schema.
 
-    ``on_bad`` decides about short, long and non-numeric rows: ``null`` pads, cuts off or nulls the field, ``drop``
-    leaves the row out, ``fail`` raises. With a header, its names must equal the schema's, in order.
+    ``on_bad`` decides about short, long and non-numeric rows: ``fail``, the default, raises, ``drop`` leaves the row
+    out, ``null`` pads, cuts off or nulls the field. With a header, its names must equal the schema's, in order.
     """
     if on_bad not in _BAD_ROWS:
         raise ValueError(f"on_bad must be one of {sorted(_BAD_ROWS)}")
@@ -45,22 +45,22 @@ def read_typed(spark: SparkSession, path: str, schema: T.StructType, on_bad: str
     return text.filter(good).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def read_training_text(spark: SparkSession, path: str, on_bad: str = "null") -> DataFrame:
+def read_training_text(spark: SparkSession, path: str, on_bad: str = "fail") -> DataFrame:
     """The training file with every column as string."""
     return read_typed(spark, path, string_schema(TRAINING_COLUMNS), on_bad)
 
 
-def read_scoring_text(spark: SparkSession, path: str, on_bad: str = "null") -> DataFrame:
+def read_scoring_text(spark: SparkSession, path: str, on_bad: str = "fail") -> DataFrame:
     """The scoring file with every column as string."""
     return read_typed(spark, path, string_schema(SCORING_COLUMNS), on_bad)
 
 
-def read_scoring(spark: SparkSession, path: str, on_bad: str = "null") -> DataFrame:
+def read_scoring(spark: SparkSession, path: str, on_bad: str = "fail") -> DataFrame:
     """The scoring file with every column as double."""
     return read_typed(spark, path, double_schema(SCORING_COLUMNS), on_bad)
 
 
-def read_scoring_keyed(spark: SparkSession, path: str, on_bad: str = "null") -> DataFrame:
+def read_scoring_keyed(spark: SparkSession, path: str, on_bad: str = "fail") -> DataFrame:
     """The scoring file with a row id and a user id in front."""
     return read_typed(spark, path, keyed_schema(SCORING_COLUMNS), on_bad)
 
