@@ -134,7 +134,7 @@ class _Reader:
         small = np.flatnonzero(self.range < _LOW)
         if len(small):
             low, span = self.low.take(small), self.range.take(small)
-            self.code[small] = (self.code.take(small) << _WORD) | self.words[small, self.n.take(small)]
+            self.code[small] = (self.code.take(small) << _WORD) | self.words[small, np.minimum(self.n.take(small), self.words.shape[1] - 1)]  # damaged words may end early
             self.n[small] += 1
             apart = ((low ^ (low + span)) >> _WORD) != 0
             self.low[small] = low << _WORD

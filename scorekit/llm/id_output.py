@@ -103,7 +103,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     """
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
     sizes = files.where("is_doc").groupBy("range", "segment").agg(F.sum("n").alias("ids"))
-    starts = materialize(running_totals(sizes, [], [F.col("range"), F.col("segment")], "ids", "before"), "starts")
+    starts = materialize(running_totals(sizes, [], [F.col("range"), F.col("segment")], "ids", "before").drop("ids"), "starts")
     fields = "doc_id bigint, range int, segment int, place bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
 
     def read(rows: pd.DataFrame) -> pd.DataFrame:

@@ -91,10 +91,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     plan = plan_mix(docs, doc_id, text, source).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(
         F.max("size").alias("_size"), F.max("epochs").alias("_epochs"), F.max("part").alias("_part"))
     plan = materialize(plan, "plan")
-    keyed = docs.withColumn("_mix_row", row_key(F.col(doc_id), F.col(text)))
-    joined = keyed.join(small_side(plan, plan.count(), 64), (F.col("_mix_row") == F.col("_row")) & F.col(doc_id).eqNullSafe(F.col("_id")))
+    # The row travels as one struct, so that its columns may have any names.
+    keyed = docs.select(F.struct("*").alias("_doc"), F.col(doc_id).alias("_doc_id"), F.col(text).alias("_text"), row_key(F.col(doc_id), F.col(text)).alias("_doc_row"))
+    joined = keyed.join(small_side(plan, plan.count(), 64), (F.col("_doc_row") == F.col("_row")) & F.col("_doc_id").eqNullSafe(F.col("_id")))
     copies = F.concat(F.array_repeat(F.col("_size"), F.col("_epochs").cast("int")), F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.array().cast("array<bigint>")))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + SPACED_WORD), 0), 1, F.col("_words").cast("int")), "")
-    taken = joined.withColumn("_words", F.explode(copies))
-    cut = F.when(F.col("_words") < F.col("_size"), head).otherwise(F.col(text)).alias(text)
-    return taken.select(*[cut if c == text else F.col(c) for c in docs.columns])
+    head = F.array_join(F.slice(F.regexp_extract_all("_text", F.lit(r"[\x20\x09-\x0D]*" + SPACED_WORD), 0), 1, F.col("_words").cast("int")), "")
+    cut = F.when(F.col("_words") < F.col("_size"), head).otherwise(F.col("_text"))
+    taken = joined.withColumn("_words", F.explode(copies)).select("_doc", cut.alias("_text"))
+    return taken.select(*[F.col("_text").alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns])
