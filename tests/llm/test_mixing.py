@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from scorekit.llm.mixing import mix, plan_mix, running_totals, targets
 
@@ -67,7 +68,7 @@ def test_limits_are_shared_on(spark, sizes):
 
 def test_running_totals_over_many_ranges(spark):
     df = spark.range(2000).selectExpr("id", "id % 3 AS g", "id % 11 AS v")
-    rows = running_totals(df, ["g"], [df.id.asc()], "v", "before").collect()
+    rows = running_totals(df, ["g"], [F.col("id").asc()], "v", "before").collect()
     for r in rows:
         assert r.before == sum(k % 11 for k in range(r.g, r.id, 3))
 
