@@ -15,7 +15,7 @@ import numpy as np
 FIRST = 512  # ids after which order-0 frequencies are first taken, and again whenever their number has doubled
 PERIOD = 1024  # ids after which the mixing counts are halved
 LONGEST, SHORTEST = 16384, 1024  # ids of a block
-LANES = 2048  # blocks coded side by side
+LANES = 1024  # blocks coded side by side
 BITS = 10  # of the number of contexts of each order
 NOVEL = 1 << 16  # ids are below this
 _MASK = np.uint64(0xFFFFFFFF)

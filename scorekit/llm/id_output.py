@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -17,36 +20,66 @@ from . import id_coder
 from .common import small_side
 from .mixing import running_totals
 
-SEGMENT = 4 << 20  # ids after which a range starts a new segment, so that readers hold no more at once
-REMEMBERED = 300_000  # words whose ids a worker keeps
+SEGMENT = 2 << 20  # ids after which a range starts a new segment, so that readers hold no more at once
+REMEMBERED = 200_000  # words whose ids a worker keeps
 FILE_SCHEMA = "range int, segment int, is_doc boolean, place bigint, doc_id bigint, n bigint, crc bigint, coded binary"
 
 
+# A full stop or comma after a small letter, at the end of a word: a token of its own either way.
+_MARK = re.compile(rb"(?<=[a-z])([.,])(?=\s|$)")
+
+
 class WordIds:
-    """Ids of texts by a tokenizer that never looks across ASCII white space: each word is encoded once and remembered."""
+    """Ids of texts by a tokenizer that lower-cases and never looks across white space or from letters to marks: each
+    word is encoded once and remembered."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]]) -> None:
+    def __init__(self, encode_words: Callable[[list[str]], list[tuple[int, ...]]]) -> None:
         self.encode_words, self.known = encode_words, {}
 
+    @staticmethod
+    def words(text: str) -> list[bytes]:
+        raw = text.encode()
+        if b"<|" not in raw:  # special tokens are told by their case
+            raw = _MARK.sub(rb" \1", raw.lower())
+        return raw.split()
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode().split() for t in texts]
+        split = [self.words(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
         new = list({w for ws in split for w in ws if w not in known})
         for a in range(0, len(new), 10_000):
             some = new[a:a + 10_000]
-            known.update(zip(some, map(tuple, self.encode_words([w.decode() for w in some])), strict=True))
+            known.update(zip(some, self.encode_words([w.decode() for w in some]), strict=True))
         return [np.fromiter(chain.from_iterable(map(known.__getitem__, ws)), dtype=np.int64) for ws in split]
 
 
-def word_tokenizer(path: str) -> Callable[[list[str]], list[list[int]]]:
+def word_ids(path: str) -> WordIds:
+    """The words and ids that this Python worker already knows, whichever task it learnt them in."""
+    kept = sys.modules.setdefault("scorekit_worker_memory", ModuleType("scorekit_worker_memory")).__dict__
+    if path not in kept:
+        kept[path] = WordIds(word_tokenizer(path))
+    return kept[path]
+
+
+def word_tokenizer(path: str) -> Callable[[list[str]], list[tuple[int, ...]]]:
     """Words to ids, without special tokens, by a vocabulary file of the tokenizers library."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode(words: list[str]) -> list[tuple[int, ...]]:
+        # One call for all of them costs half as much as one for each; positions tell whose ids are whose.
+        out = tokenizer.encode(" ".join(words), add_special_tokens=False)
+        begins = np.cumsum([0, *[len(w) + 1 for w in words[:-1]]])
+        owners = np.searchsorted(begins, np.array([a for a, _ in out.offsets], dtype=np.int64), side="right") - 1
+        ends = np.cumsum(np.bincount(owners, minlength=len(words))).tolist()
+        ids = out.ids
+        return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends)]
+
+    return encode
 
 
 def write_ids(
@@ -64,7 +97,7 @@ def write_ids(
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(word_tokenizer(vocabulary))
+        words = word_ids(vocabulary)
         held: list[np.ndarray] = []
         index: list[tuple[int | None, int]] = []
         where = segment = size = 0
@@ -84,7 +117,7 @@ def write_ids(
             ids_of = batch["doc_id"].astype("Int64")
             for a in range(0, len(batch), 500):
                 for d, ids in zip(ids_of.iloc[a:a + 500], words(batch["text"].iloc[a:a + 500].tolist()), strict=True):
-                    held.append(np.append(ids, end_id))
+                    held.append(np.append(ids, end_id).astype(np.int32))
                     index.append((None if d is pd.NA else int(d), len(ids) + 1))
                     size += len(ids) + 1
                 if size >= SEGMENT:
