@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -340,9 +342,12 @@ def assemble_vector_query(spark, sf_dir):
     return unpack(assemble_vector(group_features(_group_users(spark, sf_dir, spec), spec, False)), "features", list(spec.features))
 
 
-@query("scaler_fit", f", features AS MATERIALIZED ({_features_sql(GROUPS['consuming'], True)}) " + " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, round(avg({f}), 4) AS mean, round(stddev_samp({f}), 4) AS std FROM features"
-    for f in GROUPS["consuming"].features))
+def _scaler_sql(spec: GroupSpec) -> str:
+    return f", features AS MATERIALIZED ({_features_sql(spec, True)}) " + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, round(avg({f}), 4) AS mean, round(stddev_samp({f}), 4) AS std FROM features" for f in spec.features)
+
+
+@query("scaler_fit", _scaler_sql(GROUPS["consuming"]))
 def scaler_fit(spark, sf_dir):
     spec = GROUPS["consuming"]
     features = assemble(group_features(_group_users(spark, sf_dir, spec), spec, True), list(spec.features))
@@ -472,6 +477,32 @@ for _s in GROUPS.values():
     _register_score(_s)
 
 
+# What SQL can say about these queries, as entries of their own: keys, labels, means and equalities.
+
+@query("random_split_union", "SELECT c_custkey AS uid_uid, 1::BIGINT AS parts FROM customer")
+def random_split_union(spark, sf_dir):
+    """Every row is in exactly one part."""
+    return random_split_query(spark, sf_dir).groupBy(USER_KEY).agg(F.count("part").alias("parts"))
+
+
+@query("holdout_labels", """ SELECT uid_uid, uid_flag::DOUBLE AS label, TRUE AS bounded FROM users
+WHERE (('0x' || substr(md5(uid_uid::VARCHAR), 1, 8))::BIGINT) % 100 >= 75""")
+def holdout_labels(spark, sf_dir):
+    """Whom the held-out predictions judge, with their labels; a forest stays within the labels it has seen."""
+    return holdout_predictions(spark, sf_dir).select(USER_KEY, "label", F.col("prediction").between(0.0, 1.0).alias("bounded"))
+
+
+@query("train_submodel_moments", _scaler_sql(GROUPS["financial"]))
+def train_submodel_moments(spark, sf_dir):
+    """The mean and deviation of each feature in a trained group."""
+    return train_submodel(spark, sf_dir).select("feature", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+
+
+@query("model_roundtrip_equal", " SELECT uid_uid, TRUE AS same FROM users")
+def model_roundtrip_equal(spark, sf_dir):
+    return model_roundtrip(spark, sf_dir).select(USER_KEY, (F.col("before") == F.col("after")).alias("same"))
+
+
 # --- evaluation on a stand-in prediction ---------------------------------------------------------------------
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -667,6 +698,15 @@ def credit_score_query(spark, sf_dir):
     return credit_score(user_table(spark, sf_dir), TreeParams(), 5)
 
 
+@query("score_with_label_parts", " SELECT uid_uid, score::DOUBLE AS score, TRUE AS total_of_parts, TRUE AS forests_bounded FROM users")
+def score_with_label_parts(spark, sf_dir):
+    """Every user with the known label; the total is that of the five scores, and those of forests stay within 350 to 850."""
+    out = credit_score(user_table(spark, sf_dir), TreeParams(), 5, (USER_KEY, SCORING_LABEL))
+    gap = F.abs(F.col("score_all") - compose.weighted_total())
+    forests = [F.col(s.score_column).between(350.0, 850.0) for s in GROUPS.values() if not s.gbt_share]
+    return out.select(USER_KEY, F.col(SCORING_LABEL).cast("double").alias("score"), (gap < 1e-9).alias("total_of_parts"), reduce(and_, forests).alias("forests_bounded"))
+
+
 # --- arrays, maps and scalars --------------------------------------------------------------------------------
 
 def _ints(spark: SparkSession, sf_dir: str) -> DataFrame:
