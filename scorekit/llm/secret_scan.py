@@ -23,7 +23,7 @@ PATTERNS = {
 MIN_ASSIGNED = 12
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-WORDLIKE = r"[A-Za-z0-9+/_=-]{3,}"
+WORDLIKE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{3,19}+(?![A-Za-z0-9+/_=-])"  # too short to be judged
 
 _SPANS = "array<struct<s:int,e:int,m:string>>"
 
@@ -57,7 +57,8 @@ def base_spans(text: Column) -> dict[str, Column]:
 def train(docs: DataFrame, text: str = "text", sample_docs: int = 5000) -> list[float]:
     """Log-likelihood ratios, random against ordinary, of each character of the alphabet after each other one.
 
-    Samples are labelled by the fixed patterns: what they match is random, other words are ordinary. They come from
+    Samples are labelled by the fixed patterns: what they match is random, other words of up to 19 characters are
+    ordinary; longer ones are what the models will judge. They come from
     about ``sample_docs`` documents picked by a hash of the text, or from all if there are no more. Half of the random
     model's weight is uniform, since secrets may use characters that the samples do not.
     """
@@ -83,12 +84,15 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = 5000) -> list[
         "random", "n", F.explode(let(F.split("w", ""), pairs)).alias("pair")).groupBy("random", "pair").agg(F.sum("n").alias("n"))
     counts = {(r["random"], r["pair"]): r["n"] for r in counted.collect()}  # at most two per pair of the alphabet
 
+    # Where the ordinary model has seen little after a character, it falls back on how common the next one is anywhere.
     size, ratios = len(ALPHABET), []
+    ends = {b: sum(counts.get((False, a + b), 0) for a in ALPHABET) for b in ALPHABET}
+    total = sum(ends.values())
     for a in ALPHABET:
         seen = {k: [counts.get((k, a + b), 0) for b in ALPHABET] for k in (True, False)}
-        for r, o in zip(seen[True], seen[False], strict=True):
+        for b, r, o in zip(ALPHABET, seen[True], seen[False], strict=True):
             random = 0.5 * (r + 1) / (sum(seen[True]) + size) + 0.5 / size
-            ordinary = (o + 0.1) / (sum(seen[False]) + 0.1 * size)
+            ordinary = (o + 5 * (ends[b] + 0.1) / (total + 0.1 * size)) / (sum(seen[False]) + 5)
             ratios.append(round(math.log(random / ordinary), 4))
     return ratios
 
