@@ -29,7 +29,8 @@ TEXTS = [
 
 def prose(n, seed):
     r = random.Random(seed)
-    words = ["nation", "the", "estimate", "responsibilities", "of", "internationalization", "a", "counterrevolutionaries", "snake_case_identifier_names"]
+    words = ["nation", "the", "estimate", "responsibilities", "of", "internationalization", "a", "counterrevolutionaries", "snake_case_identifier_names",
+             "counter", "revolution", "binaries", "snake_case", "case_name", "identifier", "names", "international", "realization", "_internal", "r_identify"]
     return " ".join(r.choice(words) for _ in range(n))
 
 
@@ -42,7 +43,7 @@ def test_patterns_and_models(spark):
     found = dict(got)
     assert found[13] == [(4, "markov", 4 + len(SECRET))]
     assert all(not spans for d, spans in got if d is not None and d >= 100)
-    assert all(not any(k == "markov" for _, k, _ in spans) for d, spans in got if d != 13)
+    assert all(not any(k == "markov" for _, k, _ in spans) for d, spans in got if d not in (13, 14))  # 14: an assignment spelt with a letter beyond ASCII
 
 
 def test_sampling_is_bounded_and_no_rows_are_fine(spark):
