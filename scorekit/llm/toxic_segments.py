@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from .common import PLAIN_WORD, ascii_lower, small_side
 
 # Rows whose crc32 of the id, written as text, leaves this remainder by five are never learnt from.
 HELD_OUT = 0
+BEGINNINGS = (4, 5, 6, 7, 8)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,14 +51,28 @@ def maximal_segments(hits: list[tuple[int, float]], neutral: float) -> list[tupl
     return [(a, b, high - low) for a, b, low, high, _ in out]
 
 
-def train_words(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, least: int = 3, z: float = 3.3, terms: int = 50_000) -> dict:
-    """Scores of words from the labelled rows that are not held out.
+def features(words: Column) -> Column:
+    """Distinct words and, with a star behind, their beginnings of 4 to 8 letters, which compounds have in common."""
+    def each(w: Column) -> Column:
+        parts = [F.when(F.length(w) > k, F.concat(F.substring(w, 1, k), F.lit("*"))) for k in BEGINNINGS]
+        return F.array(w, *parts)
+
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(F.array_distinct(words), each))))
+
+
+def best_score(word: str, scores: dict[str, float]) -> float:
+    """The highest score of a word's features, 0 without any."""
+    return max(scores.get(word, 0.0), *(scores.get(word[:k] + "*", 0.0) for k in BEGINNINGS if len(word) > k), 0.0)
+
+
+def train_words(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, least: int = 3, terms: int = 50_000) -> dict:
+    """Scores of words and beginnings of words from the labelled rows that are not held out.
 
     Counts are of different texts that hold a word, so neither a word repeated all over one text nor a text copied many
     times weighs more than once. The log-odds of a word are those of its posterior in toxic and clean texts, with a
     Dirichlet prior of half a text plus the word's share of all; they count if ``least`` texts hold the word and the odds
-    lie ``z`` standard errors above even. ``terms`` bounds the size of the model. Returns the scores, and how often each
-    scored word comes up in clean text.
+    lie so many standard errors above even that of all words tried one is expected to do so by chance. ``terms`` bounds
+    the size of the model. Returns the scores, and how often each scored word comes up in clean text.
     """
     learnt = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(~held_out(F.col("doc_id")))
     thin = learnt.select("doc_id", F.xxhash64("text").alias("h")).join(labels, "doc_id")
@@ -66,10 +82,11 @@ def train_words(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, leas
     if not nt or not nc:
         return {"scores": {}, "rates": {}}
     known = learnt.withColumn("h", F.xxhash64("text")).join(small_side(one_each, sums["n"], 48), ["doc_id", "h"])
-    words = known.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(PLAIN_WORD), 0))).alias("w"))
+    words = known.select("toxic", F.explode(features(F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(PLAIN_WORD), 0))).alias("w"))
     counts = materialize(words.groupBy("w").agg(
         F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c")).where(f"t + c >= {least}"), "words")
-    seen = counts.agg(F.sum("c").alias("c")).first()["c"] or 0.0
+    found = counts.agg(F.sum(F.when(~F.endswith("w", F.lit("*")), F.col("c"))).alias("c"), F.count("*").alias("n")).first()
+    seen, z = found["c"] or 0.0, NormalDist().inv_cdf(1 - 1 / max(100, found["n"]))
     prior = F.lit(0.5) + (F.col("t") + F.col("c")) / (nt + nc)
     odds = lambda k, n: F.log((F.col(k) + prior) / (n + 1.5 - F.col(k)))
     gain = odds("t", nt) - odds("c", nc)
@@ -103,11 +120,13 @@ def find_segments(docs: DataFrame, scores: dict[str, float], neutral: float, doc
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         word, lookup = re.compile(PLAIN_WORD), table.value
+        shortest = BEGINNINGS[0]
+        starts = {w[:shortest] for w in lookup}
         for batch in batches:
             n, found = [], []
             for t in batch["text"]:
                 ws = word.findall(t.encode().lower().decode()) if t else []
-                hits = [(i, lookup[w]) for i, w in enumerate(ws) if w in lookup]
+                hits = [(i, s) for i, w in enumerate(ws) if w[:shortest] in starts and (s := best_score(w, lookup)) > 0]
                 n.append(len(ws))
                 found.append(maximal_segments(hits, neutral))
             yield pd.DataFrame({
