@@ -4,7 +4,7 @@ import itertools
 import random
 
 from scorekit.llm.catalog import load
-from scorekit.llm.toxic_segments import fit_curve, held_out, maximal_segments, score_toxicity
+from scorekit.llm.toxic_segments import best_score, fit_curve, held_out, maximal_segments, score_toxicity
 from scorekit.llm.weak_quality import GOOD, JUNK, NONE, estimate, judge, score_quality
 
 
@@ -29,6 +29,11 @@ def test_segments():
         assert all(abs(s - sum(scores[a:b])) < 1e-9 for a, b, s in got)
 
 
+def test_beginnings_score():
+    scores = {"word": 2.0, "comp*": 1.0, "compou*": 3.0, "xyz": 1.5}
+    assert [best_score(w, scores) for w in ("word", "words", "comp", "compo", "compound", "xyz", "xyzw", "")] == [2.0, 0.0, 0.0, 1.0, 3.0, 1.5, 0.0, 0.0]
+
+
 def test_curve():
     a, b = fit_curve([(-2.0, 0, 90), (0.0, 50, 50), (2.0, 90, 0)])
     assert abs(a) < 0.1 and b > 1
