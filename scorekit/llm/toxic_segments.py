@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -65,14 +64,14 @@ def best_score(word: str, scores: dict[str, float]) -> float:
     return max(scores.get(word, 0.0), *(scores.get(word[:k] + "*", 0.0) for k in BEGINNINGS if len(word) > k), 0.0)
 
 
-def train_words(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, least: int = 3, terms: int = 50_000) -> dict:
+def train_words(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, least: int = 3, evidence: float = 3.0, terms: int = 50_000) -> dict:
     """Scores of words and beginnings of words from the labelled rows that are not held out.
 
     Counts are of different texts that hold a word, so neither a word repeated all over one text nor a text copied many
     times weighs more than once. The log-odds of a word are those of its posterior in toxic and clean texts, with a
-    Dirichlet prior of half a text plus the word's share of all; they count if ``least`` texts hold the word and the odds
-    lie so many standard errors above even that of all words tried one is expected to do so by chance. ``terms`` bounds
-    the size of the model. Returns the scores, and how often each scored word comes up in clean text.
+    Dirichlet prior of half a text plus the word's share of all; they count if ``least`` texts hold the word and these
+    are toxic more often than all texts by ``evidence`` standard errors, taken from the likelihood ratio, so that a word
+    no clean text holds needs a few texts and no more of them where there are more words. ``terms`` bounds the model. Returns the scores, and how often each scored word comes up in clean text.
     """
     learnt = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(~held_out(F.col("doc_id")))
     thin = learnt.select("doc_id", F.xxhash64("text").alias("h")).join(labels, "doc_id")
@@ -85,13 +84,13 @@ def train_words(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, leas
     words = known.select("toxic", F.explode(features(F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(PLAIN_WORD), 0))).alias("w"))
     counts = materialize(words.groupBy("w").agg(
         F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c")).where(f"t + c >= {least}"), "words")
-    found = counts.agg(F.sum(F.when(~F.endswith("w", F.lit("*")), F.col("c"))).alias("c"), F.count("*").alias("n")).first()
-    seen, z = found["c"] or 0.0, NormalDist().inv_cdf(1 - 1 / max(100, found["n"]))
+    seen = counts.agg(F.sum(F.when(~F.endswith("w", F.lit("*")), F.col("c"))).alias("c")).first()["c"] or 0.0
+    share = nt / (nt + nc)
     prior = F.lit(0.5) + (F.col("t") + F.col("c")) / (nt + nc)
     odds = lambda k, n: F.log((F.col(k) + prior) / (n + 1.5 - F.col(k)))
-    gain = odds("t", nt) - odds("c", nc)
-    error = F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
-    rows = counts.select("w", "c", gain.alias("s"), (gain / error).alias("z")).where(f"z >= {z} AND s > 0").orderBy(F.desc("z"), "w").limit(terms).collect()
+    part = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / ((F.col("t") + F.col("c")) * p))).otherwise(0.0)
+    scored = counts.where(f"t > (t + c) * {share}").select("w", "c", (odds("t", nt) - odds("c", nc)).alias("s"), (2 * (part("t", share) + part("c", 1 - share))).alias("ratio"))
+    rows = scored.where(f"ratio >= {evidence * evidence} AND s > 0").orderBy(F.desc("ratio"), "w").limit(terms).collect()
     return {"scores": {r["w"]: r["s"] for r in rows}, "rates": {r["w"]: (r["c"] + 0.5) / (seen + 0.5) for r in rows}}
 
 

@@ -2,9 +2,11 @@
 
 import itertools
 import random
+import zlib
 
+from scorekit.llm import toxic_segments
 from scorekit.llm.catalog import load
-from scorekit.llm.toxic_segments import best_score, fit_curve, held_out, maximal_segments, score_toxicity
+from scorekit.llm.toxic_segments import best_score, fit_curve, held_out, maximal_segments, score_toxicity, train_words
 from scorekit.llm.weak_quality import GOOD, JUNK, NONE, estimate, judge, score_quality
 
 
@@ -92,3 +94,24 @@ def test_labels_of_held_out_rows_change_nothing(spark, sf_dir):
     a, b = (sorted((r.doc_id, r.score) for r in score_toxicity(docs, x).collect()) for x in (labels, flipped))
     assert a == b
     assert len(set(itertools.chain(a))) == len(a)
+
+
+def learnable(n):
+    """Ids that are not held out."""
+    return [i for i in range(3 * n) if zlib.crc32(str(i).encode()) % 5 != toxic_segments.HELD_OUT][:n]
+
+
+def labelled(spark, texts):
+    """Documents and labels of (text, toxic) pairs."""
+    rows = [(i, t, y) for i, (t, y) in zip(learnable(len(texts)), texts, strict=True)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    return df.select("doc_id", "text"), df.select("doc_id", "toxic")
+
+
+def test_a_larger_vocabulary_loses_no_toxic_word(spark):
+    def scores(filler):
+        texts = [(f"{'vile ' * (i < 12)} x{i} {filler}", int(i < 50)) for i in range(400)]
+        return train_words(*labelled(spark, texts), "doc_id", "text")["scores"]
+
+    few, many = scores("word"), scores(" ".join(f"w{i}" for i in range(20_000)))
+    assert few["vile"] == many["vile"] > 2 and "word" not in few and "w7" not in many
