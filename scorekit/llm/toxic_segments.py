@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import materialize
-from .common import PLAIN_WORD, ascii_lower, small_side
+from .common import BROADCAST_BYTES, PLAIN_WORD, ascii_lower, small_side
 
 # Rows whose crc32 of the id, written as text, leaves this remainder by five are never learnt from.
 HELD_OUT = 0
@@ -64,14 +64,28 @@ def best_score(word: str, scores: dict[str, float]) -> float:
     return max(scores.get(word, 0.0), *(scores.get(word[:k] + "*", 0.0) for k in BEGINNINGS if len(word) > k), 0.0)
 
 
-def train_words(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, least: int = 3, evidence: float = 3.0, terms: int = 50_000) -> dict:
+def plain_words(text: Column) -> Column:
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(PLAIN_WORD), 0)
+
+
+def best_scores(words: DataFrame, scores: DataFrame, small: bool) -> DataFrame:
+    """The highest score of the features of each row's word ``w``, for the words that have one, with the other columns."""
+    others = words.columns
+    parts = words.withColumn("f", F.explode(features(F.array("w"))))
+    table = scores.withColumnRenamed("w", "f")
+    return parts.join(F.broadcast(table) if small else table, "f").groupBy(*others).agg(F.max("s").alias("s"))
+
+
+def train_words(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, neutral: float, least: int = 3, evidence: float = 3.0) -> dict:
     """Scores of words and beginnings of words from the labelled rows that are not held out.
 
     Counts are of different texts that hold a word, so neither a word repeated all over one text nor a text copied many
     times weighs more than once. The log-odds of a word are those of its posterior in toxic and clean texts, with a
-    Dirichlet prior of half a text plus the word's share of all; they count if ``least`` texts hold the word and these
+    Dirichlet prior of half a text plus the word's share of all. They count if ``least`` texts hold the word, and if these
     are toxic more often than all texts by ``evidence`` standard errors, taken from the likelihood ratio, so that a word
-    no clean text holds needs a few texts and no more of them where there are more words. ``terms`` bounds the model. Returns the scores, and how often each scored word comes up in clean text.
+    no clean text holds needs a few texts and no more of them where there are more words. Returns ``scores``, a
+    written table (w, s) of whatever size, ``n``, its rows, and ``profile``, how often each score, rounded to 1/64, comes up among
+    the words of clean texts; ``scores`` is None without labels of both kinds.
     """
     learnt = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(~held_out(F.col("doc_id")))
     thin = learnt.select("doc_id", F.xxhash64("text").alias("h")).join(labels, "doc_id")
@@ -79,30 +93,40 @@ def train_words(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, leas
     sums = one_each.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     nt, nc = sums["t"] or 0, sums["n"] - (sums["t"] or 0)
     if not nt or not nc:
-        return {"scores": {}, "rates": {}}
+        return {"scores": None, "n": 0, "profile": []}
     known = learnt.withColumn("h", F.xxhash64("text")).join(small_side(one_each, sums["n"], 48), ["doc_id", "h"])
-    words = known.select("toxic", F.explode(features(F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(PLAIN_WORD), 0))).alias("w"))
+    words = known.select("toxic", F.explode(features(plain_words(F.col("text")))).alias("w"))
     counts = materialize(words.groupBy("w").agg(
-        F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c")).where(f"t + c >= {least}"), "words")
-    seen = counts.agg(F.sum(F.when(~F.endswith("w", F.lit("*")), F.col("c"))).alias("c")).first()["c"] or 0.0
+        F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c")), "words")
     share = nt / (nt + nc)
     prior = F.lit(0.5) + (F.col("t") + F.col("c")) / (nt + nc)
     odds = lambda k, n: F.log((F.col(k) + prior) / (n + 1.5 - F.col(k)))
     part = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / ((F.col("t") + F.col("c")) * p))).otherwise(0.0)
-    scored = counts.where(f"t > (t + c) * {share}").select("w", "c", (odds("t", nt) - odds("c", nc)).alias("s"), (2 * (part("t", share) + part("c", 1 - share))).alias("ratio"))
-    rows = scored.where(f"ratio >= {evidence * evidence} AND s > 0").orderBy(F.desc("ratio"), "w").limit(terms).collect()
-    return {"scores": {r["w"]: r["s"] for r in rows}, "rates": {r["w"]: (r["c"] + 0.5) / (seen + 0.5) for r in rows}}
+    scores = materialize(counts.where(f"t + c >= {least} AND t > (t + c) * {share}").select(
+        "w", (odds("t", nt) - odds("c", nc)).alias("s"), (2 * (part("t", share) + part("c", 1 - share))).alias("ratio")).where(
+            f"ratio >= {evidence * evidence} AND s > 0").select("w", "s"), "scores")
+    n = scores.count()
+    clean = counts.where(~F.endswith("w", F.lit("*")) & (F.col("c") > 0)).select("w", "c")
+    hits = best_scores(clean, scores, fits(n)).groupBy((F.round(F.col("s") * 64) / 64).alias("s")).agg(F.sum("c").alias("c")).orderBy("s").collect()
+    rest = (clean.agg(F.sum("c").alias("c")).first()["c"] or 0.0) - sum(r["c"] for r in hits)
+    return {"scores": scores, "n": n, "profile": [(neutral, rest + 0.5), *((r["s"], r["c"]) for r in hits)]}
+
 
+def fits(rows: int) -> bool:
+    """Whether so many words with their scores may be sent to every executor."""
+    return rows * 48 <= BROADCAST_BYTES
 
-def decay(model: dict, neutral: float) -> float:
-    """The positive root of E[exp(x * score)] = 1 over clean text: scores above s arise there as exp(-root * s)."""
-    rest = max(1e-9, 1 - sum(model["rates"].values()))
+
+def decay(profile: list[tuple[float, float]]) -> float:
+    """The positive root of E[exp(x * score)] = 1 over words of clean text, given as scores and how often each comes up:
+    scores above s arise there as exp(-root * s)."""
+    total = sum(n for _, n in profile)
 
     def excess(x: float) -> float:
-        return rest * math.exp(x * neutral) + sum(p * math.exp(min(700.0, x * model["scores"][w])) for w, p in model["rates"].items()) - 1
+        return sum(n / total * math.exp(min(700.0, x * s)) for s, n in profile) - 1
 
     low, high = 1e-6, 1.0
-    if not model["scores"] or excess(low) >= 0:
+    if not profile or excess(low) >= 0:
         return 1.0
     while excess(high) < 0 and high < 64:
         high *= 2
@@ -112,28 +136,56 @@ def decay(model: dict, neutral: float) -> float:
     return low
 
 
-def find_segments(docs: DataFrame, scores: dict[str, float], neutral: float, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, n_words, best, segments`` per row; positions count words, ends are exclusive."""
-    context = docs.sparkSession.sparkContext
-    table = context.broadcast(scores)  # at most as many words as the model may have
+SEGMENTS = "doc_id bigint, n_words bigint, best double, segments array<struct<start:int,end:int,score:double>>"
+
+
+def as_segments(doc_id: pd.Series, n: list[int], hits: Iterator[list[tuple[int, float]]], neutral: float) -> pd.DataFrame:
+    found = [maximal_segments(h, neutral) for h in hits]
+    return pd.DataFrame({
+        "doc_id": doc_id, "n_words": n, "best": [max((s for _, _, s in f), default=0.0) for f in found],
+        "segments": [[{"start": a, "end": b, "score": s} for a, b, s in f] for f in found]})
+
+
+def find_segments(docs: DataFrame, model: dict, neutral: float, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, n_words, best, segments`` per row; positions count words, ends are exclusive. A table of scores that
+    :func:`fits` is sent to the executors, a larger one is joined to the words."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if not fits(model["n"]):
+        return join_segments(rows, model["scores"], neutral)
+    scores = {r["w"]: r["s"] for r in model["scores"].collect()} if model["n"] else {}
+    table = docs.sparkSession.sparkContext.broadcast(scores)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         word, lookup = re.compile(PLAIN_WORD), table.value
         shortest = BEGINNINGS[0]
         starts = {w[:shortest] for w in lookup}
         for batch in batches:
-            n, found = [], []
+            n, hits = [], []
             for t in batch["text"]:
                 ws = word.findall(t.encode().lower().decode()) if t else []
-                hits = [(i, s) for i, w in enumerate(ws) if w[:shortest] in starts and (s := best_score(w, lookup)) > 0]
+                hits.append([(i, s) for i, w in enumerate(ws) if w[:shortest] in starts and (s := best_score(w, lookup)) > 0])
                 n.append(len(ws))
-                found.append(maximal_segments(hits, neutral))
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "n_words": n, "best": [max((s for _, _, s in f), default=0.0) for f in found],
-                "segments": [[{"start": a, "end": b, "score": s} for a, b, s in f] for f in found]})
+            yield as_segments(batch["doc_id"], n, hits, neutral)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(scan, "doc_id bigint, n_words bigint, best double, segments array<struct<start:int,end:int,score:double>>")
+    return rows.mapInPandas(scan, SEGMENTS)
+
+
+def join_segments(rows: DataFrame, scores: DataFrame, neutral: float) -> DataFrame:
+    """:func:`find_segments` by joins alone: scores to the different words of all texts, these to the places of the
+    words, and the places of each different text to its rows."""
+    read = rows.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"), plain_words(F.col("text")).alias("ws"))
+    vocabulary = read.select(F.explode(F.array_distinct("ws")).alias("w")).distinct()
+    best = materialize(best_scores(vocabulary, scores, False), "best")
+    places = read.select("h", F.posexplode("ws").alias("at", "w")).join(best, "w")
+    hits = places.groupBy("h").agg(F.sort_array(F.collect_set(F.struct("at", "s"))).alias("hits"))
+    found = read.select("doc_id", "h", F.size("ws").cast("long").alias("n_words")).join(hits, "h", "left")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hits = [[(x["at"], x["s"]) for x in h] if h is not None else [] for h in batch["hits"]]
+            yield as_segments(batch["doc_id"], batch["n_words"], hits, neutral)
+
+    return found.select("doc_id", "n_words", "hits").mapInPandas(scan, SEGMENTS)
 
 
 def fit_curve(bins: list[tuple[float, int, int]], rounds: int = 50, ridge: float = 1e-3) -> tuple[float, float]:
@@ -168,9 +220,9 @@ def score_toxicity(
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     neutral = math.log(1 - density)
-    model = train_words(docs, known, doc_id, text)
-    rate = decay(model, neutral)
-    found = materialize(find_segments(docs, model["scores"], neutral, doc_id, text), "segments")
+    model = train_words(docs, known, doc_id, text, neutral)
+    rate = decay(model["profile"])
+    found = materialize(find_segments(docs, model, neutral, doc_id, text), "segments")
 
     # Scale of the extreme-value law by maximum likelihood over clean texts, then the curve over all texts learnt from.
     size = F.greatest("n_words", F.lit(1)).cast("double")

@@ -111,7 +111,22 @@ def labelled(spark, texts):
 def test_a_larger_vocabulary_loses_no_toxic_word(spark):
     def scores(filler):
         texts = [(f"{'vile ' * (i < 12)} x{i} {filler}", int(i < 50)) for i in range(400)]
-        return train_words(*labelled(spark, texts), "doc_id", "text")["scores"]
+        return {r.w: r.s for r in train_words(*labelled(spark, texts), "doc_id", "text", -0.1)["scores"].collect()}
 
     few, many = scores("word"), scores(" ".join(f"w{i}" for i in range(20_000)))
     assert few["vile"] == many["vile"] > 2 and "word" not in few and "w7" not in many
+
+
+def test_words_beyond_any_number_are_scored(spark):
+    words = ["".join(x) for x in itertools.islice(itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=4), 52_000)]
+    texts = [(f"{' '.join(words)} t{i}", 1) for i in range(6)] + [(f"c{i} other", 0) for i in range(18)]
+    assert train_words(*labelled(spark, texts), "doc_id", "text", -0.1)["n"] == len(words)
+
+
+def test_joined_scores_give_the_same_rows(spark, sf_dir, monkeypatch):
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    docs = docs.unionByName(docs.limit(20)).unionByName(docs.limit(1).selectExpr("NULL AS doc_id", "NULL AS text", "lang", "source", "n_chars"))
+    sent = sorted(map(str, score_toxicity(docs, labels).collect()))
+    monkeypatch.setattr(toxic_segments, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, score_toxicity(docs, labels).collect())) == sent
+    assert any("start=" in r for r in sent)
