@@ -22,8 +22,8 @@ PATTERNS = {
 }
 MIN_ASSIGNED = 12
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-WORDLIKE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{3,19}+(?![A-Za-z0-9+/_=-])"  # too short to be judged
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_ASSIGNED},}}"
+WORDLIKE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{3,19}+(?![A-Za-z0-9+/_=-])"
 
 _SPANS = "array<struct<s:int,e:int,m:string>>"
 
@@ -54,11 +54,18 @@ def base_spans(text: Column) -> dict[str, Column]:
     return found | {"assign": F.filter(found["assign"], long_enough)}
 
 
+def mixed(m: Column) -> Column:
+    """Whether a string has 20 characters or two kinds of capitals, small letters and digits. Shorter ones of one kind
+    cannot be told from words that the ordinary samples lack."""
+    kinds = [m.rlike(p).cast("int") for p in ("[A-Z]", "[a-z]", "[0-9]")]
+    return (F.length(m) >= 20) | (kinds[0] + kinds[1] + kinds[2] >= 2)
+
+
 def train(docs: DataFrame, text: str = "text", sample_docs: int = 5000) -> list[float]:
     """Log-likelihood ratios, random against ordinary, of each character of the alphabet after each other one.
 
     Samples are labelled by the fixed patterns: what they match is random, other words of up to 19 characters are
-    ordinary; longer ones are what the models will judge. They come from
+    ordinary; longer ones are judged, but not learnt from. They come from
     about ``sample_docs`` documents picked by a hash of the text, or from all if there are no more. Half of the random
     model's weight is uniform, since secrets may use characters that the samples do not.
     """
@@ -103,8 +110,8 @@ def scan_secrets(
     """All secrets of every text: ``doc_id, spans``, one row per input row, ``spans`` an array of (start, kind, end) in
     order; kind is ``assign``, ``access``, ``hex``, or ``markov`` for what only the models find.
 
-    The models judge runs of 20 or more characters that overlap no span of a pattern, and report those with a
-    log-likelihood ratio of at least ``margin`` per character. A null text is empty and has no spans.
+    The models judge runs of 12 or more characters that overlap no span of a pattern, and report those with a
+    log-likelihood ratio of at least ``margin`` per character, if they are :func:`mixed`. A null text is empty and has no spans.
     """
     size = len(ALPHABET)
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # folded into one constant of fixed size
@@ -122,7 +129,7 @@ def scan_secrets(
         clash = F.lit(False)
         for k in kinds:
             clash = clash | F.exists(k, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
-        return ~clash & (score(x["m"]) >= margin)
+        return ~clash & (score(x["m"]) >= margin) & mixed(x["m"])
 
     found = found.select("doc_id", *kinds, F.filter(find(F.col("text"), CANDIDATE), alone).alias("markov"))
 

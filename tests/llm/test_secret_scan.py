@@ -4,6 +4,9 @@ import random
 import re
 import string
 
+from pyspark.sql import functions as F
+
+from scorekit.llm.catalog import load
 from scorekit.llm.secret_scan import scan_secrets, train
 
 BASE = {
@@ -50,3 +53,24 @@ def test_sampling_is_bounded_and_no_rows_are_fine(spark):
     df = spark.createDataFrame([(i, prose(30, i)) for i in range(300)], "doc_id bigint, text string")
     assert len(train(df, sample_docs=30)) == len(train(df.limit(0))) == 67 * 67
     assert scan_secrets(df.limit(0), train(df.limit(0))).count() == 0
+
+
+def spans_of(spark, ratios, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in scan_secrets(df, ratios).collect()}
+
+
+def key(n, seed):
+    r = random.Random(seed)
+    return "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+
+
+def test_short_keys_are_found_and_long_words_are_not(spark, sf_dir):
+    docs = load(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents")
+    ratios = train(docs)
+    keys = [key(n, i) for n in (12, 16, 19) for i in range(100)]
+    found = spans_of(spark, ratios, ["word " + k + " word" for k in keys])
+    assert sum(found[i] == [(5, "markov", 5 + len(k))] for i, k in enumerate(keys)) >= 297  # one is made of common pairs
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9+/_=.-])[A-Z]?[a-z]{11,18}(?![A-Za-z0-9+/_=.-])"), 0)).alias("w")).distinct().limit(2000)
+    words = [r.w for r in words.collect() if not re.fullmatch("[a-f]+", r.w)]
+    assert len(words) > 100 and not any(spans_of(spark, ratios, words).values())
