@@ -21,6 +21,7 @@ PATTERNS = {
     "hex": r"[0-9a-f]{16,}",
 }
 MIN_ASSIGNED = 12
+DROP = 12.0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_ASSIGNED},}}"
 WORDLIKE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{3,19}+(?![A-Za-z0-9+/_=-])"
@@ -61,6 +62,43 @@ def mixed(m: Column) -> Column:
     return (F.length(m) >= 20) | (kinds[0] + kinds[1] + kinds[2] >= 2)
 
 
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of all ``spans``, which may overlap; no other character moves."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        s, e = F.greatest(x["s"], acc["at"]), F.greatest(x["e"], acc["at"])
+        piece = F.concat(F.substring(text, acc["at"] + 1, s - acc["at"]), F.repeat(F.lit(" "), e - s))
+        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+    def joined(acc: Column) -> Column:
+        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(F.sort_array(spans), zero, add, joined))
+
+
+def stretches(gains: Column) -> Column:
+    """Stretches (s, e) of ``MIN_ASSIGNED`` or more characters whose gains, one per pair of neighbours, add up to more
+    than nothing: each starts where the running total leaves zero and ends at its peak, and the next one starts where the
+    total is back at zero or ``DROP`` below the peak."""
+    empty = F.array().cast("array<struct<s:int,e:int>>")
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), F.lit(0).alias("s"), F.lit(0).alias("e"), empty.alias("out"))
+
+    def closed(acc: Column) -> Column:
+        long_enough = acc["e"] - acc["s"] >= MIN_ASSIGNED
+        return F.when(long_enough, F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["out"])
+
+    def add(acc: Column, gain: Column) -> Column:
+        i, total = acc["i"] + 1, acc["sum"] + gain
+        ends = (total <= 0) | (acc["peak"] - total >= DROP)
+        return F.struct(
+            i.alias("i"), F.when(ends, 0.0).otherwise(total).alias("sum"), F.when(ends, 0.0).otherwise(F.greatest(acc["peak"], total)).alias("peak"),
+            F.when(ends, i).otherwise(acc["s"]).alias("s"), F.when(ends, i).when(total > acc["peak"], i + 1).otherwise(acc["e"]).alias("e"),
+            F.when(ends, closed(acc)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(gains, zero, add, closed)
+
+
 def train(docs: DataFrame, text: str = "text", sample_docs: int = 5000) -> list[float]:
     """Log-likelihood ratios, random against ordinary, of each character of the alphabet after each other one.
 
@@ -110,8 +148,9 @@ def scan_secrets(
     """All secrets of every text: ``doc_id, spans``, one row per input row, ``spans`` an array of (start, kind, end) in
     order; kind is ``assign``, ``access``, ``hex``, or ``markov`` for what only the models find.
 
-    The models judge runs of 12 or more characters that overlap no span of a pattern, and report those with a
-    log-likelihood ratio of at least ``margin`` per character, if they are :func:`mixed`. A null text is empty and has no spans.
+    The models judge runs of 12 or more characters in what the spans of patterns leave of the text. They report a run
+    with a log-likelihood ratio of at least ``margin`` per character, and of other runs each stretch that has as much
+    (see :func:`stretches`), if they are :func:`mixed`. A null text is empty and has no spans.
     """
     size = len(ALPHABET)
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # folded into one constant of fixed size
@@ -119,19 +158,16 @@ def scan_secrets(
     kinds = list(PATTERNS)
     found = rows.select("doc_id", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
 
-    def score(m: Column) -> Column:
-        codes = F.transform(F.split(m, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-        return let(codes, lambda cs: F.aggregate(
-            F.sequence(F.lit(1), F.size(cs) - 1), F.lit(0.0),
-            lambda acc, i: acc + F.get(table, F.get(cs, i - 1) * size + F.get(cs, i))) / (F.size(cs) - 1))
-
-    def alone(x: Column) -> Column:
-        clash = F.lit(False)
-        for k in kinds:
-            clash = clash | F.exists(k, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
-        return ~clash & (score(x["m"]) >= margin) & mixed(x["m"])
+    def judged(x: Column) -> Column:
+        codes = F.transform(F.split(x["m"], ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+        gains = let(codes, lambda cs: F.transform(F.sequence(F.lit(1), F.size(cs) - 1), lambda i: F.get(table, F.get(cs, i - 1) * size + F.get(cs, i)) - margin))
+        whole = F.array(F.struct(F.lit(0).alias("s"), F.length(x["m"]).alias("e")))
+        parts = let(gains, lambda g: F.when(F.aggregate(g, F.lit(0.0), lambda acc, v: acc + v) >= 0, whole).otherwise(stretches(g)))
+        kept = F.filter(parts, lambda y: mixed(F.substring(x["m"], y["s"] + 1, y["e"] - y["s"])))
+        return F.transform(kept, lambda y: F.struct((x["s"] + y["s"]).alias("s"), (x["s"] + y["e"]).alias("e")))
 
-    found = found.select("doc_id", *kinds, F.filter(find(F.col("text"), CANDIDATE), alone).alias("markov"))
+    found = found.withColumn("rest", blanked(F.col("text"), F.concat(*kinds)))
+    found = found.select("doc_id", *kinds, F.flatten(F.transform(find(F.col("rest"), CANDIDATE), judged)).alias("markov"))
 
     def named(k: str, rank: int) -> Column:
         return F.transform(k, lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("rank"), F.lit(k).alias("kind"), x["e"].alias("e")))

@@ -74,3 +74,18 @@ def test_short_keys_are_found_and_long_words_are_not(spark, sf_dir):
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9+/_=.-])[A-Z]?[a-z]{11,18}(?![A-Za-z0-9+/_=.-])"), 0)).alias("w")).distinct().limit(2000)
     words = [r.w for r in words.collect() if not re.fullmatch("[a-f]+", r.w)]
     assert len(words) > 100 and not any(spans_of(spark, ratios, words).values())
+
+
+def test_keys_beside_patterns_and_ordinary_parts(spark, sf_dir):
+    ratios = train(load(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents"))
+    name = "the_nation_and_the_estimate_of_the_information_in_the_station_of_the_other_nations_is"
+    keys = [key(40, i) for i in range(50)]
+    found = spans_of(spark, ratios, ["deadbeefdeadbeef/" + k for k in keys] + [f"{k}-{'0123456789abcdef' * 2} x" for k in keys])
+    for i, k in enumerate(keys):
+        assert [x for x in found[i] if x[1] == "hex"] == [(0, "hex", 16)] and [x for x in found[i] if x[1] == "markov"] == [(16, "markov", 17 + len(k))]
+        assert any(kind == "markov" and s == 0 and e >= 40 for s, kind, e in found[50 + i])
+    inside = spans_of(spark, ratios, [f"{name}={key(24, i)}" for i in range(100)] + [f"{key(24, i)}/{name}/{name}/{key(16, i + 500)}" for i in range(100)])
+    for i in range(100):
+        assert any(s <= len(name) + 3 and e >= len(name) + 23 for s, _, e in inside[i])
+        marks = {p for s, _, e in inside[100 + i] for p in range(s, e)}
+        assert len(marks & set(range(24))) >= 22 and len(marks & set(range(26 + 2 * len(name), 43 + 2 * len(name)))) >= 14
