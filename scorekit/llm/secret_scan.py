@@ -12,7 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from ..staging import materialize
+from .common import let, small_side
 
 # The kinds and what each looks for. For ``assign`` the group is the secret itself.
 PATTERNS = {
@@ -99,18 +100,23 @@ def stretches(gains: Column) -> Column:
     return F.aggregate(gains, zero, add, closed)
 
 
-def train(docs: DataFrame, text: str = "text", sample_docs: int = 5000) -> list[float]:
+def train(docs: DataFrame, text: str = "text", sample_docs: int | None = None) -> list[float]:
     """Log-likelihood ratios, random against ordinary, of each character of the alphabet after each other one.
 
     Samples are labelled by the fixed patterns: what they match is random, other words of up to 19 characters are
     ordinary; longer ones are judged, but not learnt from. They come from
-    about ``sample_docs`` documents picked by a hash of the text, or from all if there are no more. Half of the random
-    model's weight is uniform, since secrets may use characters that the samples do not.
+    all documents, of equal texts from one; where ``sample_docs`` is set, from about so many different texts. Half of the
+    random model's weight is uniform, since secrets may use characters that the samples do not.
     """
-    n = docs.count()
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    if n > sample_docs:
-        texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * sample_docs / n))
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    hashes = materialize(texts.groupBy("h").agg(F.count("*").alias("n")), "hashes")
+    copied = hashes.where("n > 1").select("h")
+    copies = copied.count()
+    if copies:
+        side = small_side(copied, copies, 16)
+        texts = texts.join(side, "h", "left_anti").unionByName(texts.join(side, "h", "left_semi").dropDuplicates(["h"]))
+    if sample_docs is not None and (n := hashes.count()) > sample_docs:
+        texts = texts.where(F.pmod("h", F.lit(1_000_003)) < int(1_000_003 * sample_docs / n))
     spans = base_spans(F.col("text"))
     values = F.concat(
         F.transform(spans["assign"], lambda x: F.regexp_extract(x["m"], PATTERNS["assign"], 1)),

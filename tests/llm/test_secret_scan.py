@@ -89,3 +89,12 @@ def test_keys_beside_patterns_and_ordinary_parts(spark, sf_dir):
         assert any(s <= len(name) + 3 and e >= len(name) + 23 for s, _, e in inside[i])
         marks = {p for s, _, e in inside[100 + i] for p in range(s, e)}
         assert len(marks & set(range(24))) >= 22 and len(marks & set(range(26 + 2 * len(name), 43 + 2 * len(name)))) >= 14
+
+
+def test_all_texts_count_and_copies_count_once(spark):
+    rows = [prose(20, i) for i in range(6000)]
+    few = spark.createDataFrame([(t,) for t in rows], "text string")
+    odd = spark.createDataFrame([("qzjxk wvqzj kxqzj",)], "text string")
+    more = train(few.unionByName(odd))
+    assert more != train(few)
+    assert train(few.unionByName(odd.crossJoin(spark.range(3000)).select("text"))) == more
