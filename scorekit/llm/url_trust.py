@@ -51,13 +51,13 @@ def host_edges(pages: DataFrame, url: str, html: str) -> DataFrame:
     return pairs.where("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 40, tolerance: float = 1e-6) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 1000, tolerance: float = 1e-6) -> DataFrame:
     """Personalised PageRank of trust along ``edges`` (src, dst, links) and of distrust against them.
 
     ``seeds`` has host, trust and distrust; either may be zero. Returns host, trust, distrust, each summing to one over
     all hosts, or being zero where there is no seed. Mass of hosts without links goes back to the seeds, which scales
     all ranks alike and so is left to the closing division. Runs until no round moves more than ``tolerance`` of the
-    mass, at most ``rounds`` times.
+    mass, which damping brings about in some 85 rounds; raises if ``rounds`` are not enough.
     """
     along = edges.select(F.lit(True).alias("good"), F.col("src").alias("a"), F.col("dst").alias("b"), "links")
     against = edges.select(F.lit(False).alias("good"), F.col("dst").alias("a"), F.col("src").alias("b"), "links")
@@ -82,6 +82,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
             change = moved.agg(F.sum(F.abs(F.col("mass") - F.col("old"))).alias("change"), F.sum("mass").alias("mass")).first()
             if (change["change"] or 0.0) <= tolerance * (change["mass"] or 1.0):
                 break
+        else:
+            raise RuntimeError(f"ranks still move after {rounds} rounds")
     sums = ranks.groupBy("good").agg(F.sum("mass").alias("sum"))
     ranks = ranks.join(F.broadcast(sums), "good").select("good", "host", (F.col("mass") / F.col("sum")).alias("mass"))
     of = lambda good: F.coalesce(F.sum(F.when(F.col("good") == good, F.col("mass"))), F.lit(0.0))

@@ -71,3 +71,11 @@ def test_links_decide_where_rules_do_not(spark):
 
 def test_no_pages(spark):
     assert judge_urls(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_distrust_reaches_hosts_many_links_away(spark):
+    hosts = [f"h{i}.org" for i in range(45)] + ["bad.net"]
+    pages = [(i, f"http://{h}/", f"<a href=http://{hosts[i + 1]}/>x</a>" if i + 1 < len(hosts) else "") for i, h in enumerate(hosts)]
+    pages[-1] = (45, "http://bad.net/es/1", "")
+    got = judge_urls(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
+    assert len(got) == 46 and all(r.verdict == "block" and r.distrust > 0 for r in got)
