@@ -37,7 +37,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     out = _without(docs, members.where("row <> kept"))
     # Rows alike in id and text have one key; only where such rows exist are texts compared to leave one of them.
     twice = members.where("row = kept").groupBy("row").agg(F.count("*").alias("n")).where("n > 1")
-    return out if twice.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    if twice.isEmpty():
+        return out
+    twice = materialize(twice.select(F.col("row").alias("_twice")), "twice")
+    key, side = row_key(out["doc_id"], out["text"]), small_side(twice, twice.count(), 32)
+    once = out.join(side, key == twice["_twice"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(side, key == twice["_twice"], "left_anti").unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,9 @@ def test_one_of_equal_rows_stays(spark, sf_dir):
     docs = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (1, "A b c d e f"), (None, "x y"), (4, None), (4, None)], "doc_id bigint, text string")
     kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
     assert sorted(map(str, kept)) == sorted(map(str, docs.where("doc_id = 1 OR doc_id = 4 OR doc_id IS NULL").collect()))
+
+
+def test_equal_rows_without_words_stay_beside_a_repeated_row_that_is_kept(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (3, "A b c d e f"), (None, None), (None, None), (4, " "), (4, " ")], "doc_id bigint, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted(map(str, kept)) == sorted(["Row(doc_id=1, text='a b c d e f')"] + ["Row(doc_id=None, text=None)"] * 2 + ["Row(doc_id=4, text=' ')"] * 2)
