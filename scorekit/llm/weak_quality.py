@@ -97,6 +97,13 @@ def shapes(text: Column) -> Column:
     return F.filter(F.split(out, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def sample_texts(rows: DataFrame, texts: int) -> DataFrame:
+    """One row of each text of about ``texts`` texts, told apart and picked by their hash ``h``; of all if there are no more."""
+    total = rows.select(F.count_distinct("h")).first()[0]
+    picked = rows if total <= texts else rows.where(F.pmod("h", F.lit(1_000_003)) < int(1_000_003 * texts / total))
+    return picked.dropDuplicates(["h"])
+
+
 def score_quality(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 20_000, features: int = 1 << 12, cut: float = 0.5,
 ) -> DataFrame:
@@ -104,8 +111,8 @@ def score_quality(
     being its :func:`row_key`.
 
     ``weak`` is the chance that it is good by its votes, weighed as expectation-maximisation over all documents has it;
-    ``score`` that of the linear scorer over hashed word shapes, which is trained on about ``sample_docs`` documents with
-    their weak labels as weights, picked by a hash of the text; ``keep`` is ``score >= cut``. A null text counts as empty,
+    ``score`` that of the linear scorer over hashed word shapes, which is trained on about ``sample_docs`` different
+    texts, one row of each, with their weak labels as weights, picked by a hash of the text; ``keep`` is ``score >= cut``. A null text counts as empty,
     gets no votes but the prior's, and is scored like any other; equal texts score alike. An empty table gives an empty
     result, and if all weak labels agree they are the scores.
     """
@@ -132,8 +139,7 @@ def score_quality(
     if not counts:
         return voted.select("doc_id", "row", F.lit(0.5).alias("weak"), F.lit(0.5).alias("score"), F.lit(True).alias("keep"))
     known = voted.select("doc_id", "row", "h", "features", weak().alias("weak"))
-    total = sum(counts.values())
-    picked = known if total <= sample_docs else known.where(F.pmod("h", F.lit(1_000_003)) < int(1_000_003 * sample_docs / total))
+    picked = sample_texts(known, sample_docs)
     sides = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("weak").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("weak")).alias("weight"))))
     train = materialize(picked.select("features", sides.alias("s")).select("features", "s.*").where("weight > 1e-6"), "labelled")
     if train.select("label").distinct().count() < 2:

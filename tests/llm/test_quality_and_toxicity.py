@@ -7,7 +7,7 @@ import zlib
 from scorekit.llm import toxic_segments
 from scorekit.llm.catalog import load
 from scorekit.llm.toxic_segments import best_score, fit_curve, held_out, maximal_segments, score_toxicity, train_words
-from scorekit.llm.weak_quality import GOOD, JUNK, NONE, estimate, judge, score_quality
+from scorekit.llm.weak_quality import GOOD, JUNK, NONE, estimate, judge, sample_texts, score_quality
 
 
 def every_maximal(scores):
@@ -130,3 +130,10 @@ def test_joined_scores_give_the_same_rows(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(toxic_segments, "BROADCAST_BYTES", 0)
     assert sorted(map(str, score_toxicity(docs, labels).collect())) == sent
     assert any("start=" in r for r in sent)
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    rows = spark.range(6000).selectExpr("xxhash64(IF(id < 4000, id DIV 2000, id)) AS h")
+    for n in (300, 10_000):
+        got = [r.h for r in sample_texts(rows, n).collect()]
+        assert len(got) == len(set(got)) and (len(got) == 2002 if n > 2002 else 200 < len(got) < 400)
