@@ -12,6 +12,7 @@ from ..staging import materialize, new_path
 from .chunk_dedup import exact_duplicates
 from .common import LOWER, PLAIN_WORD, SPACED_WORD, UPPER, load
 from .id_output import read_ids, write_ids
+from .importance import resample
 from .jaccard_join import jaccard_groups
 from .mixing import plan_mix
 from .secret_scan import scan_secrets, train
@@ -162,3 +163,25 @@ def op8_weak_quality(spark, sf_dir):
 @query("op2_jaccard_join")
 def op2_jaccard_join(spark, sf_dir):
     return jaccard_groups(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op11_importance_resampling", rf"""WITH t AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+             lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step),
+w AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{PLAIN_WORD}') AS ws FROM documents
+      UNION ALL SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{PLAIN_WORD}') FROM benchmark),
+f AS (SELECT side, id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS x FROM w),
+n AS (SELECT side, id, x, count(*) AS k FROM f GROUP BY ALL),
+c AS (SELECT x, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(hex(x)) // 2), lambda i: ('0x' || hex(x)[2 * i + 1:2 * i + 2])::BIGINT)),
+             lambda a, b: xor(a >> 8, step[xor(a & 255, b) + 1]))) % 10000 AS bucket FROM (SELECT DISTINCT x FROM n), t),
+h AS (SELECT bucket, sum(k) FILTER (WHERE side = 'd') AS s, sum(k) FILTER (WHERE side = 'b') AS t FROM n JOIN c USING (x) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM h) + 10000)
+             / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT sum(t) FROM h) + 10000))))::BIGINT AS gain FROM h),
+m AS (SELECT id, sum(k)::BIGINT AS n_features, floor(sum(k * gain)::DOUBLE / sum(k))::BIGINT AS weight FROM n JOIN c USING (x) JOIN g USING (bucket) WHERE side = 'd' GROUP BY id),
+d AS (SELECT id AS doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM (FROM w WHERE side = 'd') LEFT JOIN m USING (id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS total FROM d WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * total // 100 THEN place END AS rank FROM d LEFT JOIN r USING (doc_id)""")
+def op11_importance_resampling(spark, sf_dir):
+    out = resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
