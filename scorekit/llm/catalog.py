@@ -15,6 +15,7 @@ from .id_output import read_ids, write_ids
 from .importance import resample
 from .jaccard_join import jaccard_groups
 from .mixing import plan_mix
+from .ranked_search import search
 from .secret_scan import scan_secrets, train
 from .token_rollup import TokenRollup
 from .toxic_segments import score_toxicity
@@ -185,3 +186,20 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * total // 100 T
 def op11_importance_resampling(spark, sf_dir):
     out = resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{PLAIN_WORD}')"
+
+
+@query("op13_ranked_search", rf"""
+WITH q AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark)),
+d AS (SELECT doc_id, ws, len(ws)::BIGINT AS n FROM (SELECT doc_id, {_TERMS} AS ws FROM documents) WHERE len(ws) > 0),
+c AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS l FROM d),
+p AS (SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(ws) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY t, nd),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // l))))::BIGINT AS score
+      FROM q JOIN p USING (t) JOIN w USING (t), c GROUP BY ALL),
+r AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10""")
+def op13_ranked_search(spark, sf_dir):
+    return search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
