@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..staging import materialize, new_path
 from .chunk_dedup import exact_duplicates
 from .common import LOWER, PLAIN_WORD, SPACED_WORD, UPPER, load
+from .disclosure import KINDS, sanitise
 from .id_output import read_ids, write_ids
 from .importance import resample
 from .jaccard_join import jaccard_groups
@@ -203,3 +204,17 @@ r AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DE
 SELECT * FROM r WHERE rank <= 10""")
 def op13_ranked_search(spark, sf_dir):
     return search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query("op12_pii_disclosure")
+def op12_pii_disclosure(spark, sf_dir):
+    found = sanitise(load(spark, sf_dir, "documents"), with_text=False)
+
+    def shown(spans):
+        return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda x: x["kind"].isin(*KINDS))
+    return found.select("doc_id", *[count(k) for k in (*KINDS, "term")], F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))

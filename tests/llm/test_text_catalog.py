@@ -19,7 +19,7 @@ NATIVE = ["op1_url_trust", "op3_secret_scan", "op5_exact_dedup", "op9_decontamin
 
 def test_all_are_registered():
     names = queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in (*range(1, 12), 13)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)} and "pipeline" in names
     assert set(SQL) <= set(oracle_sql())
 
 
