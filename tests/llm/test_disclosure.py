@@ -135,7 +135,7 @@ def test_many_terms_are_joined(spark, monkeypatch):
     monkeypatch.setattr(disclosure, "BROADCAST_BYTES", 0)
     out = sanitise(spark.createDataFrame(docs, SCHEMA)).collect()
     assert sorted((r.doc_id, [(s.kind, s.start, s.end) for s in r.spans]) for r in out) == sorted(brute(docs))
-    assert any("zor* wri* * [EMAIL], * " in r.text for r in out)
+    assert any("zor* * * [EMAIL], * " in r.text for r in out)
 
 
 def test_texts_are_sanitised(spark):
@@ -147,7 +147,7 @@ def test_texts_are_sanitised(spark):
             assert out[i].text == t
         else:
             assert "@" not in out[i].text and "555" not in out[i].text
-    assert "zor* wri* * [EMAIL], * " in out[900].text
+    assert "zor* * * [EMAIL], * " in out[900].text
 
 
 def test_overlapping_spans():
