@@ -27,7 +27,11 @@ HELD = 400_000  # different words that a task counts before it passes the counts
 
 
 def frequent_words(texts: DataFrame) -> list[bytes]:
-    """The most frequent words of ``text``, counted over all texts: :data:`DICTIONARY` of up to :data:`LONGEST` bytes."""
+    """The most frequent words of ``text``, counted over all texts: at most :data:`DICTIONARY` of up to :data:`LONGEST` bytes.
+
+    Words are taken by steps of frequency, an eighth of a power of two each, as long as a step fits as a whole; so only
+    the words that are taken come to the driver, and one row per step. Words that come once are left out.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
 
@@ -44,8 +48,15 @@ def frequent_words(texts: DataFrame) -> list[bytes]:
                         yield out()
         yield out()
 
-    counted = texts.mapInArrow(count, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    return [bytes(r["w"]) for r in counted.orderBy(F.desc("n"), "w").limit(DICTIONARY).collect()]
+    counted = texts.mapInArrow(count, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = materialize(counted.select("w", F.floor(F.log2("n") * 8).cast("int").alias("step")), "words")
+    least = total = 0
+    for step, words in sorted(map(tuple, counted.groupBy("step").agg(F.count("*")).collect()), reverse=True):
+        total += words
+        if total > DICTIONARY:
+            least = step + 1
+            break
+    return sorted(bytes(r["w"]) for r in counted.where(F.col("step") >= least).select("w").collect())
 
 
 def _dictionary(words) -> Dictionary:

@@ -104,9 +104,10 @@ def test_ties_go_to_the_smaller_id(spark, monkeypatch):
 
 
 def test_frequent_words_are_counted_over_all_texts(spark, monkeypatch):
-    monkeypatch.setattr(importance, "DICTIONARY", 2)
-    texts = spark.createDataFrame([("b a a",), ("A c",), (None,), ("b " + "y" * 41,)], "text string").repartition(3)
-    assert frequent_words(texts) == [b"a", b"b"]
+    texts = spark.createDataFrame([("b a a b",), ("A d a a c c d",), (None,), ("b " + "y " * 3 + "z" * 41 + " " + "z" * 41,)], "text string").repartition(3)
+    for most, words in ((9, b"abcdy"), (4, b"aby"), (3, b"aby"), (2, b"a"), (0, b"")):
+        monkeypatch.setattr(importance, "DICTIONARY", most)
+        assert frequent_words(texts) == [bytes([w]) for w in words]
 
 
 @settings(max_examples=60, deadline=None)
