@@ -23,7 +23,7 @@ from .word_payloads import Dictionary, plain
 
 DICTIONARY = 100_000  # words of the automaton at most, the most frequent ones; other words are looked at as they come
 LONGEST = 40  # bytes of a word of the automaton
-HELD = 400_000  # different words that a task counts before it passes the counts on
+HELD = 200_000  # different words that a task counts before it passes the counts on
 
 
 def frequent_words(texts: DataFrame) -> list[bytes]:

@@ -14,7 +14,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 
-PIECE = 4 << 20  # bytes scanned at once
+PIECE = 1 << 20  # bytes scanned at once
 DIRECT = 64  # shifts of fewer bytes have a table each
 
 _UPPER = range(ord("A"), ord("Z") + 1)
@@ -114,7 +114,17 @@ class Dictionary:
     def features(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Of the words of all texts, in pieces: the number of the text and the CRC of each word, and the same of each
         pair of neighbours. Null texts have none."""
-        plains = [plain(t) if t else b"" for t in texts]
+        first = 0
+        while first < len(texts):
+            held, size = [], 0
+            while first + len(held) < len(texts) and size < PIECE:
+                held.append(plain(t) if (t := texts[first + len(held)]) else b"")
+                size += len(held[-1])
+            yield from self._joined(held, first)
+            first += len(held)
+
+    def _joined(self, plains: list[bytes], first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """:meth:`features` of texts numbered from ``first``, as one string that is scanned a piece at a time."""
         begins = np.cumsum([1, *[len(t) + 1 for t in plains[:-1]]])
         whole = b" " + b" ".join(plains) + b" "
         owner, last, at = -1, np.zeros(1, dtype=np.uint32), 0
@@ -122,7 +132,7 @@ class Dictionary:
             end = whole.find(b" ", min(at + PIECE, len(whole) - 1))
             starts, lengths, crc = self.payloads(whole[at:end + 1])
             if len(starts):
-                texts_of = np.searchsorted(begins, starts + at, side="right") - 1
+                texts_of = np.searchsorted(begins, starts + at, side="right") - 1 + first
                 # The word before the piece is the first one's neighbour if the text goes on.
                 before, before_of = np.concatenate([last, crc[:-1]]), np.concatenate([[owner], texts_of[:-1]])
                 near = before_of == texts_of
