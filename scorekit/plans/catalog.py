@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..operators import compose, evaluate, profile
+from ..operators.binned import binned_counts
 from ..operators.features import GROUPS, GroupSpec, assemble, assemble_labeled, assemble_vector, group_features, raw_columns
 from ..operators.models import (
     GroupModel, TreeParams, hash_bucket, hash_split, random_split, score_groups, train_group,
@@ -611,6 +612,101 @@ def auc_roc(spark, sf_dir):
     return _rounded(evaluate.auc_roc(_curve(spark, sf_dir)), "auc_roc")
 
 
+# --- ten models at once, and curves of few points ---------------------------------------------------------------
+
+# Stand-ins for the two models of each group: predictions from the table, and their mirror images.
+_TEN = {f"{kind}_{g}": sign for g in GROUPS for kind, sign in (("rf", "plain"), ("gbt", "mirrored"))}
+_TEN_INPUTS = {"people": "pro_customervalue", "consuming": "ord_success_max_order_amount", "financial": "pro_htl_consuming_capacity",
+               "interaction": "uid_age", "relation": "bil_paysord_count"}
+
+
+def _ten_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per user with the label and ten scores."""
+    scores = [(F.col(_TEN_INPUTS[m.split("_")[1]]) / (500000.0 if how == "plain" else -500000.0)).alias(m) for m, how in _TEN.items()]
+    return user_table(spark, sf_dir, [USER_KEY, TRAINING_LABEL, *_TEN_INPUTS.values()]).select(USER_KEY, F.col(TRAINING_LABEL).alias("label"), *scores)
+
+
+_TEN_SQL = ", judged AS (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS model, {_TEN_INPUTS[m.split('_')[1]]} / {500000 if how == 'plain' else -500000}::DOUBLE AS score, uid_flag::DOUBLE AS label FROM users"
+    for m, how in _TEN.items()) + """), steps AS (
+  SELECT model, score AS threshold, count(*) FILTER (WHERE label > 0.5) AS pos, count(*) FILTER (WHERE label <= 0.5) AS neg
+  FROM judged GROUP BY model, score),
+curve AS (
+  SELECT model, threshold, pos, neg, tp, fp, p, n, tp::DOUBLE / (tp + fp) AS pr, CASE WHEN p = 0 THEN 0 ELSE tp::DOUBLE / p END AS re,
+    CASE WHEN n = 0 THEN 0 ELSE fp::DOUBLE / n END AS fpr
+  FROM (SELECT model, threshold, pos, neg, (sum(pos) OVER down)::BIGINT AS tp, (sum(neg) OVER down)::BIGINT AS fp,
+               (sum(pos) OVER (PARTITION BY model))::BIGINT AS p, (sum(neg) OVER (PARTITION BY model))::BIGINT AS n
+        FROM steps WINDOW down AS (PARTITION BY model ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))
+"""
+
+
+def _ten_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.threshold_counts(evaluate.stacked(_ten_models(spark, sf_dir), {m: m for m in _TEN}), by=("model",))
+
+
+@query("model_curves", _TEN_SQL + """SELECT model, threshold, pos, neg, tp, fp, p, n, pr AS precision, re AS recall,
+  CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END AS f1, CASE WHEN pr + re = 0 THEN 0 ELSE 1.25::DOUBLE * pr * re / (0.25::DOUBLE * pr + re) END AS f05
+FROM curve""")
+def model_curves(spark, sf_dir):
+    """Counts, precision, recall and both F measures of ten models at every threshold of each."""
+    counts = materialize(_ten_counts(spark, sf_dir), "counts")
+    out = counts
+    for part, name in ((evaluate.precision_by_threshold(counts), None), (evaluate.recall_by_threshold(counts), None),
+                       (evaluate.f_measure_by_threshold(counts, 1.0), "f1"), (evaluate.f_measure_by_threshold(counts, 0.5), "f05")):
+        out = out.join(part if name is None else part.withColumnRenamed("f_measure", name), ["model", "threshold"])
+    return out
+
+
+@query("model_roc_pr", _TEN_SQL + """SELECT model, 'roc' AS curve, fpr AS x, re AS y FROM curve
+UNION ALL SELECT model, 'roc', v, v FROM (SELECT DISTINCT model FROM curve), (VALUES (0::DOUBLE), (1::DOUBLE)) ends(v)
+UNION ALL SELECT model, 'pr', re, pr FROM curve UNION ALL SELECT model, 'pr', 0, pr FROM curve WHERE tp + fp = pos + neg""")
+def model_roc_pr(spark, sf_dir):
+    """The ROC and precision-recall curves of ten models."""
+    counts = materialize(_ten_counts(spark, sf_dir), "counts")
+    roc = evaluate.roc_curve(counts).select("model", F.lit("roc").alias("curve"), F.col("fpr").alias("x"), F.col("tpr").alias("y"))
+    return roc.unionByName(evaluate.pr_curve(counts).select("model", F.lit("pr").alias("curve"), F.col("recall").alias("x"), F.col("precision").alias("y")))
+
+
+@query("model_reports", _TEN_SQL + """, areas AS (
+  SELECT model, sum((fpr - fpr0) * (re + re0) / 2) + (1 - max(fpr)) * (1 + max(re)) / 2 AS auc_roc, sum((re - re0) * (pr + pr0) / 2) AS auc_pr
+  FROM (SELECT *, coalesce(lag(fpr) OVER w, 0) AS fpr0, coalesce(lag(re) OVER w, 0) AS re0, coalesce(lag(pr) OVER w, pr) AS pr0
+        FROM curve WINDOW w AS (PARTITION BY model ORDER BY threshold DESC)) GROUP BY model)
+SELECT model, 'auc_roc' AS metric, round(auc_roc, 6) AS value FROM areas UNION ALL SELECT model, 'auc_pr', round(auc_pr, 6) FROM areas
+UNION ALL SELECT model, 'mse', round(avg((label - score) * (label - score)), 6) FROM judged GROUP BY model
+UNION ALL SELECT model, 'test_error', round(avg((label <> score)::INT), 6) FROM judged GROUP BY model""")
+def model_reports(spark, sf_dir):
+    """Errors and areas of ten models from one scan of their scores."""
+    return _rounded(evaluate.evaluate_models(_ten_models(spark, sf_dir), {m: m for m in _TEN}), "value")
+
+
+BINS = 100
+
+
+def _binned_sql(source: str, key: str) -> str:
+    part, lead = (f"PARTITION BY {key} ", f"{key}, ") if key else ("", "")
+    on = f" AND r.{key} = c.{key}" if key else ""
+    return f""", ranks AS (SELECT {lead}score, label, row_number() OVER ({part}ORDER BY score DESC) AS i, count(*) OVER ({part}) AS m FROM {source}),
+cuts AS (SELECT DISTINCT {lead}score AS threshold FROM ranks
+         WHERE i IN (SELECT (j * m + {BINS - 1}) // {BINS} FROM (SELECT unnest(range(1, {BINS + 1})) AS j))),
+sums AS (SELECT {', '.join(f'c.{x}' for x in ([key] if key else []) + ['threshold'])}, count(*) FILTER (WHERE label > 0.5 AND score >= threshold) AS tp, count(*) FILTER (WHERE label <= 0.5 AND score >= threshold) AS fp,
+                count(*) FILTER (WHERE label > 0.5) AS p, count(*) FILTER (WHERE label <= 0.5) AS n
+         FROM cuts c JOIN ranks r ON TRUE{on} GROUP BY ALL)
+SELECT {lead}threshold, tp - lag(tp, 1, 0) OVER w AS pos, fp - lag(fp, 1, 0) OVER w AS neg, tp, fp, p, n
+FROM sums WINDOW w AS ({part}ORDER BY threshold DESC)"""
+
+
+@query("binned_curve", _PREDICTIONS_SQL + _binned_sql("predictions", ""))
+def binned_curve(spark, sf_dir):
+    """The threshold curve at a hundred exact quantiles of the score."""
+    return binned_counts(_predictions(spark, sf_dir), BINS)
+
+
+@query("model_binned_curves", _TEN_SQL + _binned_sql("judged", "model"))
+def model_binned_curves(spark, sf_dir):
+    """Ten models' threshold curves of a hundred points each, from one scan."""
+    return binned_counts(evaluate.stacked(_ten_models(spark, sf_dir), {m: m for m in _TEN}), BINS, by=("model",))
+
+
 # --- score construction and composition ----------------------------------------------------------------------
 
 # Stand-in predictions of the five groups, written once for each engine.
