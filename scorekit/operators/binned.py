@@ -3,7 +3,8 @@
 The cut points are the scores at evenly spaced ranks. They are located by counting: all scores between the least and the
 greatest fall into cells of equal width, the counts of the cells tell which of them hold a wanted rank, and only the
 scores of those cells are counted again, in finer cells. Counts of cells add up, so the summary is the same however rows
-are partitioned, and a handful of rounds over ever fewer rows makes it exact. Nothing is sorted, no score is collected
+are partitioned, and a handful of rounds over ever fewer rows makes it exact. Where equal widths leave most rows together, as
+scores of very different size do, the next round counts by powers of two instead. Nothing is sorted, no score is collected
 but the cut points, and a score that a third of all rows share is one cell with one value.
 """
 
@@ -31,15 +32,29 @@ class _Open:
     high: float
     above: tuple[int, int]  # rows and positive rows with greater scores
     ranks: list[int]  # counted from the greatest score, from 1
+    size: int = 0  # its rows
+    by_power: bool = False  # whether it is to be split by powers of two
+
+    def wide(self) -> bool:
+        """Whether its scores differ in sign, or by more than a factor of four."""
+        return self.low <= 0 <= self.high or max(abs(self.low), abs(self.high)) > 4 * min(abs(self.low), abs(self.high))
+
+
+def _power() -> Column:
+    """The power of two below a score's size, in the order of the scores: negative ones below zero, zero itself 0."""
+    size = F.floor(F.least(F.log2(F.abs(F.col("score"))), F.lit(1100.0))).cast("int") + 1100
+    return F.when(F.col("score") == 0, 0).when(F.col("score") < 0, -size).otherwise(size)
 
 
 def _digit(cells: int) -> Column:
-    """Which of ``cells`` parts of [low, high] a score is in, from below. The ends take the outer parts, whatever rounding
-    does, so that a cell with two different scores always comes apart. Halves keep the width finite."""
+    """Which of ``cells`` parts of [low, high] a score is in, from below, or its :func:`_power` where the cell asks for that.
+    The ends take the outer parts, whatever rounding does, so that a cell with two different scores always comes apart.
+    Halves keep the width finite."""
     width = F.col("high") / 2 - F.col("low") / 2
     share = F.try_divide(F.col("score") / 2 - F.col("low") / 2, width)  # null or NaN where the width is none or without end
     inner = F.least(F.lit(cells - 1), F.floor(F.coalesce(F.nanvl(share, F.lit(0.5)), F.lit(0.5)) * cells).cast("int"))
-    return F.when(F.col("score") == F.col("high"), cells - 1).when(F.col("score") == F.col("low"), 0).otherwise(inner)
+    part = F.when(F.col("score") == F.col("high"), cells - 1).when(F.col("score") == F.col("low"), 0).otherwise(inner)
+    return F.when(F.col("by_power"), _power()).otherwise(part)
 
 
 def _cells(rows: DataFrame, by: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -78,20 +93,20 @@ def binned_counts(
     for r in whole:
         if r["rows"]:
             ranks = sorted({-(-j * r["rows"] // bins) for j in range(1, bins + 1)})
-            settle(_Open(tuple(r[c] for c in by), r["least"], r["most"], (0, 0), ranks), r["rows"], r["hits"])
+            settle(_Open(tuple(r[c] for c in by), r["least"], r["most"], (0, 0), ranks, r["rows"]), r["rows"], r["hits"])
 
-    place = ", ".join([*[f"`_by_{c}` {kinds[c]}" for c in by], "_cell bigint", "low double", "high double", "_next bigint"])
+    place = ", ".join([*[f"`_by_{c}` {kinds[c]}" for c in by], "_cell bigint", "low double", "high double", "by_power boolean", "_next bigint"])
     left = rows.withColumn("_cell", F.lit(0).cast("long"))
     done = None
     numbered = [(cell, 0) for cell in pending]
     while numbered:
-        open_cells = spark.createDataFrame([(*c.group, k, c.low, c.high, i) for i, (c, k) in enumerate(numbered)], place)
+        open_cells = spark.createDataFrame([(*c.group, k, c.low, c.high, c.by_power, i) for i, (c, k) in enumerate(numbered)], place)
         same = F.col("left._cell") == F.col("open._cell")
         for c in by:
             same = same & F.col(f"left.{c}").eqNullSafe(F.col(f"open._by_{c}"))
         n_cells = max(16, CELLS // len(numbered))
         # No more open cells than groups times bins, which the driver holds already.
-        inside = left.alias("left").join(F.broadcast(open_cells).alias("open"), same).select(*[f"left.{c}" for c in by], "score", "label", "_next", "low", "high")
+        inside = left.alias("left").join(F.broadcast(open_cells).alias("open"), same).select(*[f"left.{c}" for c in by], "score", "label", "_next", "low", "high", "by_power")
         inside = inside.withColumn("_digit", _digit(n_cells))
         found: dict[int, list] = defaultdict(list)
         for r in _cells(inside, ["_next", "_digit"]).collect():
@@ -103,7 +118,9 @@ def binned_counts(
                 own = [k for k in ranks if above[0] < k <= above[0] + r["rows"]]
                 if own:
                     before = len(pending)
-                    settle(_Open(cell.group, r["least"], r["most"], above, own), r["rows"], r["hits"])
+                    part = _Open(cell.group, r["least"], r["most"], above, own, r["rows"])
+                    part.by_power = not cell.by_power and 2 * part.size > cell.size and part.wide()
+                    settle(part, r["rows"], r["hits"])
                     if len(pending) > before:
                         following.append((i, r["_digit"], len(following)))
                 above = (above[0] + r["rows"], above[1] + r["hits"])
