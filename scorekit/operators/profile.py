@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import _NUMERIC
 from ..staging import literal_rows
+from .moments import Moments, exact_moments
 
 
 def group_count(df: DataFrame, *keys: str) -> DataFrame:
@@ -21,18 +22,27 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFra
     """``column, count, mean, stddev, min, max`` as numbers, one row per column.
 
     One scan however wide the frame is: each row is turned into (column, value) pairs, which are combined per column
-    before the shuffle. A column without values has a count of 0 and nulls.
+    before the shuffle. Sums are exact (:mod:`.moments`), so the result does not depend on how rows are partitioned. A column
+    without values has a count of 0 and nulls. The scan runs when this is called.
     """
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
     if not columns:
         raise ValueError("no numeric columns")
-    cells = [F.struct(F.lit(i).alias("_i"), F.col(_quoted(n)).cast("double").alias("_v")) for i, n in enumerate(columns)]
-    facts = df.select(F.inline(F.array(*cells))).groupBy("_i").agg(
-        F.count("_v").alias("count"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("stddev"), F.min("_v").alias("min"), F.max("_v").alias("max"))
-    names = literal_rows(df.sparkSession, ["_n", "column"], list(enumerate(columns)))
-    out = names.join(F.broadcast(facts), F.col("_n") == F.col("_i"), "left")  # one row per column on either side
-    return out.select("column", F.coalesce("count", F.lit(0).cast("bigint")).alias("count"), "mean", "stddev", "min", "max")
+    return moments_table(df.sparkSession, columns, exact_moments(column_values(df, columns)))
+
+
+def column_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, value``: each cell of the columns with its column's number."""
+    cells = [F.struct(F.lit(i).alias("column"), F.col(_quoted(n)).cast("double").alias("value")) for i, n in enumerate(columns)]
+    return df.select(F.inline(F.array(*cells)))
+
+
+def moments_table(spark: SparkSession, columns: list[str], found: dict[int, Moments]) -> DataFrame:
+    """``column, count, mean, stddev, min, max``, one row per column."""
+    empty = Moments(0, None, None, None, None)
+    rows = [(n, *(getattr(found.get(i, empty), k) for k in ("count", "mean", "std", "least", "greatest"))) for i, n in enumerate(columns)]
+    return spark.createDataFrame(rows, "column string, count bigint, mean double, stddev double, min double, max double")
 
 
 def _quoted(name: str) -> str:

@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import MinMaxScaler, MinMaxScalerModel, StandardScaler, StandardScalerModel
+import uuid
+
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import MinMaxScaler, MinMaxScalerModel, StandardScalerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import literal_rows
 from .features import assemble
+from .moments import Moments, exact_moments
 
 
 def fit_scaler(df: DataFrame, input_col: str = "features", output_col: str = "scaled") -> StandardScalerModel:
-    """Mean and sample standard deviation per feature, in one distributed aggregate."""
-    return StandardScaler(inputCol=input_col, outputCol=output_col, withMean=True, withStd=True).fit(df)
+    """Mean and sample standard deviation per feature, in one distributed aggregate with exact sums (:mod:`.moments`), so that
+    neither depends on partitions. The model is MLlib's, whose own estimator adds up doubles."""
+    slots = df.select(F.posexplode(vector_to_array(F.col(input_col))).alias("column", "value"))
+    return scaler_of(df.sparkSession, exact_moments(slots), input_col, output_col)
+
+
+def scaler_of(spark: SparkSession, moments: dict[int, Moments], input_col: str, output_col: str) -> StandardScalerModel:
+    """A scaler with these means and deviations of slots 0, 1, 2 and so on."""
+    if not moments:
+        raise ValueError("no rows to fit a scaler on")
+    slots = [moments[i] for i in range(len(moments))]
+    mean, std = Vectors.dense([m.mean for m in slots]), Vectors.dense([m.std or 0.0 for m in slots])
+    context = spark.sparkContext
+    java = context._jvm.org.apache.spark.ml.feature.StandardScalerModel(
+        f"StandardScaler_{uuid.uuid4().hex[:12]}", _py2java(context, std), _py2java(context, mean))
+    model = StandardScalerModel(java)
+    return model._set(withMean=True, withStd=True, inputCol=input_col, outputCol=output_col)
 
 
 def scaler_summary(model: StandardScalerModel, source: DataFrame, features: list[str]) -> DataFrame:

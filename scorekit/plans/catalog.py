@@ -252,8 +252,8 @@ def count_rows(spark, sf_dir):
 def _describe_sql(spec: GroupSpec) -> str:
     # Built per column from the group's training features.
     parts = [
-        f"SELECT '{f}' AS \"column\", count({f}) AS \"count\", round(avg({f}), 4) AS mean, "
-        f"round(stddev_samp({f}), 4) AS stddev, round(min({f}), 6) AS min, round(max({f}), 6) AS max FROM features"
+        f"SELECT '{f}' AS \"column\", count({f}) AS \"count\", round(avg({f}), 6) AS mean, "
+        f"round(stddev_samp({f}), 6) AS stddev, round(min({f}), 6) AS min, round(max({f}), 6) AS max FROM features"
         for f in spec.features
     ]
     return f", features AS MATERIALIZED ({_features_sql(spec, True)}) " + " UNION ALL ".join(parts)
@@ -292,7 +292,7 @@ def describe_numeric(spark, sf_dir):
     features = group_features(_group_users(spark, sf_dir, GROUPS["consuming"]), GROUPS["consuming"], True).drop(TRAINING_LABEL)
     out = profile.describe_numeric(features)
     return out.select(
-        "column", "count", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"),
+        "column", "count", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"),
         F.round("min", 6).alias("min"), F.round("max", 6).alias("max"),
     )
 
@@ -345,7 +345,7 @@ def assemble_vector_query(spark, sf_dir):
 
 def _scaler_sql(spec: GroupSpec) -> str:
     return f", features AS MATERIALIZED ({_features_sql(spec, True)}) " + " UNION ALL ".join(
-        f"SELECT '{f}' AS feature, round(avg({f}), 4) AS mean, round(stddev_samp({f}), 4) AS std FROM features" for f in spec.features)
+        f"SELECT '{f}' AS feature, round(avg({f}), 6) AS mean, round(stddev_samp({f}), 6) AS std FROM features" for f in spec.features)
 
 
 @query("scaler_fit", _scaler_sql(GROUPS["consuming"]))
@@ -353,7 +353,7 @@ def scaler_fit(spark, sf_dir):
     spec = GROUPS["consuming"]
     features = assemble(group_features(_group_users(spark, sf_dir, spec), spec, True), list(spec.features))
     out = scaler_summary(fit_scaler(features), features, list(spec.features))
-    return out.select("feature", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+    return out.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query("scaler_transform", f", features AS MATERIALIZED ({_features_sql(GROUPS['financial'], False)}) SELECT uid_uid, " + ", ".join(
@@ -496,7 +496,7 @@ def holdout_labels(spark, sf_dir):
 @query("train_submodel_moments", _scaler_sql(GROUPS["financial"]))
 def train_submodel_moments(spark, sf_dir):
     """The mean and deviation of each feature in a trained group."""
-    return train_submodel(spark, sf_dir).select("feature", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+    return train_submodel(spark, sf_dir).select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query("model_roundtrip_equal", " SELECT uid_uid, TRUE AS same FROM users")
