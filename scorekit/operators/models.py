@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.contracts import TRAINING_LABEL, USER_KEY
-from ..staging import drop_path, materialize, path_exists, shared_root
+from ..staging import materialize, shared_root
 from .compose import blend_scores, rescale_score, weighted_total
 from .features import GROUPS, GroupSpec, feature_columns, group_features
-from .scaling import fit_scaler
+from .moments import Moments, exact_moments
+from .profile import column_values, moments_table
+from .scaling import scaler_of
 
 
 @dataclass(frozen=True)
@@ -98,41 +100,37 @@ def hash_split(df: DataFrame, key: str, train_percent: int = 75) -> tuple[DataFr
 
 @dataclass
 class GroupModel:
-    """A fitted feature group: vector preparation (assembler and scaler) and its tree models."""
+    """A fitted feature group: vector preparation (assembler and scaler), its tree models, and the profile of the label (0)
+    and the features (from 1) that they were fitted on."""
 
     spec: GroupSpec
     prepare: PipelineModel
     forest: RandomForestRegressionModel | None = None
     boosted: GBTRegressionModel | None = None
+    profile: dict[int, Moments] = field(default_factory=dict)
 
     @property
     def scaler(self):
         return self.prepare.stages[-1]
 
-    def save(self, base: str) -> None:
-        """Save under ``base``_PREP, ``base``_RF and ``base``_GBT, replacing what is there: a part that this model lacks
-        is removed, so that it is never paired with parts of another model."""
-        spark = SparkSession.active()
-        for part, suffix in ((self.prepare, "PREP"), (self.forest, "RF"), (self.boosted, "GBT")):
-            if part is not None:
-                part.write().overwrite().save(f"{base}_{suffix}")
-            else:
-                drop_path(spark, f"{base}_{suffix}")
+    def profile_table(self, spark: SparkSession) -> DataFrame:
+        """``column, count, mean, stddev, min, max`` of the label and of each feature, over all rows that the scaler saw."""
+        return moments_table(spark, [TRAINING_LABEL, *self.spec.features], self.profile)
 
-    @classmethod
-    def load(cls, spec: GroupSpec, base: str, boosted: bool = True) -> GroupModel:
-        """Load what was saved; ``boosted=False`` leaves boosted trees aside."""
-        spark = SparkSession.active()
+    def parts(self) -> dict[str, PipelineModel | RandomForestRegressionModel | GBTRegressionModel]:
+        """The fitted parts by the name under which they are saved."""
+        found = {"PREP": self.prepare, "RF": self.forest, "GBT": self.boosted}
+        return {name: part for name, part in found.items() if part is not None}
 
-        def part(kind, suffix: str):
-            return kind.load(f"{base}_{suffix}") if path_exists(spark, f"{base}_{suffix}") else None
+    def save(self, base: str) -> int:
+        """Add this model to the versions under ``base``; returns its version."""
+        return save_models({self.spec.name: self}, base)
 
-        return cls(
-            spec,
-            PipelineModel.load(f"{base}_PREP"),
-            part(RandomForestRegressionModel, "RF"),
-            part(GBTRegressionModel, "GBT") if boosted else None,
-        )
+    @classmethod
+    def load(cls, spec: GroupSpec, base: str, boosted: bool = True) -> GroupModel:
+        """Load the latest version that was saved; ``boosted=False`` leaves boosted trees aside."""
+        model = load_models(SparkSession.active(), base, [spec])[spec.name]
+        return model if boosted else replace(model, boosted=None)
 
     def inputs(self, training: bool = False) -> dict[str, Column]:
         """The feature columns to add before :meth:`apply`, filled as in scoring, or as in training."""
@@ -157,21 +155,27 @@ class GroupModel:
 
 def training_vectors(
     df: DataFrame, spec: GroupSpec, label: str = TRAINING_LABEL, fit_on: Column | None = None, partitions: int = TreeParams.partitions,
-) -> tuple[PipelineModel, DataFrame]:
-    """Fit the group's preparation on all rows; with it, the label and scaled vector of the rows to train on.
+) -> tuple[PipelineModel, DataFrame, dict[int, Moments]]:
+    """Fit the group's preparation on all rows; with it, the label and scaled vector of the rows to train on, and the profile.
 
-    The vectors are written once, for all models of the group, and dealt out by a hash of the user key, sorted within
-    partitions, so that every fit sees the same rows in the same places. Without a key the features take its part.
+    The table is read once: its features are written, and profile, scaler and vectors come from what was written. Vectors
+    are dealt out by a hash of the user key, sorted within partitions, so that every fit sees the same rows in the same
+    places. Without a key the features take its part. A feature with a gap, which its group has no fill for, raises.
     """
     inputs, vector, scaled = input_columns(spec), vector_column(spec), scaled_column(spec)
     key = ["_key"] if USER_KEY in df.columns else ["label", *inputs]
     marked = df.withColumn("_fit", F.lit(True) if fit_on is None else fit_on).withColumn("_key", F.col(USER_KEY) if USER_KEY in df.columns else F.lit(0))
     named = group_features(marked, spec, True, label, keep=("_fit", "_key")).toDF("_fit", "_key", "label", *inputs)
+    named = materialize(named, "features")
+    profile = exact_moments(column_values(named, ["label", *inputs]))
+    rows = profile[0].count if profile else 0
+    for i, name in enumerate(spec.features, 1):
+        if rows and (i not in profile or profile[i].count < rows or profile[i].mean != profile[i].mean):
+            raise ValueError(f"{name} has null or NaN values, and the group {spec.name} no fill for them")
+    scaler = scaler_of(df.sparkSession, {i - 1: m for i, m in profile.items() if i}, vector, scaled)
     assembler = VectorAssembler(inputCols=inputs, outputCol=vector, handleInvalid="error")
-    assembled = assembler.transform(named).select("_fit", *dict.fromkeys(["label", *key]), vector)
-    scaler = fit_scaler(assembled, vector, scaled)
-    rows = materialize(scaler.transform(assembled.filter("_fit")).select(*dict.fromkeys(["label", *key]), scaled), "training")
-    return PipelineModel([assembler, scaler]), rows.repartition(partitions, *key).sortWithinPartitions(*key).select("label", scaled)
+    fitted = scaler.transform(assembler.transform(named.filter("_fit"))).select(*dict.fromkeys(["label", *key]), scaled)
+    return PipelineModel([assembler, scaler]), fitted.repartition(partitions, *key).sortWithinPartitions(*key).select("label", scaled), profile
 
 
 def train_group(
@@ -181,16 +185,17 @@ def train_group(
     """Fit one group: features, scaler, forest, and boosted trees where the group blends them (or on request).
 
     The scaler sees all rows; ``fit_on`` chooses those that the trees learn from, so that the rest can judge them.
-    Features are computed twice, for the scaler and for the written vectors; MLlib keeps its binned rows itself.
+    The table is read once, and MLlib keeps its binned rows itself. The profile of what was learnt from comes with the model.
     """
     shared_root(df.sparkSession)  # so that boosting rounds can checkpoint
-    prepare, scaled = training_vectors(df, spec, label, fit_on, params.partitions)
+    prepare, scaled, profile = training_vectors(df, spec, label, fit_on, params.partitions)
     want_boosted = spec.gbt_share > 0 if boosted is None else boosted
     return GroupModel(
         spec,
         prepare,
         params.forest(spec).fit(scaled) if forest else None,
         params.boosted(spec).fit(scaled) if want_boosted else None,
+        profile,
     )
 
 
@@ -210,13 +215,20 @@ def train_groups(
         return {m.spec.name: m for m in pool.map(fit, specs, chunksize=1)}
 
 
-def save_models(models: dict[str, GroupModel], base: str) -> None:
-    for name, model in models.items():
-        model.save(f"{base}/{name}")
+def save_models(models: dict[str, GroupModel], base: str) -> int:
+    """Publish the models as the next version under ``base`` and return its number."""
+    from .bundle import write_models  # which needs this module
+
+    return write_models(models, base)
 
 
-def load_models(spark: SparkSession, base: str, specs: Iterable[GroupSpec] = GROUPS.values()) -> dict[str, GroupModel]:
-    return {s.name: GroupModel.load(s, f"{base}/{s.name}") for s in specs}
+def load_models(
+    spark: SparkSession, base: str, specs: Iterable[GroupSpec] = GROUPS.values(), version: int | None = None,
+) -> dict[str, GroupModel]:
+    """The models of one version under ``base``, the latest if none is named, after their files are checked."""
+    from .bundle import read_models
+
+    return read_models(spark, base, specs, version)
 
 
 # --- scoring -------------------------------------------------------------------------------------------------

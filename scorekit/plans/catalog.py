@@ -18,16 +18,18 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..operators import compose, evaluate, profile
 from ..operators.binned import binned_counts
+from ..operators.bundle import model_tables
 from ..operators.features import GROUPS, GroupSpec, assemble, assemble_labeled, assemble_vector, group_features, raw_columns
 from ..operators.models import (
-    GroupModel, TreeParams, hash_bucket, hash_split, random_split, score_groups, train_group,
+    GroupModel, TreeParams, hash_bucket, hash_split, load_models, random_split, save_models, score_groups, train_group,
 )
 from ..operators.scaling import fit_scaler, min_max_scale, scaler_summary, unpack
+from ..operators.tree_table import walk_groups, walk_scores
 from ..sources import readers, sinks
 from ..sources.contracts import SCORING_COLUMNS, SCORING_LABEL, TRAINING_COLUMNS, TRAINING_LABEL, USER_KEY, string_schema
 from ..sources.user_table import load, scoring_table, training_table, user_table
 from ..staging import literal_rows, materialize, new_path
-from .credit_score import credit_score, train_and_evaluate, write_audit
+from .credit_score import committed_scores, credit_score, keyed, score_file, train, train_and_evaluate, write_audit
 from .user_table_sql import USERS_CTE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -504,6 +506,76 @@ def model_roundtrip_equal(spark, sf_dir):
     return model_roundtrip(spark, sf_dir).select(USER_KEY, (F.col("before") == F.col("after")).alias("same"))
 
 
+# The same models as tables, walked by an evaluator of its own: both must say the same of every user.
+
+def _walk_equal(users: DataFrame, spec: GroupSpec, model: GroupModel, column: str) -> DataFrame:
+    base = new_path(users.sparkSession, "model")
+    model.save(base)
+    judged = GroupModel.load(spec, base).predict(users).select(USER_KEY, *raw_columns(spec), F.col(column).alias("_theirs"))
+    walked = walk_groups(judged, model_tables(users.sparkSession, base), [spec])
+    return walked.select(USER_KEY, (F.abs(F.col(column) - F.col("_theirs")) < 1e-9).alias("same"))
+
+
+@query("rf_walk_equal", " SELECT uid_uid, TRUE AS same FROM users")
+def rf_walk_equal(spark, sf_dir):
+    """A forest's predictions, from MLlib and from its table of nodes."""
+    spec = GROUPS["interaction"]
+    users = _group_table(spark, sf_dir, spec)
+    return _walk_equal(users, spec, _train(users, spec), "rf_interaction")
+
+
+@query("gbt_walk_equal", " SELECT uid_uid, TRUE AS same FROM users")
+def gbt_walk_equal(spark, sf_dir):
+    """Boosted trees' predictions, from MLlib and from their table of nodes."""
+    spec = GROUPS["relation"]
+    users = _group_table(spark, sf_dir, spec)
+    return _walk_equal(users, spec, _train(users, spec, forest=False, boosted=True), "gbt_relation")
+
+
+@query("scores_walk_equal", " SELECT uid_uid, TRUE AS people, TRUE AS consuming, TRUE AS financial, TRUE AS interaction, TRUE AS relation FROM users")
+def scores_walk_equal(spark, sf_dir):
+    """The five scores of every user, from stored models and from their tables alone."""
+    specs = list(GROUPS.values())
+    users = materialize(user_table(spark, sf_dir).select(*dict.fromkeys([USER_KEY, TRAINING_LABEL, *raw_columns(*specs)])), "users")
+    base = new_path(spark, "models")
+    save_models(train(users, TreeParams(), 5), base)
+    theirs = score_groups(users, load_models(spark, base), (USER_KEY, *raw_columns(*specs)))
+    theirs = theirs.withColumnsRenamed({s.score_column: f"_{s.name}" for s in specs})
+    ours = walk_scores(theirs, model_tables(spark, base), (USER_KEY, *[f"_{s.name}" for s in specs]))
+    return ours.select(USER_KEY, *[(F.abs(F.col(s.score_column) - F.col(f"_{s.name}")) < 1e-9).alias(s.name) for s in specs])
+
+
+def _profile_sql(spec: GroupSpec) -> str:
+    label = "SELECT 'uid_flag' AS \"column\", count(*) AS \"count\", round(avg(uid_flag), 6) AS mean, round(stddev_samp(uid_flag), 6) AS stddev, min(uid_flag)::DOUBLE AS min, max(uid_flag)::DOUBLE AS max FROM users"
+    return _describe_sql(spec) + " UNION ALL " + label
+
+
+@query("train_submodel_profile", _profile_sql(GROUPS["financial"]))
+def train_submodel_profile(spark, sf_dir):
+    """The profile that comes with a trained group: its label and features over the rows that it was fitted on."""
+    spec = GROUPS["financial"]
+    out = _train(_group_table(spark, sf_dir, spec), spec).profile_table(spark)
+    return _rounded(out, "mean", "stddev", "min", "max")
+
+
+@query("score_stored_batch", " SELECT 'monday' AS batch, uid_uid::VARCHAR AS uid_uid, score::DOUBLE AS score, TRUE AS total_of_parts, TRUE AS forests_bounded FROM users")
+def score_stored_batch(spark, sf_dir):
+    """The whole chain: a training file, models stored from it, a separate scoring file scored with what was stored, and its
+    scores committed as a batch, which is run twice."""
+    users = materialize(user_table(spark, sf_dir), "users")
+    paths = {k: new_path(spark, k) for k in ("training-csv", "scoring-csv", "models", "scores")}
+    sinks.write_csv(training_table(users), paths["training-csv"])
+    sinks.write_csv(scoring_table(users, keyed=True), paths["scoring-csv"])
+    table = materialize(keyed(readers.read_inferred(spark, paths["training-csv"])), "training")
+    save_models(train(table, TreeParams(), 5), paths["models"])
+    for _ in range(2):
+        score_file(spark, paths["scoring-csv"], paths["models"], paths["scores"], "monday")
+    out = committed_scores(spark, paths["scores"])
+    gap = F.abs(F.col("score_all") - compose.weighted_total())
+    forests = [F.col(s.score_column).between(350.0, 850.0) for s in GROUPS.values() if not s.gbt_share]
+    return out.select("batch", USER_KEY, SCORING_LABEL, (gap < 1e-9).alias("total_of_parts"), reduce(and_, forests).alias("forests_bounded"))
+
+
 # --- evaluation on a stand-in prediction ---------------------------------------------------------------------
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,8 @@ def shared_root(spark: SparkSession) -> str:
     """The folder all executors can reach, from ``spark.checkpoint.dir``.
 
     Where that is unset, a folder below the warehouse stands in, as executors share the warehouse too. A warehouse on
-    a local disk (``file:``) is shared only under a local master, so any other master is refused there.
+    a local disk (``file:``) is shared only under a local master, so any other master is refused there; a folder that the
+    setting names is taken at its word, since a mounted file system looks like a local one.
     The Spark context's own checkpoint folder is set to the same place if nobody set it.
     """
     context = spark.sparkContext
@@ -114,3 +116,27 @@ def drop_path(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder, sorted; none if there is no such folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in files.listStatus(folder)) if files.exists(folder) else []
+
+
+def publish(spark: SparkSession, trial: str, final: str) -> bool:
+    """Rename a finished folder to its final name; False if that name is taken, also when two writers try at once. Readers
+    see either nothing under the name or all of it."""
+    fs, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = fs.Path(trial), fs.Path(final)
+    files = source.getFileSystem(conf)
+    files.mkdirs(target.getParent())
+    no_options = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
+    try:
+        fs.FileContext.getFileContext(files.makeQualified(source).toUri(), conf).rename(files.makeQualified(source), files.makeQualified(target), no_options)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" not in error.java_exception.getClass().getName():
+            raise
+        return False
+    return True

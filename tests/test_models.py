@@ -53,13 +53,13 @@ def test_only_people_blend(users, models):
 
 
 def test_saved_models_score_the_same(spark, users, models, tmp_path):
-    save_models(models, str(tmp_path))
-    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(
-        [f"{n}_{s}" for n in GROUPS for s in ("PREP", "RF")] + ["people_GBT"])
+    assert save_models(models, str(tmp_path)) == 1
+    assert sorted(p.name for p in (tmp_path / "v000001").iterdir() if not p.name.startswith(".")) == sorted(
+        [f"{n}_{s}" for n in GROUPS for s in ("PREP", "RF")] + ["people_GBT", "manifest", "nodes", "scaling"])
     loaded = load_models(spark, str(tmp_path))
     a, b = (score_groups(users, m, ("uid_uid",)) for m in (models, loaded))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    save_models(loaded, str(tmp_path))  # replacing is allowed
+    assert save_models(loaded, str(tmp_path)) == 2
 
 
 def test_same_seed_same_predictions(users):
@@ -133,7 +133,7 @@ def test_report_judges_only_held_out_rows(spark, users, tmp_path):
     _, held = hash_split(users, "uid_uid")
     rows = model.predict(held, training=True).select("rf_relation", "uid_flag").collect()
     assert abs(sum((r[0] - r[1]) ** 2 for r in rows) / len(rows) - got["rf", "mse"]) < 1e-9
-    assert {p.name for p in tmp_path.iterdir()} == {"relation_PREP", "relation_RF", "relation_GBT"}
+    assert set(model.parts()) == set(GroupModel.load(spec, str(tmp_path / "relation")).parts()) == {"PREP", "RF", "GBT"}
 
 
 def test_scaler_sees_all_rows_and_trees_only_theirs(users):
