@@ -63,19 +63,51 @@ def _group_users(spark: SparkSession, sf_dir: str, spec: GroupSpec) -> DataFrame
 # --- sources and sinks ---------------------------------------------------------------------------------------
 
 @query("csv_scan_inferred", """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderday,
-       o_orderpriority FROM orders""")
+SELECT o_orderkey::INT AS o_orderkey, o_custkey::INT AS o_custkey, o_orderstatus, o_totalprice,
+       strftime(o_orderdate, '%Y-%m-%d') AS o_orderday, o_orderpriority FROM orders""")
 def csv_scan_inferred(spark, sf_dir):
     path = new_path(spark, "orders-csv")
     sinks.write_csv(load(spark, sf_dir, "orders"), path)
     df = readers.read_inferred(spark, path)
-    # Inference picks the narrowest integer type that fits; the key's type must not depend on the data.
     return df.select(
-        F.col("o_orderkey").cast("bigint"), F.col("o_custkey").cast("bigint"), "o_orderstatus", "o_totalprice",
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderday"), "o_orderpriority",
     )
 
 
+def _fits_sql(column: str, kind: str, bits: tuple[str, ...]) -> str:
+    counts = ", ".join(f"{f'count({column})' if t in bits else '0::BIGINT'} AS n_{t}" for t in readers.TYPES)
+    return f"SELECT '{column}' AS \"column\", '{kind}' AS type, count({column}) AS \"count\", {counts} FROM orders"
+
+
+@query("inferred_types", " UNION ALL ".join(_fits_sql(c, k, b) for c, k, b in [
+    ("o_orderkey", "int", ("int", "bigint", "double")), ("o_custkey", "int", ("int", "bigint", "double")), ("o_orderstatus", "string", ()),
+    ("o_totalprice", "double", ("double",)), ("o_orderdate", "timestamp", ("timestamp",)), ("o_orderpriority", "string", ())]))
+def inferred_types(spark, sf_dir):
+    """Which types the fields of a written CSV fit, and what is inferred from it."""
+    path = new_path(spark, "orders-csv")
+    sinks.write_csv(load(spark, sf_dir, "orders"), path)
+    return readers.inferred_types(spark.read.csv(path, header=True))
+
+
+# Orders with two kinds of bad rows: a field too many where the key is a multiple of 50, a word for a price where it is one
+# of 7.
+@query("csv_quarantine", """
+SELECT o_orderkey % 7 = 0 OR o_orderkey % 50 = 0 AS rejected, CASE WHEN o_orderkey % 50 = 0 THEN 'not 3 fields' WHEN o_orderkey % 7 = 0 THEN 'price is no double: much' END AS reason,
+       count(*) AS n_rows, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY ALL""")
+def csv_quarantine(spark, sf_dir):
+    """Good rows and rejected ones, from one pass over a file that holds both."""
+    orders = load(spark, sf_dir, "orders")
+    price = F.when(F.col("o_orderkey") % 7 == 0, "much").otherwise(F.col("o_totalprice").cast("string"))
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), price, "o_orderstatus", F.when(F.col("o_orderkey") % 50 == 0, "more"))
+    path = new_path(spark, "mixed-csv")
+    sinks.write_lines(orders.select(line), path)
+    out = readers.read_quarantined(spark, path, T.StructType.fromDDL("key bigint, price double, status string"), header=False)
+    good = out.good.select(F.lit(False).alias("rejected"), F.lit(None).cast("string").alias("reason"), "key")
+    bad = out.rejected.select(F.lit(True).alias("rejected"), "reason", F.get(F.split("line", ","), F.lit(0)).cast("bigint").alias("key"))
+    return good.unionByName(bad).groupBy("rejected", "reason").agg(F.count("*").alias("n_rows"), F.sum("key").alias("keys"))
+
+
 @query("csv_scan_string", """
 SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus,
        o_totalprice::VARCHAR AS o_totalprice, o_orderpriority FROM orders""")

@@ -43,6 +43,54 @@ def test_bad_rows(spark, tmp_path):
         readers.read_typed(spark, path, schema, on_bad="skip")
 
 
+def test_quarantine(spark, tmp_path):
+    schema = T.StructType.fromDDL("a double, `b c` int, d string")
+    path = lines(tmp_path, "a,b c,d", "1,2,x", "3", "4,5,y,6", "x,7,z", "8,9.5,z", ",,", '1e3,2,"q,r"')
+    out = readers.read_quarantined(spark, path, schema)
+    assert (out.n_good, out.n_rejected) == (3, 4)
+    assert sorted(map(str, map(tuple, out.good.collect()))) == sorted(map(str, [(1.0, 2, "x"), (None, None, None), (1000.0, 2, "q,r")]))
+    bad = {r["line"]: r["reason"] for r in out.rejected.collect()}
+    assert bad == {"3": "not 3 fields", "4,5,y,6": "not 3 fields", "x,7,z": "a is no double: x", "8,9.5,z": "b c is no int: 9.5"}
+    assert {r["file"].rsplit("/", 1)[1] for r in out.rejected.collect()} == {"in.csv"}
+    # Good and bad rows make up the file; what is good is what reading without the bad rows gives.
+    assert out.good.count() + out.rejected.count() == 7
+    assert out.good.exceptAll(readers.read_typed(spark, path, schema, on_bad="drop")).count() == 0
+    empty = readers.read_quarantined(spark, lines(tmp_path, "a,b c,d"), schema)
+    assert (empty.n_good, empty.n_rejected, empty.good.count(), empty.rejected.count()) == (0, 0, 0, 0)
+
+
+def test_fields_are_converted_once_and_rows_judged_whole(spark, tmp_path):
+    path = lines(tmp_path, "a,b", "1,2", "x,3")
+    plan = readers.read_typed(spark, path, double_schema(["a", "b"]), on_bad="drop").select("b")._jdf.queryExecution().optimizedPlan().toString()
+    assert "cast(" not in plan and plan.count("Relation") == 1
+    one = readers.read_quarantined(spark, path, double_schema(["a", "b"]))
+    assert [tuple(r) for r in one.good.select("b").collect()] == [(2.0,)]
+
+
+INFERRED = {
+    "i": (["1", "-2", None], "int", (2, 2, 2, 2, 0, 0, 0)), "l": (["1", "3000000000", None], "bigint", (2, 1, 2, 2, 0, 0, 0)),
+    "f": (["1", "2.5", "1e3"], "double", (3, 1, 1, 3, 0, 0, 0)), "d": (["2016-09-28", "2016-02-29", None], "date", (2, 0, 0, 0, 2, 2, 0)),
+    "t": (["2016-09-28", "2016-09-28 10:00:00", None], "timestamp", (2, 0, 0, 0, 1, 2, 0)), "o": (["true", "FALSE", None], "boolean", (2, 0, 0, 0, 0, 0, 2)),
+    "s": (["2016-02-30", "1", "x"], "string", (3, 1, 1, 1, 0, 0, 0)), "n": ([None, None, None], "string", (0, 0, 0, 0, 0, 0, 0)),
+}
+
+
+def test_inference_over_the_lattice(spark, tmp_path):
+    rows = list(zip(*[v for v, _, _ in INFERRED.values()], strict=True))
+    text = spark.createDataFrame(rows, string_schema(list(INFERRED)))
+    got = {r[0]: (r[1], tuple(r)[2:]) for r in readers.inferred_types(text).collect()}
+    assert got == {n: (t, counts) for n, (_, t, counts) in INFERRED.items()}
+    path = lines(tmp_path, ",".join(INFERRED), *[",".join(c or "" for c in row) for row in rows])
+    assert dict(readers.read_inferred(spark, path).dtypes) == {n: t for n, (_, t, _) in INFERRED.items()}
+
+
+def test_inference_reads_the_file_once(spark, tmp_path):
+    path = lines(tmp_path, "a,b", "1,x")
+    df = readers.read_inferred(spark, path)
+    (tmp_path / "in.csv").unlink()
+    assert [tuple(r) for r in df.collect()] == [(1, "x")]
+
+
 def test_header_must_match_by_name(spark, tmp_path):
     path = lines(tmp_path, "b,a", "1,2")
     with pytest.raises(Exception):
