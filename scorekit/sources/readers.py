@@ -17,6 +17,8 @@ _BAD_ROWS = ("null", "drop", "fail")
 # The lattice of types that text is read as, narrowest first, by the bit that says a value fits. A column has the first
 # type whose bit all its values have; what fits none, and a column without values, is a string.
 TYPES = ("int", "bigint", "double", "date", "timestamp", "boolean")
+_WHOLE = r"^[+-]?[0-9]+$"
+_NUMBER = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|NaN|Inf(inity)?)$"
 _DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 _TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}"
 
@@ -30,8 +32,9 @@ def fitting_types(text: Column) -> Column:
     whole, wide, number = _bit("int") | _bit("bigint") | _bit("double"), _bit("bigint") | _bit("double"), _bit("double")
     day = text.rlike(_DATE) & text.try_cast("date").isNotNull()
     time = text.rlike(_TIME) & text.try_cast("timestamp").isNotNull()
-    mask = F.when(text.try_cast("int").isNotNull(), whole).when(text.try_cast("bigint").isNotNull(), wide)
-    mask = mask.when(text.try_cast("double").isNotNull(), number).when(day, _bit("date") | _bit("timestamp")).when(time, _bit("timestamp"))
+    # A cast that fails costs as much as hundreds of patterns, so only what looks right is cast.
+    large = F.when(text.try_cast("int").isNotNull(), whole).when(text.try_cast("bigint").isNotNull(), wide).otherwise(number)
+    mask = F.when(text.rlike(_WHOLE), F.when(F.length(text) < 10, whole).otherwise(large)).when(text.rlike(_NUMBER), number).when(day, _bit("date") | _bit("timestamp")).when(time, _bit("timestamp"))
     mask = mask.when(F.lower(text).isin("true", "false"), _bit("boolean")).otherwise(0)
     return F.when(text.isNotNull(), mask)
 
