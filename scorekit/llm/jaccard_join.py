@@ -218,7 +218,7 @@ def _links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     near = comps = None
     if k:
         # Members of frequent tokens are compared with one of them first, which gathers groups of near copies.
-        frequent = materialize(heads.join(small_side(stats, k, 64), "t").select("t", "node", "hub"), "members")
+        frequent = materialize(heads.join(small_side(stats, k, 64), "t").select("t", "node", "hub", "k"), "members")
         pairs = frequent.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("shared")).join(classes, "node")
         pairs = materialize(pairs.where(F.col("shared") * 25 >= F.col("n")).select("node", F.col("hub").alias("target")), "pairs")
         placed = _place(classes, None)
@@ -226,7 +226,9 @@ def _links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         near = materialize(_search(rows, placed, asked, pairs.select(F.col("target").alias("node")).distinct()), "near")
         comps = components(near)
 
-    placed = _place(classes, comps)
+    # Documents that share a passage have its most frequent token in common, and so the shards that they are in.
+    homes = frequent.groupBy("node").agg(F.max_by("t", F.struct("k", "t")).alias("home")) if k else None
+    placed = _place(classes, comps, homes)
     pairs = _pairs(heads, nodes, stats, k)
     own, far = placed.select("node", "comp"), placed.select(F.col("node").alias("target"), F.col("comp").alias("other"), "shard")
     pairs = materialize(pairs.join(own, "node").join(far, "target").where("comp <> other"), "pairs")
@@ -264,33 +266,42 @@ def _pairs(heads: DataFrame, nodes: DataFrame, stats: DataFrame, k: int) -> Data
     return met.where((5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & enough).select("node", "target")
 
 
-def _place(classes: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """``node, row, n, comp, shard``: components stay together in a shard, or in as many as their size asks for."""
-    nodes = classes.select("node", "row", "n")
+def _band(n: Column) -> Column:
+    """Sets of similarity 0.8 are in the same band of sizes or in neighbouring ones, as neither is 1.26 times the other."""
+    return F.floor(F.log(n) / math.log(1.26)).cast("int")
+
+
+def _place(classes: DataFrame, comps: DataFrame | None, homes: DataFrame | None = None) -> DataFrame:
+    """``node, row, n, band, comp, shard``: documents of one home, or else of one component, stay together in a shard. Those
+    that are too many are parted by bands of size, and by a hash where a band is too large as well."""
+    nodes = classes.select("node", "row", "n", _band(F.col("n")).alias("band"))
     if comps is None:
         nodes = nodes.withColumn("comp", F.col("node"))
     else:
         nodes = nodes.join(comps.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    nodes = nodes.withColumn("key", F.col("comp")) if homes is None else nodes.join(homes, "node", "left").withColumn("key", F.coalesce("home", "comp"))
     nodes = materialize(nodes, "nodes")
     total = nodes.agg(F.sum("n").alias("n")).first()["n"] or 0
-    large = materialize(nodes.groupBy("comp").agg(F.sum("n").alias("size")).where(f"size > {SHARD}"), "large")
-    parts = nodes.join(small_side(large, large.count(), 48), "comp", "left")
-    piece = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("size", F.lit(1)) / F.lit(float(SHARD))))
-    shard = F.pmod(F.xxhash64(F.col("comp"), piece), F.lit(max(1, -(-total // SHARD))))
-    return materialize(parts.select("node", "row", "n", "comp", shard.alias("shard")), "placed")
+    large = materialize(nodes.groupBy("key").agg(F.sum("n").alias("size")).where(f"size > {SHARD}").select("key"), "large")
+    some = nodes.join(small_side(large, large.count(), 32), "key").groupBy("key", "band").agg(F.ceil(F.sum("n") / F.lit(float(SHARD))).alias("pieces"))
+    some = materialize(some, "bands")
+    parts = nodes.join(small_side(some, some.count(), 48), ["key", "band"], "left")
+    piece = F.when(F.col("pieces").isNotNull(), F.xxhash64("band", F.pmod(F.xxhash64("node"), "pieces"))).otherwise(F.lit(0).cast("long"))
+    shard = F.pmod(F.xxhash64(F.col("key"), piece), F.lit(max(1, -(-total // SHARD))))
+    return materialize(parts.select("node", "row", "n", "band", "comp", shard.alias("shard")), "placed")
 
 
 def _across(frequent: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Queries (node, shard) and documents to index for tokens that hold several components: all members are indexed,
-    and all but those of the largest component look into each shard that holds members of others."""
-    frequent = materialize(frequent.select("t", "node").join(placed.select("node", "comp", "shard"), "node"), "members")
+    and all but those of the largest component look into each shard that holds members of others, of sizes that match."""
+    frequent = materialize(frequent.select("t", "node").join(placed.select("node", "comp", "band", "shard"), "node"), "members")
     held = frequent.groupBy("t", "comp").agg(F.count("*").alias("k"))
     mixed = held.groupBy("t").agg(F.count("*").alias("kinds"), F.max_by("comp", F.struct("k", "comp")).alias("largest")).where("kinds > 1").select("t", "largest")
     mixed = materialize(mixed, "mixed")
     side = small_side(mixed, mixed.count(), 48)
-    homes = frequent.join(side, "t").groupBy("t", "shard").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    small = frequent.join(side, "t").where("comp <> largest").select("t", "node", "comp")
-    asked = small.join(homes, "t").where("low <> high OR low <> comp").select("node", "shard").distinct()
+    homes = frequent.join(side, "t").groupBy("t", "band", "shard").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    small = frequent.join(side, "t").where("comp <> largest").select("t", "node", "comp", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    asked = small.join(homes, ["t", "band"]).where("low <> high OR low <> comp").select("node", "shard").distinct()
     return asked, frequent.join(side, "t", "left_semi").select("node").distinct()
 
 
