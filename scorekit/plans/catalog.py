@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
+from ..functions import whole_numbers as W
 from ..operators import compose, evaluate, profile
 from ..operators.binned import binned_counts
 from ..operators.bundle import model_tables
@@ -27,7 +28,7 @@ from ..operators.scaling import fit_scaler, min_max_scale, scaler_summary, unpac
 from ..operators.tree_table import walk_groups, walk_scores
 from ..sources import readers, sinks
 from ..sources.contracts import SCORING_COLUMNS, SCORING_LABEL, TRAINING_COLUMNS, TRAINING_LABEL, USER_KEY, string_schema
-from ..sources.user_table import load, scoring_table, training_table, user_table
+from ..sources.user_table import bucketed_tables, load, scoring_table, training_table, user_table
 from ..staging import literal_rows, materialize, new_path
 from .credit_score import committed_scores, credit_score, keyed, score_file, train, train_and_evaluate, write_audit
 from .user_table_sql import USERS_CTE
@@ -192,6 +193,15 @@ def select_columns(spark, sf_dir):
     return user_table(spark, sf_dir, _EXPLORE)
 
 
+_BUCKETED = ["com_passenger_count", "com_idno_count", "ord_success_order_count", "bil_payord_count"]
+
+
+@query("user_table_bucketed", f"SELECT uid_uid, {', '.join(_BUCKETED)} FROM users")
+def user_table_bucketed(spark, sf_dir):
+    """Columns that need lines and their orders, from tables bucketed by order key."""
+    return user_table(spark, sf_dir, [USER_KEY, *_BUCKETED], bucketed_tables(spark, sf_dir, 8))
+
+
 @query("drop_column", """
 SELECT com_passenger_count::DOUBLE AS com_passenger_count, com_idno_count::DOUBLE AS com_idno_count,
        com_mobile_count::DOUBLE AS com_mobile_count,
@@ -993,6 +1003,21 @@ def factorial_column(spark, sf_dir):
     return lines.select("l_orderkey", "l_linenumber", C.factorial("l_linenumber").cast("string").alias("factorial"))
 
 
+@query("factorial_digits", "SELECT l_orderkey, l_linenumber, factorial((l_quantity::INT % 34))::VARCHAR AS digits FROM lineitem")
+def factorial_digits(spark, sf_dir):
+    """Factorials by limbs, up to the largest that the other engine has a type for."""
+    lines = load(spark, sf_dir, "lineitem")
+    return lines.select("l_orderkey", "l_linenumber", W.factorial_digits(F.col("l_quantity").cast("int") % 34).alias("digits"))
+
+
+@query("square_digits", """SELECT o_orderkey, ((o_orderkey::HUGEINT * 1000000007 * 97 - o_custkey) * (o_orderkey::HUGEINT * 1000000007 * 97 - o_custkey))::VARCHAR AS digits
+FROM orders""")
+def square_digits(spark, sf_dir):
+    """Squares of numbers that are longer than their product's type would allow."""
+    number = F.col("o_orderkey").cast("decimal(20,0)") * F.lit(97_000_000_679).cast("decimal(12,0)") - F.col("o_custkey")
+    return load(spark, sf_dir, "orders").select("o_orderkey", W.square_digits(number.cast("string")).alias("digits"))
+
+
 @query("split_fields", """
 SELECT o_orderkey, string_split(o_orderpriority, '-')[1] AS rank, string_split(o_orderpriority, '-')[2] AS name,
        len(string_split(o_orderpriority, '-'))::INT AS fields FROM orders""")

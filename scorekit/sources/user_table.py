@@ -11,12 +11,13 @@ branches they need, since a left join to a frame with unique keys is dropped whe
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import materialize
+from ..staging import materialize, new_path
 from .contracts import SCORING_COLUMNS, SCORING_LABEL, TRAINING_COLUMNS, TRAINING_LABEL, USER_KEY
 
 # Reference dates, tags and thresholds of the mapping, as SQL predicates over an order.
@@ -277,38 +278,70 @@ def _user_columns() -> dict[str, str]:
 USER_COLUMNS = _user_columns()
 
 
-def user_table(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
+# The tables that are joined at full size, and the key that joins them.
+BUCKET_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
+
+
+def bucketed_tables(spark: SparkSession, sf_dir: str, buckets: int, prefix: str | None = None) -> dict[str, DataFrame]:
+    """Orders and lines written once as tables in ``buckets`` buckets of their order key, sorted within, so that every later
+    join of the two reads matching buckets side by side and moves no row.
+
+    Each bucket is gathered by one task and written as one file; choose as many as make a bucket some hundred megabytes.
+    Tables are named ``<prefix>_orders`` and so on in the session's catalogue, the prefix being made up if none is given,
+    and lie in the shared folder.
+    """
+    prefix = prefix or f"scorekit_{uuid.uuid4().hex}"
+    out = {}
+    for name, key in BUCKET_KEYS.items():
+        rows = load(spark, sf_dir, name).repartition(buckets, key)
+        rows.write.bucketBy(buckets, key).sortBy(key).option("path", new_path(spark, f"bucketed-{name}")).saveAsTable(f"{prefix}_{name}")
+        out[name] = spark.table(f"{prefix}_{name}")
+    return out
+
+
+def order_lines(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """Each line with its order, as far as the measures need them."""
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(*LINE_FACTS)
+
+
+def user_table(
+    spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None, tables: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
     """``uid_uid``, the raw columns that the feature groups read, and both labels; one row per customer.
 
-    Given ``columns``, only those, in that order, and only the branches behind them are planned.
+    Given ``columns``, only those, in that order, and only the branches behind them are planned. ``tables`` stand in for
+    files of the same name, such as :func:`bucketed_tables`.
     """
     wanted = list(USER_COLUMNS) if columns is None else list(dict.fromkeys(columns))
     used = set(re.findall(r"[a-z_]\w*", " ".join(USER_COLUMNS[c] for c in wanted)))
 
+    def source(name: str) -> DataFrame:
+        return tables[name] if tables and name in tables else load(spark, sf_dir, name)
+
     def needed(available: dict[str, str]) -> dict[str, str]:
         return {n: e for n, e in available.items() if n in used}
 
-    out = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    out = source("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     if needed({**ORDER_MEASURES, **ORDER_VARIETY, **LINE_MEASURES, **LINE_VARIETY}):
-        orders = load(spark, sf_dir, "orders")
+        orders = source("orders")
     if chosen := needed(ORDER_MEASURES):
         out = out.join(order_measures(orders, chosen), F.col("c_custkey") == F.col("o_custkey"), "left")
     if chosen := needed(ORDER_VARIETY):
         for part in order_variety(orders, chosen):
             out = out.join(part, F.col("c_custkey") == F.col(part.columns[0]), "left")
     if needed({**LINE_MEASURES, **LINE_VARIETY}):
-        lines = load(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(*LINE_FACTS)
+        lines = order_lines(source("lineitem"), orders)
         if len(needed(LINE_VARIETY)) + bool(needed(LINE_MEASURES)) > 1:
             # The dearest join runs once: its narrow result is written and feeds every branch.
             lines = materialize(lines, "lines")
     if chosen := needed(LINE_MEASURES):
-        measures = line_measures(lines, load(spark, sf_dir, "supplier"), chosen)
+        measures = line_measures(lines, source("supplier"), chosen)
         out = out.join(measures, F.col("c_custkey") == F.col("l_custkey"), "left")
     if chosen := needed(LINE_VARIETY):
         for part in line_variety(lines, chosen):
             out = out.join(part, F.col("c_custkey") == F.col(part.columns[0]), "left")
     if chosen := needed(EVENT_MEASURES):
-        events = event_measures(load(spark, sf_dir, "events"), chosen)
+        events = event_measures(source("events"), chosen)
         out = out.join(events, F.col("c_custkey") == F.col("user_id"), "left")
     return out.select(*[F.expr(USER_COLUMNS[c]).alias(c) for c in wanted])
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorekit.operators.features import GROUPS, raw_columns
-from scorekit.sources.user_table import USER_COLUMNS, user_table
+from scorekit.sources.user_table import USER_COLUMNS, bucketed_tables, load, order_lines, user_table
 
 
 def plan(df):
@@ -117,3 +117,18 @@ def test_repartitioned_input_gives_the_same_table(spark, sf_dir, tmp_path):
 
 def test_keys_are_unique(spark, users):
     assert users.agg(F.count("*") - F.countDistinct("uid_uid")).collect()[0][0] == 0
+
+
+def test_bucketed_tables_are_joined_where_they_lie(spark, sf_dir):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = bucketed_tables(spark, sf_dir, 8)
+        joined = order_lines(tables["lineitem"], tables["orders"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        files = order_lines(load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "orders"))
+        assert "Exchange" in files._jdf.queryExecution().executedPlan().toString()
+        assert joined.exceptAll(files).count() == 0 and files.exceptAll(joined).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
