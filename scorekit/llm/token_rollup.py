@@ -13,7 +13,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import drop_path
+from ..staging import drop_path, materialize
 from .common import small_side
 
 _KEYS = ["doc_id", "source", "lang", "tokenizer"]
@@ -70,7 +70,12 @@ class TokenRollup:
             F.bool_or(F.col("op") == "delete").alias("gone"), F.max(F.when(F.col("op") == "revise", F.col("tokens"))).alias("new"))
         signed = inserted
         if self.committed():
-            old = self.documents().join(small_side(edits, edits.count(), 64), ["doc_id", "tokenizer"])
+            # Only what the edits name is read from the ledger's rows and added up.
+            edits = materialize(edits, "edits")
+            size = edits.agg(F.count("*").alias("n"), F.sum(F.octet_length("tokenizer")).alias("bytes")).first()
+            side = small_side(edits, size["n"] * 96 + (size["bytes"] or 0), 1)
+            old = self._read("ledger", _LEDGER).join(side, ["doc_id", "tokenizer"]).groupBy(*_KEYS).agg(
+                F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), F.first("gone").alias("gone"), F.first("new").alias("new")).where("docs > 0")
             signed = signed.unionByName(old.select(
                 *_KEYS, F.when(F.col("gone"), -F.col("docs")).otherwise(F.lit(0)).cast("long").alias("docs"),
                 F.when(F.col("gone"), -F.col("tokens")).otherwise(F.col("new") * F.col("docs") - F.col("tokens")).cast("long").alias("tokens")))
