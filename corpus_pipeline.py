@@ -16,11 +16,12 @@ from scorekit.staging import materialize
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose keys are in ``dropped``, with all its columns. Few rows are dropped as a rule, so
-    texts stay where they are; if there are many, both sides are shuffled."""
-    dropped = materialize(dropped.select(F.col("row").alias("_dropped")).distinct(), "dropped")
+    """``docs`` without the rows whose ids and keys are in ``dropped``, with all its columns. Few rows are dropped as a rule,
+    so texts stay where they are; if there are many, both sides are shuffled."""
+    dropped = materialize(dropped.select(F.col("row").alias("_dropped"), F.col("doc_id").alias("_dropped_id")).distinct(), "dropped")
     key = row_key(docs["doc_id"], docs["text"])
-    return docs.join(small_side(dropped, dropped.count(), 32), key == dropped["_dropped"], "left_anti")
+    same = (key == dropped["_dropped"]) & docs["doc_id"].eqNullSafe(dropped["_dropped_id"])
+    return docs.join(small_side(dropped, dropped.count(), 48), same, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +33,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near copies the document with the smallest id. Texts without words are in no group and stay."""
     grouped = materialize(jaccard_groups(docs).select("doc_id", "row", "group"), "grouped")
     first = grouped.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n"))
-    many = materialize(first.where("n > 1").select("group", F.col("first.row").alias("kept")), "groups")
+    many = materialize(first.where("n > 1").select("group", F.col("first.row").alias("kept"), F.col("first.doc_id").alias("kept_id")), "groups")
     members = grouped.join(many, "group")
-    out = _without(docs, members.where("row <> kept"))
+    out = _without(docs, members.where("row <> kept OR NOT doc_id <=> kept_id"))
     # Rows alike in id and text have one key; only where such rows exist are texts compared to leave one of them.
-    twice = members.where("row = kept").groupBy("row").agg(F.count("*").alias("n")).where("n > 1")
+    twice = members.where("row = kept AND doc_id <=> kept_id").groupBy("row").agg(F.count("*").alias("n")).where("n > 1")
     if twice.isEmpty():
         return out
     twice = materialize(twice.select(F.col("row").alias("_twice")), "twice")
