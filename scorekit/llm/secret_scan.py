@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +24,26 @@ PATTERNS = {
 }
 MIN_ASSIGNED = 12
 DROP = 12.0
+LEAST = MIN_ASSIGNED // 2 + 1  # characters of a stretch before it is widened
+DIFFERENT = 5  # of twelve random digits, three in a thousand have fewer
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_ASSIGNED},}}"
 WORDLIKE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{3,19}+(?![A-Za-z0-9+/_=-])"
 
+# A labelled sample of what identifiers are made of: words that are common in programs. How they are put together is
+# a rule, see :func:`identifier_samples`.
+NAME_WORDS = """
+account action active address after agent alert allow amount any apply area array async audio author back balance base
+batch before begin block body border bottom bounds branch break buffer build button byte cache call cell center change
+channel char check child class clear click client clone close code color column command comment commit common compare
+config connect console const content context control copy count create current cursor data date debug default delay
+delete detail device dialog disable display document domain download draft driver edit element email empty enable
+encode end engine entity entry equal error event example exception exit export extra factory failure feature fetch
+field file filter final first flag float flush folder font form format frame from function get global grid group
+handle hash header height
+""".split()
+NAME_SHARE = 0.35  # of the ordinary model; the rest are the words of the texts
+
 _SPANS = "array<struct<s:int,e:int,m:string>>"
 
 
@@ -56,11 +73,9 @@ def base_spans(text: Column) -> dict[str, Column]:
     return found | {"assign": F.filter(found["assign"], long_enough)}
 
 
-def mixed(m: Column) -> Column:
-    """Whether a string has 20 characters or two kinds of capitals, small letters and digits. Shorter ones of one kind
-    cannot be told from words that the ordinary samples lack."""
-    kinds = [m.rlike(p).cast("int") for p in ("[A-Z]", "[a-z]", "[0-9]")]
-    return (F.length(m) >= 20) | (kinds[0] + kinds[1] + kinds[2] >= 2)
+def varied(m: Column) -> Column:
+    """Whether a string has :data:`DIFFERENT` characters; runs of one or a few of them are filling, not keys."""
+    return F.size(F.array_distinct(F.split(m, ""))) >= DIFFERENT
 
 
 def blanked(text: Column, spans: Column) -> Column:
@@ -79,14 +94,14 @@ def blanked(text: Column, spans: Column) -> Column:
 
 
 def stretches(gains: Column) -> Column:
-    """Stretches (s, e) of ``MIN_ASSIGNED`` or more characters whose gains, one per pair of neighbours, add up to more
+    """Stretches (s, e) of ``LEAST`` or more characters whose gains, one per pair of neighbours, add up to more
     than nothing: each starts where the running total leaves zero and ends at its peak, and the next one starts where the
     total is back at zero or ``DROP`` below the peak."""
     empty = F.array().cast("array<struct<s:int,e:int>>")
     zero = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), F.lit(0).alias("s"), F.lit(0).alias("e"), empty.alias("out"))
 
     def closed(acc: Column) -> Column:
-        long_enough = acc["e"] - acc["s"] >= MIN_ASSIGNED
+        long_enough = acc["e"] - acc["s"] >= LEAST
         return F.when(long_enough, F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["out"])
 
     def add(acc: Column, gain: Column) -> Column:
@@ -100,14 +115,36 @@ def stretches(gains: Column) -> Column:
     return F.aggregate(gains, zero, add, closed)
 
 
-def train(docs: DataFrame, text: str = "text", sample_docs: int | None = None) -> list[float]:
+def identifier_samples(words: list[str] = NAME_WORDS) -> list[str]:
+    """Ordinary identifiers and paths: each word with others behind it, joined in the ways that programs join them."""
+    out = []
+    for i, a in enumerate(words):
+        b, c, d = (words[(i * k + j) % len(words)] for k, j in ((3, 1), (5, 2), (7, 4)))
+        out += [a + b.title() + c.title(), a.title() + b.title() + d.title(), f"{a}_{b}_{d}", f"{a}_{c}_{i % 30}", f"{a.upper()}_{c.upper()}_{b.upper()}",
+                f"{a}-{b}-{c}", f"{a}/{b}/{c}/{d.title()}{b.title()}", f"{c}{i % 20}/{a}_{b}", f"is{a.title()}{d.title()}", a[:3].upper() + b.title() + c.title()]
+    return out
+
+
+def to_edges(m: Column, y: Column) -> Column:
+    """A stretch of a run, or the whole part between ``/ = _ -`` that it lies in if it covers more than half of that: keys do
+    not begin or end inside a part."""
+    before = F.length(F.regexp_extract(F.substring(m, F.lit(1), y["s"]), "[A-Za-z0-9+]*$", 0))
+    after = F.length(F.regexp_extract(F.substring(m, y["e"] + 1, F.length(m)), "^[A-Za-z0-9+]*", 0))
+    most = y["e"] - y["s"] > before + after
+    return F.when(most, F.struct((y["s"] - before).alias("s"), (y["e"] + after).alias("e"))).otherwise(y)
+
+
+def train(docs: DataFrame, text: str = "text", sample_docs: int | None = None, identifiers: list[str] | None = None) -> list[float]:
     """Log-likelihood ratios, random against ordinary, of each character of the alphabet after each other one.
 
     Samples are labelled by the fixed patterns: what they match is random, other words of up to 19 characters are
     ordinary; longer ones are judged, but not learnt from. They come from
     all documents, of equal texts from one; where ``sample_docs`` is set, from about so many different texts. Half of the
-    random model's weight is uniform, since secrets may use characters that the samples do not.
+    random model's weight is uniform, since secrets may use characters that the samples do not. The ordinary model is a
+    mixture: the words of the texts, and ``identifiers``, samples known to be ordinary (:func:`identifier_samples` if none
+    are given), as texts hardly show how names change case or join words.
     """
+    names = Counter(a + b for name in (identifier_samples() if identifiers is None else identifiers) for a, b in zip(name, name[1:]))
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     hashes = materialize(texts.groupBy("h").agg(F.count("*").alias("n")), "hashes")
     copied = hashes.where("n > 1").select("h")
@@ -139,11 +176,19 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int | None = None) -
     size, ratios = len(ALPHABET), []
     ends = {b: sum(counts.get((False, a + b), 0) for a in ALPHABET) for b in ALPHABET}
     total = sum(ends.values())
+    name_ends = {b: sum(names[a + b] for a in ALPHABET) for b in ALPHABET}
+    name_total = sum(name_ends.values())
+    share = NAME_SHARE if name_total else 0.0
+
+    def backed(n: int, seen: int, end: int, all_ends: int) -> float:
+        return (n + 5 * (end + 0.1) / (all_ends + 0.1 * size)) / (seen + 5)
+
     for a in ALPHABET:
+        named = [names[a + b] for b in ALPHABET]
         seen = {k: [counts.get((k, a + b), 0) for b in ALPHABET] for k in (True, False)}
-        for b, r, o in zip(ALPHABET, seen[True], seen[False], strict=True):
+        for b, r, o, m in zip(ALPHABET, seen[True], seen[False], named, strict=True):
             random = 0.5 * (r + 1) / (sum(seen[True]) + size) + 0.5 / size
-            ordinary = (o + 5 * (ends[b] + 0.1) / (total + 0.1 * size)) / (sum(seen[False]) + 5)
+            ordinary = (1 - share) * backed(o, sum(seen[False]), ends[b], total) + share * backed(m, sum(named), name_ends[b], name_total)
             ratios.append(round(math.log(random / ordinary), 4))
     return ratios
 
@@ -156,7 +201,7 @@ def scan_secrets(
 
     The models judge runs of 12 or more characters in what the spans of patterns leave of the text. They report a run
     with a log-likelihood ratio of at least ``margin`` per character, and of other runs each stretch that has as much
-    (see :func:`stretches`), if they are :func:`mixed`. A null text is empty and has no spans.
+    (see :func:`stretches`), if they are :func:`varied`. A null text is empty and has no spans.
     """
     size = len(ALPHABET)
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # folded into one constant of fixed size
@@ -168,8 +213,8 @@ def scan_secrets(
         codes = F.transform(F.split(x["m"], ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
         gains = let(codes, lambda cs: F.transform(F.sequence(F.lit(1), F.size(cs) - 1), lambda i: F.get(table, F.get(cs, i - 1) * size + F.get(cs, i)) - margin))
         whole = F.array(F.struct(F.lit(0).alias("s"), F.length(x["m"]).alias("e")))
-        parts = let(gains, lambda g: F.when(F.aggregate(g, F.lit(0.0), lambda acc, v: acc + v) >= 0, whole).otherwise(stretches(g)))
-        kept = F.filter(parts, lambda y: mixed(F.substring(x["m"], y["s"] + 1, y["e"] - y["s"])))
+        parts = let(gains, lambda g: F.when(F.aggregate(g, F.lit(0.0), lambda acc, v: acc + v) >= 0, whole).otherwise(F.transform(stretches(g), lambda y: to_edges(x["m"], y))))
+        kept = F.filter(parts, lambda y: (y["e"] - y["s"] >= MIN_ASSIGNED) & varied(F.substring(x["m"], y["s"] + 1, y["e"] - y["s"])))
         return F.transform(kept, lambda y: F.struct((x["s"] + y["s"]).alias("s"), (x["s"] + y["e"]).alias("e")))
 
     found = found.withColumn("rest", blanked(F.col("text"), F.concat(*kinds)))

@@ -46,7 +46,8 @@ def test_patterns_and_models(spark):
     found = dict(got)
     assert found[13] == [(4, "markov", 4 + len(SECRET))]
     assert all(not spans for d, spans in got if d is not None and d >= 100)
-    assert all(not any(k == "markov" for _, k, _ in spans) for d, spans in got if d not in (13, 14))  # 14: an assignment spelt with a letter beyond ASCII
+    assert all(not any(k == "markov" for _, k, _ in spans) for d, spans in got if d not in (8, 13, 14))  # 14: an assignment spelt with a letter beyond ASCII
+    assert [s for s in found[8] if s[1] == "markov"] == [(16, "markov", 32)]  # no pattern has this value, as it follows another one's match
 
 
 def test_sampling_is_bounded_and_no_rows_are_fine(spark):
@@ -98,3 +99,49 @@ def test_all_texts_count_and_copies_count_once(spark):
     more = train(few.unionByName(odd))
     assert more != train(few)
     assert train(few.unionByName(odd.crossJoin(spark.range(3000)).select("text"))) == more
+
+
+# Identifiers that are no samples of the model, as they are found in programs.
+NAMES = """
+getElementByIdAndClassName XMLHttpRequestEventTarget MAX_BUFFER_SIZE_BYTES SparkSessionBuilder
+src/main/java/org/apache/spark/sql/Dataset user_profile_settings_2 isInstanceOfType org/springframework/web/servlet
+NullPointerException customer_shipping_address_line_1 toLocaleDateString onBeforeUnloadListener application-properties
+DEFAULT_REQUEST_TIMEOUT_MS kubernetes-deployment-manifest numberOfOccurrences node_modules/lodash/package
+TransactionManagerImpl background-color-primary py_object_repr_string ThreadPoolExecutorService usr/local/lib/python3
+window_partition_by_key IllegalArgumentException request_id_generator_v2 StringBuilderUtils margin-left-auto-md-4
+calculateMonthlyInterest LinkedHashMapIterator tests/unit/test_models SOCKET_KEEPALIVE_INTERVAL handleKeyboardShortcut
+WebSocketConnection image_thumbnail_width video/mp4/thumbnail_large permission-denied-handler isAuthenticatedUser
+PRIMARY_KEY_CONSTRAINT foreign_key_reference AbstractSingletonProxy com/google/common/collect
+""".split()
+OTHER_WORDS = """
+order invoice customer shipment ticket vendor supplier price discount tax region warehouse stock sensor signal voltage battery camera pixel shader
+texture vertex matrix vector kernel thread mutex socket packet router gateway cluster replica shard snapshot ledger journal cursor scheduler
+""".split()
+
+
+def other_names():
+    r, out = random.Random(4), []
+    for i in range(160):
+        a, b, c = r.sample(OTHER_WORDS, 3)
+        out.append([a + b.title() + c.title(), f"{a}_{b}_{c}", f"{a.title()}{b.title()}Impl", f"{a.upper()}_{b.upper()}_ID", f"{a}/{b}/{c}", f"{a}-{b}-{i % 9}"][i % 6])
+    return out
+
+
+def test_identifiers_are_ordinary_and_keys_of_any_alphabet_are_not(spark, sf_dir):
+    ratios = train(load(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents"))
+    names = NAMES + other_names()
+    found = spans_of(spark, ratios, [f"x {n} x" for n in names])
+    assert len(names) > 200 and sum(bool(found[i]) for i in range(len(names))) <= 8
+    least = {string.ascii_letters + string.digits: 98, string.ascii_letters + string.digits + "+/": 97, string.ascii_lowercase + string.digits: 93,
+             string.ascii_uppercase + string.digits: 96, string.ascii_lowercase: 75, string.ascii_uppercase: 88}
+    for alphabet, bar in least.items():
+        for n in (12, 16, 19, 20, 32, 40):
+            draws = [random.Random(n * 1000 + i) for i in range(100)]
+            found = spans_of(spark, ratios, ["x " + "".join(r.choice(alphabet) for _ in range(n)) + " x" for r in draws])
+            assert sum(any(e - s >= 0.8 * n for s, _, e in spans) for spans in found.values()) >= bar, (alphabet, n)
+
+
+def test_own_samples_of_identifiers(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    text = ["x qzXvkjWqPzzQxvBw x"]
+    assert spans_of(spark, train(docs, identifiers=[]), text)[0] and not spans_of(spark, train(docs, identifiers=["qzXvkjWqPzzQxvBw"] * 500), text)[0]
