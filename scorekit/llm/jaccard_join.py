@@ -27,6 +27,7 @@ GRAM = 5
 COMMON = 16  # documents from which a token counts as common
 COMMON_MOST = 1 << 20  # common tokens at most; more of them raise the number of documents that makes one
 SHARD = 2_000_000  # tokens of the sets in a shard
+ROWS = 1000  # sets that a worker turns into heads at once
 
 
 def token_set(text: Column) -> Column:
@@ -187,17 +188,21 @@ def _heads(rows: DataFrame, classes: DataFrame, common: DataFrame) -> DataFrame:
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The first tokens where the leading part shows them; else none, and ``short`` is set."""
-        for batch in batches:
-            heads, last, short = [], [], []
-            for size, lead, first in zip(batch["n"], batch["lead"], batch["first"], strict=True):
-                often = flagged(first)
-                rare = first[~often][:lead]
-                last.append(int(rare[-1]) if len(rare) == lead else np.iinfo(np.int64).max)
-                if len(rare) < lead and len(first) == size:
-                    rare = np.concatenate([rare, first[often][: lead - len(rare)]])
-                short.append(len(rare) < lead)
-                heads.append(rare if len(rare) == lead else rare[:0])
-            yield batch[["node", "row", "n", "lead"]].assign(head=heads, last=last, short=short)
+        for whole in batches:
+            for a in range(0, len(whole), ROWS):
+                yield picked_of(whole.iloc[a:a + ROWS])
+
+    def picked_of(batch: pd.DataFrame) -> pd.DataFrame:
+        heads, last, short = [], [], []
+        for size, lead, first in zip(batch["n"], batch["lead"], batch["first"], strict=True):
+            often = flagged(first)
+            rare = first[~often][:lead]
+            last.append(int(rare[-1]) if len(rare) == lead else np.iinfo(np.int64).max)
+            if len(rare) < lead and len(first) == size:
+                rare = np.concatenate([rare, first[often][: lead - len(rare)]])
+            short.append(len(rare) < lead)
+            heads.append(rare if len(rare) == lead else rare[:0])
+        return batch[["node", "row", "n", "lead"]].assign(head=heads, last=last, short=short)
 
     picked = materialize(classes.mapInPandas(pick, _HEADS), "picked")
     short = materialize(picked.where("short").select("node", "row", "n", "lead"), "short")
