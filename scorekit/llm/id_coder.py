@@ -1,9 +1,11 @@
 """Token ids as compressed files: an adaptive, context-mixing range coder over independent, checksummed blocks.
 
-Each id is predicted from the two before it (order 2), the one before it (order 1) and the block so far (order 0). The
-two context predictions and their confidence select three sets of adaptive counts, whose sum is the mixed probability
-of which prediction holds; an id that neither gives is coded by its frequency in the block so far, and a new one plainly.
-Blocks reset everything, so any of them can be read alone, and many are coded side by side as lanes of numpy arrays.
+Each id is predicted by the two before it (order 2: one id, learnt in the block or taken from the start table), by the one
+before it (order 1: frequencies of the ids that follow it) and by its own frequency (order 0). How sure order 2 is, and how
+much of its context order 1 covers, pick two rows of adaptive counts; their sum is the mixed probability of which order
+gives the id. Blocks have a fixed length and reset to the start table of their segment: the frequencies, the commonest
+runs of three ids and the rows that the mix starts from, written once, with a checksum. With it any block can be read
+alone, and many are coded side by side as lanes of numpy arrays.
 """
 
 from __future__ import annotations
@@ -12,73 +14,236 @@ import zlib
 
 import numpy as np
 
-FIRST = 512  # ids after which order-0 frequencies are first taken, and again whenever their number has doubled
-PERIOD = 1024  # ids after which the mixing counts are halved
-LONGEST, SHORTEST = 16384, 1024  # ids of a block
+LENGTH = 2048  # ids of a block; the last one of a segment may hold fewer
 LANES = 1024  # blocks coded side by side
-BITS = 10  # of the number of contexts of each order
-NOVEL = 1 << 16  # ids are below this
-_MASK = np.uint64(0xFFFFFFFF)
+TRIAL = 256  # ids of each block from which the starting rows of the mix are learnt
+PERIOD = 512  # ids after which the mixing counts are halved
+BITS = 10  # of the number of order-2 contexts that a block learns
+START_BITS = 18  # of the number of order-2 contexts in a start table
+COUNT_BITS = 22  # of the number of cells in which runs of ids are counted
+COMMON = 6  # times that a run of three ids occurs at least, to be in the start table
+WORTH = 16  # bits that order 1 must save on a pair of ids, to be in the start table
+CONTEXTS, FOLLOWERS = 4096, 1024  # ids with order-1 frequencies, and ids that one of them has; the rest is left to order 0
+SHARE_BITS, PAIR_BITS = 17, 11  # of the sum of order-0 frequencies, and of those of one order-1 context
+STATES = 8  # order 2: no prediction, as the table says, learnt here, and up to five successes; order 1: share covered
+_LEARNT, _SURE, _TOP = 2, 4, STATES - 1
 _WORD = np.uint64(32)
 _LOW = np.uint64(1 << 32)
 _FULL = 0xFFFFFFFFFFFFFFFF
-_PRIOR = np.array([1, 1, 12, 6], dtype=np.uint64)  # counts of: order 2, order 1, order 0, new
-_STEP = np.uint64(8)
+_SHIFTS = np.array([0, PAIR_BITS, SHARE_BITS], dtype=np.uint64)
+_WHOLE = np.uint64(1) << _SHIFTS
+_FIELD, _FIELD2, _FIELD_MASK = np.uint64(16), np.uint64(32), np.uint64(0xFFFF)  # three counts in one number
+_STEPS = np.array([8, 8 << 16, 8 << 32], dtype=np.uint64)
+_HALF, _LEAST = np.uint64(0x7FFF7FFF7FFF), np.uint64(0x000100010001)
+_ROW = 512  # sum of a row at the start, at most
+
+
+def _mixed(before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
+    """Well spread numbers for the order-2 contexts."""
+    return (before2 * 2654435761 + before1 * 40503 + 12345) * 0x9E3779B1 >> 11
+
+
+def _leading(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts to four leading bits: those, and by how much they are shifted."""
+    shifts = np.maximum(np.frexp(counts.astype(np.float64))[1] - 4, 0).astype(np.uint8)
+    return (counts >> shifts).astype(np.uint8), shifts
+
+
+def _runs(ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different numbers of a sorted array, and how often each occurs."""
+    begins = np.flatnonzero(np.diff(ranked, prepend=-1))
+    return ranked[begins], np.diff(begins, append=len(ranked))
+
+
+class Start:
+    """What every block of a segment starts from. It is made from the segment's ids and kept as bytes with a checksum.
+
+    ``known`` are the ids that occur, with their counts. ``pairs`` (id before << 16 | id) are those that order 1 gives, with
+    counts; ``cover`` says for every known id how much of what follows it they are. ``primer`` holds the first places of all
+    runs of three ids that occur often and mostly end alike, joined; order 2 predicts what follows a context there.
+    """
+
+    def __init__(self, known, counts, pairs, pair_counts, cover, primer, rows) -> None:
+        self.known, self.counts, self.pairs, self.pair_counts, self.cover, self.primer, self.rows = (
+            known, counts, pairs, pair_counts, cover, primer, rows)
+        self.size, self.begin = np.zeros(1 << 16, dtype=np.uint64), np.zeros(1 << 16, dtype=np.uint64)
+        size = self._shares(counts[0].astype(np.int64) << counts[1], np.zeros(len(known), dtype=np.int64), SHARE_BITS)
+        self.size[known], self.begin[known] = size, np.cumsum(size) - size
+        self.id_at = np.repeat(known, size)
+        # Order 1: contexts are numbered as they come; a slot of a context leads to its pair.
+        before, group = np.unique(pairs >> 16, return_inverse=True)
+        size = self._shares(pair_counts[0].astype(np.int64) << pair_counts[1], group, PAIR_BITS)
+        self.pair_size = size.astype(np.uint64)
+        self.pair_begin = (np.cumsum(size) - size - (group << PAIR_BITS)).astype(np.uint64)
+        self.pair_at = np.repeat(np.arange(len(pairs), dtype=np.int32), size) if len(pairs) else np.zeros(1, dtype=np.int32)
+        self.pair_id = pairs & 0xFFFF if len(pairs) else np.zeros(1, dtype=np.int64)
+        self.slots = np.zeros(1 << 16, dtype=np.int64)
+        self.slots[before] = np.arange(len(before)) << PAIR_BITS
+        self.state = np.zeros(1 << 16, dtype=np.int64)
+        self.state[known] = cover
+        self.table = np.zeros(1 << START_BITS, dtype=np.int32)
+        if len(primer) > 2:
+            mixed = _mixed(primer[:-2], primer[1:-1])
+            # An id with twelve bits of its context, which tell contexts of one place apart.
+            self.table[mixed & ((1 << START_BITS) - 1)] = (mixed >> START_BITS & 0xFFF) << 19 | primer[2:] << 3 | 1
+
+    @staticmethod
+    def _shares(counts: np.ndarray, group: np.ndarray, bits: int) -> np.ndarray:
+        """Counts made to add up to a power of two within each group (numbered from 0, in order), none of them zero."""
+        if not len(counts):
+            return counts
+        begins = np.flatnonzero(np.diff(group, prepend=-1))
+        room = (1 << bits) - np.diff(begins, append=len(group))
+        size = counts * room[group] // np.add.reduceat(counts, begins)[group] + 1
+        # The rest goes to the first of the largest.
+        largest = np.flatnonzero(size == np.maximum.reduceat(size, begins)[group])
+        _, first = np.unique(group[largest], return_index=True)
+        size[largest[first]] += (1 << bits) - np.add.reduceat(size, begins)
+        return size
+
+    def look(self, before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
+        """What order 2 predicts, with confidence 1, or zero."""
+        mixed = _mixed(before2, before1)
+        found = self.table.take(mixed & ((1 << START_BITS) - 1))
+        return np.where((found >> 19) == (mixed >> START_BITS & 0xFFF), found & 0x7FFFF, 0)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Start:
+        x = ids.astype(np.int64)
+        known, n = _runs(np.sort(x))
+        often = np.zeros(1 << 16, dtype=np.int64)
+        often[known] = n
+        pairs, n_pairs = _runs(np.sort(x[:-1] << 16 | x[1:]))
+        before, after = often[pairs >> 16], often[pairs & 0xFFFF]
+        saved = n_pairs * np.log2(n_pairs * (len(x) / before) / after)
+        for width, most in ((None, CONTEXTS), (16, FOLLOWERS)):
+            kept = saved > WORTH
+            pairs, n_pairs, saved = pairs[kept], n_pairs[kept], saved[kept]
+            if width is None:
+                context, group = np.unique(pairs >> 16, return_inverse=True)
+                best = np.argsort(-np.bincount(group, weights=saved, minlength=len(context)), kind="stable")[most:]
+                saved[np.isin(group, best)] = 0
+            else:
+                order = np.lexsort((-n_pairs, pairs >> width))
+                begins = np.flatnonzero(np.diff(pairs[order] >> width, prepend=-1))
+                rank = np.arange(len(order)) - np.repeat(begins, np.diff(begins, append=len(order)))
+                order = np.sort(order[rank < most])
+                pairs, n_pairs = pairs[order], n_pairs[order]
+        covered = np.bincount(pairs >> 16, weights=n_pairs, minlength=1 << 16).astype(np.int64)[known]
+        cover = np.where(covered > 0, 1 + covered * (_TOP - 1) // n, 0).astype(np.uint8)
+        primer = x[:0]
+        if len(x) > 2:
+            cells = (1 << COUNT_BITS) - 1
+            two = _mixed(x[:-2], x[1:-1])
+            three = ((two ^ x[2:] * 0x85EBCA6B) * 0x9E3779B1 >> 9) & cells
+            two &= cells
+            n2, n3 = np.bincount(two, minlength=cells + 1)[two], np.bincount(three, minlength=cells + 1)[three]
+            first = np.empty(cells + 1, dtype=np.int64)
+            first[three[::-1]] = np.arange(len(three) - 1, -1, -1)
+            wanted = np.flatnonzero((n3 >= COMMON) & (2 * n3 > n2) & (first[three] == np.arange(len(three))))
+            held = np.zeros(len(x), dtype=bool)
+            for k in range(3):
+                held[wanted + k] = True
+            primer = x[held]
+        rows = np.full((2, STATES), 6 | 6 << 16 | 20 << 32, dtype=np.uint64)
+        start = cls(known, _leading(n), pairs, _leading(n_pairs), cover, primer, rows)
+        # The rows of the mix, from a trial of the first ids of all blocks.
+        whole = len(x) // LENGTH
+        if whole:
+            lanes = x[: whole * LENGTH].reshape(whole, LENGTH)[:LANES, :TRIAL]
+            trial = _encode(start, np.ascontiguousarray(lanes), dry=True)
+            seen = np.stack([(trial >> f & _FIELD_MASK).sum(axis=0) for f in (np.uint64(0), _FIELD, _FIELD2)])
+            seen = np.maximum(seen * np.uint64(_ROW) // seen.sum(axis=0), np.uint64(1))
+            start.rows = (seen[0] | seen[1] << _FIELD | seen[2] << _FIELD2).reshape(2, STATES)
+        return start
+
+    def _without_primer(self) -> Start:
+        return Start(self.known, self.counts, self.pairs, self.pair_counts, self.cover, np.zeros(0, dtype=np.int64), self.rows)
+
+    def to_bytes(self) -> bytes:
+        """Lengths, then the arrays, the primer coded without order 2, then a checksum of all of it."""
+        coded = b""
+        if len(self.primer):
+            coded = b"".join(len(b).to_bytes(4, "little") + b for _, _, b in _blocks(self._without_primer(), self.primer))
+        followers = np.zeros(1 << 16, dtype=np.int64)
+        np.add.at(followers, self.pairs >> 16, 1)
+        places = np.searchsorted(self.known, self.pairs & 0xFFFF)  # shorter gaps than those of ids
+        gaps = np.diff(places, prepend=0) % (1 << 16)
+        arrays = [zlib.compress(b"".join(part), 9) for part in (
+            (np.diff(self.known, prepend=0).astype("<u2").tobytes(), *(c.tobytes() for c in self.counts), self.cover.tobytes(),
+             self.rows.astype("<u8").tobytes(), followers[self.known].astype("<u2").tobytes()),
+            ((gaps & 0xFF).astype(np.uint8).tobytes(),), ((gaps >> 8).astype(np.uint8).tobytes(),),
+            (self.pair_counts[0].tobytes(),), (self.pair_counts[1].tobytes(),))]
+        out = np.array([len(self.known), len(self.primer), *map(len, arrays)], dtype="<u4").tobytes() + b"".join(arrays) + coded
+        return out + zlib.crc32(out).to_bytes(4, "little")
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Start:
+        if len(data) < 32 or zlib.crc32(data[:-4]) != int.from_bytes(data[-4:], "little"):
+            raise ValueError("a start table is damaged")
+        n, n_primer, *sizes = np.frombuffer(data, dtype="<u4", count=7).tolist()
+        ends = np.cumsum([28, *sizes]).tolist()
+        main, low, high, lead, shift = (zlib.decompress(data[a:b]) for a, b in zip(ends, ends[1:]))
+        known = np.cumsum(np.frombuffer(main, dtype="<u2", count=n), dtype=np.int64)
+        leading, shifts, cover = np.frombuffer(main, dtype=np.uint8, count=3 * n, offset=2 * n).reshape(3, n)
+        rows = np.frombuffer(main, dtype="<u8", count=2 * STATES, offset=5 * n).astype(np.uint64).reshape(2, STATES)
+        followers = np.frombuffer(main, dtype="<u2", offset=5 * n + 16 * STATES).astype(np.int64)
+        gaps = np.frombuffer(low, dtype=np.uint8).astype(np.int64) | np.frombuffer(high, dtype=np.uint8).astype(np.int64) << 8
+        pairs = np.repeat(known, followers) << 16 | known[np.cumsum(gaps) % (1 << 16)]
+        start = cls(known, (leading, shifts), pairs, (np.frombuffer(lead, dtype=np.uint8), np.frombuffer(shift, dtype=np.uint8)),
+                    cover, np.zeros(0, dtype=np.int64), rows)
+        at, end, blocks = ends[-1], len(data) - 4, []
+        while at < end:
+            size = int.from_bytes(data[at:at + 4], "little")
+            blocks.append(data[at + 4:at + 4 + size])
+            at += 4 + size
+        if not blocks:
+            return start
+        primer = np.concatenate([_decode(start, blocks[a:a + LANES]).reshape(-1) for a in range(0, len(blocks), LANES)])[:n_primer]
+        return cls(known, start.counts, pairs, start.pair_counts, cover, primer, rows)
 
 
 class _Model:
-    """What encoder and decoder both know after the same ids, for the two contexts (first axis) of all lanes (second).
+    """What encoder and decoder both know after the same ids, in all lanes.
 
-    A context's entry in ``table`` holds the id it predicts and, in the last two bits, how often that held of late. By
-    this confidence each context picks a row of counts of what came true; their sum is the mixed distribution.
+    ``table`` holds what a block has learnt for order 2, an id and its confidence; where there is nothing yet, the start
+    table counts. ``rows`` are the counts of what came true, three in one number, for the states of order 2 and order 1.
     """
 
-    def __init__(self, lanes: int) -> None:
-        self.table = np.zeros(lanes << (BITS + 1), dtype=np.int32)
-        self.bases = (np.arange(2 * lanes, dtype=np.int64) << BITS).reshape(2, lanes)
-        self.counts = np.tile(_PRIOR, (lanes * 8, 1))
-        self.flat = self.counts.reshape(-1)
-        self.sets = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) * 4
-        self.fours = np.arange(lanes, dtype=np.int64) * 4
+    def __init__(self, start: Start, lanes: int) -> None:
+        self.table = np.zeros(lanes << BITS, dtype=np.int32)
+        self.bases = np.arange(lanes, dtype=np.int64) << BITS
+        self.rows = np.tile(start.rows.reshape(-1), lanes)
+        self.set2 = np.arange(lanes, dtype=np.int64) * (2 * STATES)
+        self.set1 = self.set2 + STATES
 
     def places(self, before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
         """Where the contexts of the next ids are, of one step (lanes) or of many (steps, lanes)."""
-        both = np.stack(((before2 * 40503 + before1 * 2654435761) >> 7, (before1 * 40503) >> 4), axis=-2)
-        both &= (1 << BITS) - 1
-        both += self.bases
-        return both
+        return (_mixed(before2, before1) & ((1 << BITS) - 1)) + self.bases
 
-    def look(self, at: np.ndarray) -> None:
+    def look(self, at: np.ndarray, started: np.ndarray, covered: np.ndarray) -> None:
         self.at = at
-        self.entry = self.table.take(at)
-        self.ids, self.sure = self.entry >> 2, self.entry & 3
-        self.rows = self.sets + self.sure
-        two = self.counts.take(self.rows, axis=0)
-        self.mixed = two[0] + two[1]
-        self.upto = self.mixed.cumsum(axis=1)
+        entry = self.table.take(at)
+        self.entry = np.where(entry == 0, started, entry)
+        self.ids, self.sure = self.entry >> 3, self.entry & _TOP
+        self.row2, self.row1 = self.set2 + self.sure, self.set1 + covered
+        self.now2, self.now1 = self.rows.take(self.row2), self.rows.take(self.row1)
+        both = self.now2 + self.now1
+        self.two = both & _FIELD_MASK
+        self.one = both >> _FIELD & _FIELD_MASK
+        self.none = both >> _FIELD2
+        self.upto = self.two + self.one
+        self.total = self.upto + self.none
 
     def learn(self, ids: np.ndarray, how: np.ndarray) -> None:
-        self.flat[self.rows * 4 + how] += _STEP
-        lost = np.where(self.sure > 0, self.entry - 1, ids << 2)
-        self.table[self.at] = np.where(self.ids == ids, self.entry + (self.sure < 3), lost)
+        step = _STEPS.take(how)
+        self.rows[self.row2], self.rows[self.row1] = self.now2 + step, self.now1 + step
+        lost = np.where(self.sure > _SURE, self.entry - 2, ids << 3 | _LEARNT)
+        self.table[self.at] = np.where(self.ids == ids, self.entry + (self.sure < _TOP), lost)
 
     def age(self) -> None:
-        """Keeps totals below 2^15, so that both symbols of an id fit between two shifts of the coder."""
-        np.maximum(self.counts >> np.uint64(1), np.uint64(1), out=self.counts)
-
-
-def _frequencies(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids seen so far in order, and for each place where its id begins there and how often it occurs."""
-    ranked = np.sort(np.ascontiguousarray(seen, dtype=np.uint16), axis=1, kind="stable")
-    places = np.arange(ranked.shape[1], dtype=np.int32)
-    change = ranked[:, 1:] != ranked[:, :-1]
-    first = np.zeros(ranked.shape, dtype=np.int32)
-    first[:, 1:] = np.where(change, places[1:], 0)
-    np.maximum.accumulate(first, axis=1, out=first)
-    last = np.full(ranked.shape, ranked.shape[1], dtype=np.int32)
-    last[:, :-1] = np.where(change, places[1:], ranked.shape[1])
-    last = np.ascontiguousarray(np.minimum.accumulate(last[:, ::-1], axis=1)[:, ::-1])
-    return ranked, first, last - first
+        """Keeps the sum of two rows below 2^15, so that both symbols of an id fit between two shifts of the coder."""
+        self.rows = self.rows >> np.uint64(1) & _HALF | _LEAST
 
 
 class _Writer:
@@ -86,13 +251,12 @@ class _Writer:
         self.low, self.range = np.zeros(lanes, dtype=np.uint64), np.full(lanes, _FULL, dtype=np.uint64)
         self.out, self.n = np.zeros((lanes, room), dtype=np.uint32), np.zeros(lanes, dtype=np.int64)
 
-    def put(self, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        share = self.range // total
+    def put(self, share: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         self.low += share * start
         self.range = share * size
 
     def shift(self) -> None:
-        """Write a word where the range has become small. Both symbols of an id together need less than 32 bits."""
+        """Write a word where the range has become small. Both symbols of an id together need at most 32 bits."""
         small = np.flatnonzero(self.range < _LOW)
         if len(small):
             low, span = self.low.take(small), self.range.take(small)
@@ -114,7 +278,7 @@ class _Writer:
 class _Reader:
     def __init__(self, blocks: list[bytes]) -> None:
         lanes = len(blocks)
-        words = [np.frombuffer(b, dtype="<u4") for b in blocks]
+        words = [np.frombuffer(b[: len(b) // 4 * 4], dtype="<u4") for b in blocks]
         self.words = np.zeros((lanes, max(map(len, words)) + 2), dtype=np.uint64)
         for row, w in zip(self.words, words, strict=True):
             row[: len(w)] = w
@@ -122,9 +286,11 @@ class _Reader:
         self.code = (self.words[:, 0] << _WORD) | self.words[:, 1]
         self.n = np.full(lanes, 2, dtype=np.int64)
 
-    def target(self, total: np.ndarray) -> np.ndarray:
-        self.share = self.range // total
-        return np.minimum((self.code - self.low) // self.share, total - np.uint64(1))
+    def target(self, share: np.ndarray, last: np.ndarray | np.uint64) -> np.ndarray:
+        if not share.all():
+            raise ValueError("a block is damaged")  # the range of a sound block is never used up
+        self.share = share
+        return np.minimum((self.code - self.low) // share, last)
 
     def take(self, start: np.ndarray, size: np.ndarray) -> None:
         self.low += self.share * start
@@ -141,116 +307,93 @@ class _Reader:
             self.range[small] = np.where(apart, ~low + np.uint64(1), span) << _WORD
 
 
-def _stretches(length: int) -> list[tuple[int, int]]:
-    """From where to where the same order-0 frequencies hold."""
-    ends = [0, FIRST]
-    while ends[-1] < length:
-        ends.append(ends[-1] * 2)
-    return [(a, min(b, length)) for a, b in zip(ends, ends[1:]) if a < length]
-
-
-def _encode(ids: np.ndarray) -> list[bytes]:
-    """One stream per row of ``ids``."""
+def _encode(start: Start, ids: np.ndarray, dry: bool = False) -> list[bytes] | np.ndarray:
+    """One stream per row of ``ids``; of a dry run, the counts of the mix it ends with, a row for each lane."""
     lanes, length = ids.shape
-    model, writer = _Model(lanes), _Writer(lanes, length + 4)
-    zero, one = np.zeros(lanes, dtype=np.uint64), np.ones(lanes, dtype=np.uint64)
+    model, writer = _Model(start, lanes), _Writer(lanes, length + 4)
     steps = np.zeros((length + 2, lanes), dtype=np.int64)
     steps[2:] = ids.T
-    for t0, t1 in _stretches(length):
-        now = steps[t0 + 2:t1 + 2]
-        start, size = np.zeros(now.shape, dtype=np.uint64), np.zeros(now.shape, dtype=np.uint64)
+    for t0 in range(0, length, PERIOD):
         if t0:
-            ranked, _, often = _frequencies(ids[:, :t0])
-            for lane in range(lanes):
-                place = np.minimum(np.searchsorted(ranked[lane], now[:, lane].astype(np.uint16)), t0 - 1)
-                known = ranked[lane][place] == now[:, lane]
-                start[:, lane], size[:, lane] = place, np.where(known, often[lane][place], 0)
-        seen = size > 0
-        base = np.where(seen, 2, 3)
-        start, size, total = np.where(seen, start, now.astype(np.uint64)), np.maximum(size, one), np.where(seen, np.uint64(t0), np.uint64(NOVEL))
-        places = model.places(steps[t0:t0 + len(now)], steps[t0 + 1:t0 + 1 + len(now)])
-        for k in range(len(now)):
-            if (t0 + k) % PERIOD == 0:
-                model.age()
-            x = now[k]
-            model.look(places[k])
-            how = np.where(model.ids[0] == x, 0, np.where(model.ids[1] == x, 1, base[k]))
-            pick = model.fours + how
-            f = model.mixed.take(pick)
-            writer.put(model.upto.take(pick) - f, f, model.upto[:, 3])
-            plain = how > 1
-            writer.put(np.where(plain, start[k], zero), np.where(plain, size[k], one), np.where(plain, total[k], one))
-            writer.shift()
+            model.age()
+        now = steps[t0 + 2:t0 + 2 + PERIOD]
+        before2, before1 = steps[t0:t0 + len(now)], steps[t0 + 1:t0 + 1 + len(now)]
+        places, started, covered = model.places(before2, before1), start.look(before2, before1), start.state.take(before1)
+        begin, size, base = start.begin.take(now), start.size.take(now), np.full(now.shape, 2)
+        if len(start.pairs):
+            wanted = before1 << 16 | now
+            at = np.minimum(np.searchsorted(start.pairs, wanted), len(start.pairs) - 1)
+            paired = start.pairs.take(at) == wanted
+            begin[paired], size[paired], base[paired] = start.pair_begin.take(at[paired]), start.pair_size.take(at[paired]), 1
+        for k, x in enumerate(now):
+            model.look(places[k], started[k], covered[k])
+            first = model.ids == x
+            how = np.where(first, 0, base[k])
+            if not dry:
+                plain = how == 2
+                from_ = np.where(first, np.uint64(0), np.where(plain, model.upto, model.two))
+                writer.put(writer.range // model.total, from_, np.where(first, model.two, np.where(plain, model.none, model.one)))
+                writer.put(writer.range >> _SHIFTS.take(how), np.where(first, np.uint64(0), begin[k]), np.where(first, np.uint64(1), size[k]))
+                writer.shift()
             model.learn(x, how)
-    return writer.finish()
+    return model.rows.reshape(lanes, -1) if dry else writer.finish()
 
 
-def _decode(blocks: list[bytes], length: int) -> np.ndarray:
+def _decode(start: Start, blocks: list[bytes], length: int = LENGTH) -> np.ndarray:
     lanes = len(blocks)
-    model, reader = _Model(lanes), _Reader(blocks)
+    model, reader = _Model(start, lanes), _Reader(blocks)
     steps = np.zeros((length + 2, lanes), dtype=np.int64)
-    none, one = np.zeros(lanes, dtype=np.int64), np.ones(lanes, dtype=np.uint64)
-    lane = np.arange(lanes, dtype=np.int64)
-    ranked = first = often = np.zeros((lanes, 1), dtype=np.int64)
-    seen, due = 1, dict(_stretches(length))
+    zero, one = np.uint64(0), np.uint64(1)
     for t in range(length):
-        if t and t in due:
-            ranked, first, often = _frequencies(steps[2:t + 2].T)
-            seen = t
-        if t % PERIOD == 0:
+        if t and t % PERIOD == 0:
             model.age()
-        model.look(model.places(steps[t], steps[t + 1]))
-        upto = model.upto
-        got = reader.target(upto[:, 3])
-        how = (upto[:, :3] <= got[:, None]).sum(axis=1)
-        pick = model.fours + how
-        f = model.mixed.take(pick)
-        reader.take(upto.take(pick) - f, f)
-        counted, fresh = how == 2, how == 3
-        got = reader.target(np.where(counted, np.uint64(seen), np.where(fresh, np.uint64(NOVEL), one)))
-        place = lane * seen + np.where(counted, got.astype(np.int64), none)
-        x = np.where(counted, ranked.take(place), np.where(fresh, got.astype(np.int64), np.where(how == 0, model.ids[0], model.ids[1])))
-        reader.take(np.where(counted, first.take(place), np.where(fresh, x, none)).astype(np.uint64), np.where(counted, often.take(place), 1).astype(np.uint64))
+        before2, before1 = steps[t], steps[t + 1]
+        model.look(model.places(before2, before1), start.look(before2, before1), start.state.take(before1))
+        got = reader.target(reader.range // model.total, model.total - one)
+        first, plain = got < model.two, got >= model.upto
+        how = np.where(first, 0, np.where(plain, 2, 1))
+        reader.take(np.where(first, zero, np.where(plain, model.upto, model.two)), np.where(first, model.two, np.where(plain, model.none, model.one)))
+        got = reader.target(reader.range >> _SHIFTS.take(how), _WHOLE.take(how) - one).astype(np.int64)
+        pair = start.pair_at.take(np.where(how == 1, start.slots.take(before1) + got, 0), mode="clip")
+        x = np.where(first, model.ids, np.where(plain, start.id_at.take(got), start.pair_id.take(pair)))
+        begin = np.where(plain, start.begin.take(x), start.pair_begin.take(pair) if len(start.pairs) else zero)
+        size = np.where(plain, start.size.take(x), start.pair_size.take(pair) if len(start.pairs) else one)
+        reader.take(np.where(first, zero, begin), np.where(first, one, size))
         reader.shift()
         model.learn(x, how)
         steps[t + 2] = x
     return steps[2:].T
 
 
-def block_length(n: int) -> int:
-    """Ids of a block when ``n`` are written together: long where there are many, so that enough lanes stay busy."""
-    return max(1, min(n, max(SHORTEST, min(LONGEST, -(-n // LANES)))))
-
-
-def encode(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Blocks of a run of ids below 65536: number of ids, their crc32 as little-endian unsigned 32-bit integers, and the
-    coded bytes. No ids, no blocks."""
-    n, out = len(ids), []
-    length = block_length(n)
-    for a in range(0, n, length * LANES):
-        part = ids[a:a + length * LANES].astype(np.int64)
-        lanes = -(-len(part) // length)
-        grid = np.zeros(lanes * length, dtype=np.int64)
-        grid[: len(part)] = part
-        for k, coded in enumerate(_encode(grid.reshape(lanes, length))):
-            own = part[k * length:(k + 1) * length]
-            # The last block is filled up with zeros, which are coded like ids and dropped by the reader.
-            out.append((len(own), zlib.crc32(own.astype("<u4").tobytes()), length.to_bytes(4, "little") + coded))
+def _blocks(start: Start, ids: np.ndarray) -> list[tuple[int, int, bytes]]:
+    out = []
+    for a in range(0, len(ids), LENGTH * LANES):
+        part = ids[a:a + LENGTH * LANES].astype(np.int64)
+        # The last block is filled up with the commonest id, which is coded like others and dropped by the reader.
+        grid = np.full((-(-len(part) // LENGTH), LENGTH), start.known[np.argmax(start.size[start.known])])
+        grid.reshape(-1)[: len(part)] = part
+        for k, coded in enumerate(_encode(start, grid)):
+            own = part[k * LENGTH:(k + 1) * LENGTH]
+            out.append((len(own), zlib.crc32(own.astype("<u4").tobytes()), coded))
     return out
 
 
-def decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
-    """The ids of any blocks, in the order given. A block whose ids do not have its checksum raises ValueError."""
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(blocks)
-    by_length: dict[int, list[int]] = {}
-    for i, (_, _, b) in enumerate(blocks):
-        by_length.setdefault(int.from_bytes(b[:4], "little"), []).append(i)
-    for length, places in by_length.items():
-        for a in range(0, len(places), LANES):
-            some = places[a:a + LANES]
-            for i, ids in zip(some, _decode([blocks[i][2][4:] for i in some], length), strict=True):
-                n, crc, _ = blocks[i]
-                if zlib.crc32(ids[:n].astype("<u4").tobytes()) != crc:
-                    raise ValueError(f"block {i} is damaged")
-                out[i] = ids[:n]
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+def encode(ids: np.ndarray) -> tuple[bytes, list[tuple[int, int, bytes]]]:
+    """The start table of a run of ids below 65536, and its blocks: number of ids, their crc32 as little-endian unsigned
+    32-bit integers, and the coded bytes. No ids, no blocks."""
+    start = Start.of(ids)
+    return start.to_bytes(), _blocks(start, ids)
+
+
+def decode(table: bytes, blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
+    """The ids of any blocks of the run that ``table`` belongs to, in the order given. A block whose ids do not have its
+    checksum raises ValueError, as does a table that does not."""
+    out = [np.zeros(0, dtype=np.int64)]
+    start = Start.from_bytes(table)
+    for a in range(0, len(blocks), LANES):
+        some = blocks[a:a + LANES]
+        for i, (ids, (n, crc, _)) in enumerate(zip(_decode(start, [b for _, _, b in some]), some, strict=True), a):
+            if zlib.crc32(ids[:n].astype("<u4").tobytes()) != crc:
+                raise ValueError(f"block {i} is damaged")
+            out.append(ids[:n])
+    return np.concatenate(out)

@@ -3,13 +3,14 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scorekit.llm import id_coder
-from scorekit.llm.id_output import FILE_SCHEMA, read_ids, write_ids
+from scorekit.llm.id_output import FILE_SCHEMA, WordIds, read_ids, word_tokenizer, write_ids
 from scorekit.staging import new_path
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -21,25 +22,52 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
     np.minimum(np.random.default_rng(5).zipf(1.2, 40_000), 65535).tolist(),
 ])
 def test_round_trip(ids):
-    blocks = id_coder.encode(np.array(ids, dtype=np.int64))
+    table, blocks = id_coder.encode(np.array(ids, dtype=np.int64))
     assert sum(n for n, _, _ in blocks) == len(ids)
-    assert id_coder.decode(blocks).tolist() == ids
+    assert all(n == id_coder.LENGTH for n, _, _ in blocks[:-1])
+    assert id_coder.decode(table, blocks).tolist() == ids
+
+
+def test_start_tables_keep_to_their_bounds(monkeypatch):
+    monkeypatch.setattr(id_coder, "CONTEXTS", 5)
+    monkeypatch.setattr(id_coder, "FOLLOWERS", 3)
+    ids = np.random.default_rng(2).integers(0, 20, 1500).repeat(4)
+    start = id_coder.Start.of(ids)
+    before, followers = np.unique(start.pairs >> 16, return_counts=True)
+    assert 0 < len(before) <= 5 and followers.max() <= 3
+    assert id_coder.decode(*id_coder.encode(ids)).tolist() == ids.tolist()
 
 
 def test_blocks_stand_alone_and_predictable_ids_shrink():
     ids = np.tile(np.arange(100), 100)
-    blocks = id_coder.encode(ids)
+    table, blocks = id_coder.encode(ids)
     assert len(blocks) > 1
-    assert np.array_equal(np.concatenate([id_coder.decode([b]) for b in blocks]), ids)
-    assert sum(len(b) for _, _, b in blocks) < len(ids)  # less than half of two bytes each
-    assert np.array_equal(id_coder.decode(blocks[::-1]), np.concatenate([id_coder.decode([b]) for b in blocks[::-1]]))
+    assert np.array_equal(np.concatenate([id_coder.decode(table, [b]) for b in blocks]), ids)
+    assert len(table) + sum(len(b) for _, _, b in blocks) < len(ids) // 4  # an eighth of two bytes each
+    assert np.array_equal(id_coder.decode(table, blocks[::-1]), np.concatenate([id_coder.decode(table, [b]) for b in blocks[::-1]]))
 
 
 def test_damage_is_noticed():
-    (n, crc, coded), *_ = id_coder.encode(np.arange(500) * 7 % 1000)
-    broken = coded[:40] + bytes([coded[40] ^ 1]) + coded[41:]
+    table, [(n, crc, coded), *_] = id_coder.encode(np.arange(500) * 7 % 1000)
+    for place in range(0, len(coded), 5):
+        broken = coded[:place] + bytes([coded[place] ^ 1]) + coded[place + 1:]
+        try:
+            assert len(id_coder.decode(table, [(n, crc, broken)])) == n  # the padding of the last block may be hit
+        except ValueError as error:
+            assert "damaged" in str(error)
     with pytest.raises(ValueError, match="damaged"):
-        id_coder.decode([(n, crc, broken)])
+        id_coder.decode(table, [(n, crc, coded[:8] + bytes([coded[8] ^ 64]) + coded[9:])])
+    with pytest.raises(ValueError, match="start table is damaged"):
+        id_coder.decode(table[:20] + bytes([table[20] ^ 1]) + table[21:], [(n, crc, coded)])
+
+
+def test_smaller_than_zlib():
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").sort_values("doc_id")["text"].fillna("").tolist()
+    ids = np.concatenate(WordIds(word_tokenizer(VOCABULARY))(texts))
+    table, blocks = id_coder.encode(ids)
+    size = len(table) + sum(len(b) for _, _, b in blocks)
+    assert size < len(ids), size / len(ids)  # less than a byte an id, start table included
+    assert size < 0.8 * len(zlib.compress(ids.astype("<u2").tobytes()))  # which is one piece, not blocks
 
 
 def expected(rows):
