@@ -64,10 +64,13 @@ def decontaminate(
     marked = materialize(read.select("doc_id", "row", "k.n_words", "k.marks"), "marks")
 
     hashes = windows.select("s", "h").distinct()
-    n_windows = windows.count()
-    pairs = marked.select("row", F.explode("marks").alias("m")).select("row", "m.s", "m.h")
+    held = windows.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("ws", ""))).alias("bytes"), F.sum("s").alias("words")).first()
+    n_windows, window_bytes = held["n"], 64 * held["n"] + (held["bytes"] or 0) + 32 * (held["words"] or 0)
+    # A hash alone may be shared by rows of different ids; ids and hash together tell rows apart, null ids included.
+    key = F.struct("doc_id", "row").alias("key")
+    pairs = marked.select(key, F.explode("marks").alias("m")).select("key", "m.s", "m.h")
     hit_rows = pairs.join(small_side(hashes, n_windows, 64), ["s", "h"], "left_semi").distinct()
-    found = materialize(hit_rows.groupBy("row").agg(F.collect_set(F.struct("s", "h")).alias("found")), "found")
+    found = materialize(hit_rows.groupBy("key").agg(F.collect_set(F.struct("s", "h")).alias("found")), "found")
     n_found = found.agg(F.count("*").alias("n"), F.sum(F.size("found")).alias("m")).first()
 
     # The words around each hit, for the documents that have one.
@@ -81,26 +84,26 @@ def decontaminate(
         parts = [of_span(s) for s in spans]
         return F.concat(*parts) if parts else F.array().cast("array<struct<s:int,h:bigint,at:int,ws:array<string>>>")
 
-    candidates = keyed.select("row", "text").join(small_side(found, (n_found["n"] or 0) * 4 + (n_found["m"] or 0), 32), "row")
-    opened = candidates.select("row", let(words(F.col("text")), lambda ws: sites(ws, F.col("found"))).alias("xs")) \
-        .select("row", F.explode("xs").alias("x")).select("row", "x.*")
-    hits = materialize(opened.join(small_side(windows, n_windows, 256), ["s", "h", "ws"]).select("row", "s", "at", "window"), "hits")
+    candidates = keyed.select(key, "text").join(small_side(found, (n_found["n"] or 0) * 4 + (n_found["m"] or 0), 32), "key")
+    opened = candidates.select("key", let(words(F.col("text")), lambda ws: sites(ws, F.col("found"))).alias("xs")) \
+        .select("key", F.explode("xs").alias("x")).select("key", "x.*")
+    hits = materialize(opened.join(small_side(windows, 1, window_bytes), ["s", "h", "ws"]).select("key", "s", "at", "window"), "hits")
 
-    spots = hits.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("at", "s"))).alias("spots"))
+    spots = hits.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("at", "s"))).alias("spots"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
 
     def cover(acc: Column, x: Column) -> Column:
         end = F.greatest(acc["end"], x["at"] + x["s"])
         return F.struct(end.alias("end"), (acc["total"] + end - F.greatest(acc["end"], x["at"])).alias("total"))
 
-    covered = spots.select("row", F.aggregate("spots", start, cover)["total"].cast("long").alias("n_hit"))
-    named = hits.select("row", "window").distinct().join(small_side(members, members.count(), 64), "window") \
-        .select("row", "item_id").distinct().groupBy("row").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("item_ids"))
-    found_rows = covered.join(named, "row", "left")
+    covered = spots.select("key", F.aggregate("spots", start, cover)["total"].cast("long").alias("n_hit"))
+    named = hits.select("key", "window").distinct().join(small_side(members, members.count(), 64), "window") \
+        .select("key", "item_id").distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("item_ids"))
+    found_rows = covered.join(named, "key", "left")
 
     zero = F.lit(0).cast("long")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return marked.select("doc_id", "row", "n_words").join(found_rows, "row", "left").select(
+    return marked.select("doc_id", "row", "n_words", key).join(found_rows, "key", "left").select(
         "doc_id", "row", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", zero).alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
     )
