@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import new_path
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Words: runs without ASCII white space, and runs of ASCII letters, digits and anything beyond ASCII.
@@ -37,6 +39,13 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, F.isnull(doc_id), text)
 
 
+def materialize_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and its path, for loops that drop a round once the next is written."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` marked for broadcasting if ``rows`` rows of ``row_bytes`` stay within :data:`BROADCAST_BYTES`."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

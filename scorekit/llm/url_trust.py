@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import materialize
-from .common import LOWER, UPPER, small_side
+from ..staging import drop_path, materialize
+from .common import LOWER, UPPER, materialize_at, small_side
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
@@ -34,7 +34,7 @@ def url_path(url: Column) -> Column:
 
 
 def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
-    """Text and verdict of the longest rule that fits; null without one."""
+    """Text and verdict of the longest rule that fits; null without one. For a few rules: each is an expression."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for h, p, v in sorted(rules, key=lambda r: (len(r[0] + r[1]), r)):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -42,6 +42,36 @@ def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
     return name, verdict
 
 
+def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
+    """``places`` (host, path and others) with ``rule`` and ``ruled``, text and verdict of the longest fitting rule, or nulls.
+
+    ``rules`` is a table (host, path, verdict) of any size. Each different place gives the suffixes of its host, at dots, and
+    those prefixes of its path whose length is that of some rule's path; their join with the rules finds all that fit.
+    No suffix has more labels than the longest rule, so hosts of very many labels cost no more than others. Of rules of
+    equal length the one with the greater host, path and verdict wins; rules with a null in them fit nothing.
+    """
+    known = rules.select("host", "path", "verdict").where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").distinct()
+    known = materialize(known, "rules")
+    shape = known.agg(
+        F.count("*").alias("n"), F.sum(F.octet_length(F.concat("host", "path", "verdict"))).alias("bytes"),
+        F.max(F.size(F.split("host", r"\."))).alias("labels"), F.collect_set(F.length("path")).alias("lengths")).first()  # as many as the longest path has characters
+    if not shape["n"]:
+        return places.withColumns({"rule": F.lit(None).cast("string"), "ruled": F.lit(None).cast("string")})
+    lengths = F.array(*[F.lit(n) for n in sorted(shape["lengths"])])
+
+    def suffixes(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(shape["labels"]))), lambda n: F.array_join(F.slice(parts, -n, n), "."))
+
+    heads = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
+    seen = places.select("host", "path").distinct()
+    tries = seen.select("host", "path", F.explode(suffixes(F.split("host", r"\."))).alias("_host")).select("host", "path", "_host", F.explode(heads).alias("_path"))
+    side = small_side(known.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "verdict"), 1, (shape["bytes"] or 0) + 128 * shape["n"])
+    rank = F.struct((F.length("_host") + F.length("_path")).alias("n"), "_host", "_path", "verdict")
+    best = tries.join(side, ["_host", "_path"]).groupBy("host", "path").agg(F.max(rank).alias("best"))
+    best = best.select("host", "path", F.concat("best._host", "best._path").alias("rule"), F.col("best.verdict").alias("ruled"))
+    return places.join(best, ["host", "path"], "left")
+
+
 def host_edges(pages: DataFrame, url: str, html: str) -> DataFrame:
     """Links between different hosts (src, dst, links). Relative links stay on their host and are no edge."""
     found = pages.select(url_host(F.col(url)).alias("src"), F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(HREF), 1).alias("hrefs"))
@@ -70,14 +100,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     sums = start.groupBy("good").agg(F.sum("mass").alias("sum"))
     start = materialize(start.join(F.broadcast(sums), "good").select("good", "host", (F.col("mass") / F.col("sum")).alias("mass")), "seeds")
 
-    ranks = start
+    ranks, spent = start, None
     if not steps.isEmpty():
         for _ in range(rounds):
             sent = ranks.join(steps, (ranks.good == steps.good) & (ranks.host == steps.a)).select(
                 steps.good, F.col("b").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"), F.lit(0.0).alias("old"))
             parts = start.withColumn("old", F.lit(0.0)).unionByName(sent).unionByName(
                 ranks.select("good", "host", F.lit(0.0).alias("mass"), F.col("mass").alias("old")))
-            moved = materialize(parts.groupBy("good", "host").agg(F.sum("mass").alias("mass"), F.sum("old").alias("old")), "ranks")
+            moved, path = materialize_at(parts.groupBy("good", "host").agg(F.sum("mass").alias("mass"), F.sum("old").alias("old")), "ranks")
+            if spent is not None:
+                drop_path(edges.sparkSession, spent)  # nothing reads the round before last any more
+            spent = path
             ranks = moved.select("good", "host", "mass")
             change = moved.agg(F.sum(F.abs(F.col("mass") - F.col("old"))).alias("change"), F.sum("mass").alias("mass")).first()
             if (change["change"] or 0.0) <= tolerance * (change["mass"] or 1.0):
@@ -91,19 +124,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
 
 
 def judge_urls(
-    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, page_id: str = "page_id", url: str = "url",
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame = RULES, page_id: str = "page_id", url: str = "url",
     html: str = "html", majority: float = 0.5, ratio: float = 1.0,
 ) -> DataFrame:
     """A verdict on every page: that of the longest rule that fits its url, else that of its host.
 
-    A host is a trusted (blocked) seed, with its number of pages as weight, if rules allow (block) more than ``majority``
+    ``rules`` are a few (host, path, verdict), or a table with these columns, see :func:`match_rules`. A host is a trusted (blocked) seed, with its number of pages as weight, if rules allow (block) more than ``majority``
     of its pages. It is blocked if its distrust exceeds ``ratio`` times its trust. Hosts that neither reaches, and urls
     without a host, are allowed. Returns one row per input row: ``page_id, host, path, rule, verdict, trust, distrust``;
     a null url, or one without ``://``, has an empty host and path.
     """
     judged = pages.select(F.col(page_id).alias("page_id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    judged = judged.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
+    if isinstance(rules, DataFrame):
+        judged = materialize(match_rules(judged, rules), "ruled")
+    else:
+        rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
+        judged = judged.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
 
     def votes(v: str) -> Column:
         return F.count(F.when(F.col("ruled") == v, 1))

@@ -2,7 +2,10 @@
 
 import numpy as np
 
-from scorekit.llm.url_trust import host_edges, judge_urls, propagate
+from pyspark.sql import functions as F
+
+from scorekit.llm.url_trust import RULES, host_edges, judge_urls, match_rules, propagate
+from scorekit.staging import new_path, path_exists
 
 
 def test_rules_and_parts_of_urls(spark):
@@ -24,6 +27,51 @@ def test_rules_and_parts_of_urls(spark):
     assert got[17][2] is None and got[18][2] is None and len(got) == len(urls)
 
 
+def test_rules_as_a_table(spark):
+    rng = np.random.default_rng(6)
+    labels, ends = ["a", "b", "com", "net", ""], ["", "/", "/e", "/en/", "/en/x", "/😀/"]
+    host = lambda most: ".".join(rng.choice(labels, rng.integers(1, most + 1)))
+    rules = {(host(3), str(rng.choice(ends)), str(rng.choice(["allow", "block"]))) for _ in range(120)} | set(RULES)
+    rules = [r for r in rules if r[0]]
+    places = [(i, host(5), str(rng.choice(ends)) + str(rng.choice(ends))) for i in range(600)]
+    places += [(600, "x." * 20_000 + "com", "/" + "y" * 200_000), (601, "", ""), (601, "", "")]
+
+    def best(h, p):
+        fits = [r for r in rules if (h == r[0] or h.endswith("." + r[0])) and p.startswith(r[1])]
+        top = max(fits, key=lambda r: (len(r[0]) + len(r[1]), *r), default=None)
+        return (top[0] + top[1], top[2]) if top else (None, None)
+
+    table = spark.createDataFrame([(*r, "x") for r in [*rules, *rules[:9], (None, "/", "block")]], "host string, path string, verdict string, rule string")
+    got = match_rules(spark.createDataFrame(places, "page_id bigint, host string, path string"), table).collect()
+    assert sorted(r.page_id for r in got) == sorted(p[0] for p in places)
+    assert sum(r.rule is not None for r in got) > 300
+    assert all((r.rule, r.ruled) == best(r.host, r.path) for r in got)
+
+
+def test_both_forms_of_rules_agree(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").unionByName(
+        spark.createDataFrame([(None, None, None)], "page_id bigint, url string, html string"), allowMissingColumns=True)
+    table = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    want, got = judge_urls(pages), judge_urls(pages, table)
+    want, got = ({r.page_id: r for r in df.collect()} for df in (want, got))
+    assert len(got) == pages.count() and got.keys() == want.keys()
+    for k, r in got.items():  # ranks are sums of doubles, in any order
+        assert r[:5] == want[k][:5] and np.allclose(r[5:], want[k][5:], rtol=1e-9, atol=1e-15)
+    none = judge_urls(pages, table.where(F.lit(False)))
+    assert none.where("rule IS NOT NULL OR verdict = 'block'").isEmpty() and none.count() == pages.count()
+
+
+def test_rounds_are_dropped(spark, monkeypatch):
+    import scorekit.llm.common as common
+
+    paths = []
+    monkeypatch.setattr(common, "new_path", lambda s, n: paths.append(new_path(s, n)) or paths[-1])
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("c", "a", 1)], "src string, dst string, links bigint")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0)], "host string, trust double, distrust double")
+    assert propagate(edges, seeds, tolerance=1e-2).count() == 3
+    assert len(paths) > 2 and [path_exists(spark, p) for p in paths] == [False] * (len(paths) - 1) + [True]
+
+
 def test_edges(spark):
     html = ("<a href='http://B.org/x'>1</a><A class=k HREF=//c.org>2</A><a href=\"/own\">3</a><a href=http://a.org/z>4</a>"
             "<link href='http://no.org/'><a\nhref = \"https://b.org?q\">5</a>")
