@@ -1,7 +1,9 @@
 import math
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from scorekit.functions.whole_numbers import digits_of, factorial_digits, limbs_of, square_digits
 
@@ -40,3 +42,32 @@ def test_limbs_there_and_back(spark):
 def test_the_work_stays_in_the_engine(spark):
     plan = spark.range(1).select(factorial_digits("id"), square_digits("id"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_factorials_where_groups_of_factors_change(spark):
+    ns = [-(2**63), 18, 19, 20, 21, 22, 26, 27, 32, 44, 45, 46, 47, 96, 97, 98, 307, 308, 309, 2080, 2081]
+    got = one(spark.createDataFrame(list(enumerate(ns)), "i int, n bigint").orderBy("i").select(factorial_digits("n")))
+    assert got == [_factorial_text(n) for n in ns]
+
+
+def test_many_factors_are_multiplied_in_at_once(spark):
+    """33! costs a few multiplications of limbs, not 32."""
+    def seconds(n: int) -> float:
+        rows = spark.range(40_000).repartition(4).select(factorial_digits(F.lit(n) + F.col("id") * 0).alias("digits"))
+        took = []
+        for _ in range(3):
+            start = time.monotonic()
+            rows.write.format("noop").mode("overwrite").save()
+            took.append(time.monotonic() - start)
+        return min(took)
+
+    assert seconds(33) < 15 * max(seconds(2), 0.05)
+
+
+def _factorial_text(n: int) -> str:
+    """n! without Python's limit on the length of digits."""
+    value, parts = math.factorial(max(n, 0)), []
+    while value >= 10**1000:
+        value, low = divmod(value, 10**1000)
+        parts.append(str(low).zfill(1000))
+    return "".join([str(value), *reversed(parts)])
