@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +203,25 @@ def test_row_numbers_stay_with_their_rows(spark):
     df = keyed(spark.range(100).select((F.col("id") * 7).alias("v")).repartition(5))
     assert [r["uid_uid"] for r in df.orderBy("v").collect()] == [r["uid_uid"] for r in df.orderBy("v").collect()]
     assert df.select("uid_uid").distinct().count() == 100
+
+
+def test_forest_and_boosted_trees_are_fitted_side_by_side(users, monkeypatch):
+    """Each of the two fits starts only when the other has started, too."""
+    both = threading.Barrier(2, timeout=60)
+
+    def meeting(make):
+        def made(self, spec):
+            estimator = make(self, spec)
+            fit = estimator.fit
+            estimator.fit = lambda df: (both.wait(), fit(df))[1]
+            return estimator
+        return made
+
+    spec = GROUPS["relation"]
+    alone = train_group(users, spec, SMALL), train_group(users, spec, SMALL, forest=False, boosted=True)
+    assert alone[0].boosted is None and alone[1].forest is None
+    monkeypatch.setattr(TreeParams, "forest", meeting(TreeParams.forest))
+    monkeypatch.setattr(TreeParams, "boosted", meeting(TreeParams.boosted))
+    model = train_group(users, spec, SMALL, boosted=True)
+    assert model.forest.toDebugString.split("\n", 1)[1] == alone[0].forest.toDebugString.split("\n", 1)[1]
+    assert model.boosted.toDebugString.split("\n", 1)[1] == alone[1].boosted.toDebugString.split("\n", 1)[1]
