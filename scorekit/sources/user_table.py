@@ -127,8 +127,17 @@ LINE_MEASURES = {
     "_generous": "cast(coalesce(sum(pct_sum) >= 5 * sum(pct_n), false) as bigint)",
 }
 # What the branches below read of a line and its order.
-LINE_FACTS = ["o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice", "l_suppkey", "l_partkey",
-              "l_linenumber", "l_shipdate", "l_discount", "l_extendedprice"]
+LINE_FACTS = {
+    "o_custkey": "o_custkey",
+    "l_suppkey": "l_suppkey",
+    "l_partkey": "l_partkey",
+    "l_linenumber": "l_linenumber",
+    "ok": _where("success"),
+    "flt": _where("success", "flt"),
+    "lead": "cast(datediff(to_date(l_shipdate), to_date(o_orderdate)) as bigint)",
+    "l_discount": "l_discount",
+    "l_extendedprice": "l_extendedprice",
+}
 LINE_VARIETY = {
     "com_passenger_count": "count(l_partkey)",
     "com_mobile_count": "count(l_linenumber)",
@@ -162,16 +171,15 @@ def order_variety(orders: DataFrame, columns: dict[str, str] = ORDER_VARIETY) ->
 def line_measures(lines: DataFrame, suppliers: DataFrame, columns: dict[str, str] = LINE_MEASURES) -> DataFrame:
     """Sums over the customer's lines, with distinct suppliers and supplier nations.
 
-    Groups shrink from (customer, supplier) over (customer, nation) to customer, so each distinct count becomes a
-    plain count of groups and the rows are never replicated.
+    Groups shrink from (customer, supplier) over (customer, nation), where nations are counted, to customer, so each distinct
+    count becomes a plain count of groups and the rows are never replicated.
     """
-    ok, flt = _where("success"), _where("success", "flt")
     facts = lines.selectExpr(
         "o_custkey AS l_custkey",
         "l_suppkey",
-        f"({ok}) AS ok",
-        f"({flt}) AS flt",
-        "cast(datediff(to_date(l_shipdate), to_date(o_orderdate)) as bigint) AS lead",
+        "ok",
+        "flt",
+        "lead",
         CENTS.format("l_discount") + " AS pct",
         # Price and discount have two decimals each, so cents times percent is exact.
         f"{CENTS.format('l_extendedprice')} * {CENTS.format('l_discount')} AS profit",
@@ -195,6 +203,13 @@ def line_measures(lines: DataFrame, suppliers: DataFrame, columns: dict[str, str
     located = per_supplier.join(
         suppliers.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left"
     )
+    if not any("nation" in e for e in columns.values()):
+        # Without a nation to count, (customer, supplier) shrinks to customer at once.
+        counted = located.withColumns({
+            "n_suppliers": F.expr("cast(l_suppkey IS NOT NULL as bigint)"),
+            "n_ok_suppliers": F.expr("cast(l_suppkey IS NOT NULL AND any_ok <=> 1 as bigint)"),
+        })
+        return _aggregate(counted, ["l_custkey"], columns)
     per_nation = _aggregate(
         located,
         ["l_custkey", "s_nationkey"],
@@ -301,7 +316,8 @@ def bucketed_tables(spark: SparkSession, sf_dir: str, buckets: int, prefix: str
 
 def order_lines(lines: DataFrame, orders: DataFrame) -> DataFrame:
     """Each line with its order, as far as the measures need them."""
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(*LINE_FACTS)
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        *[F.expr(e).alias(n) for n, e in LINE_FACTS.items()])
 
 
 def user_table(
@@ -333,7 +349,8 @@ def user_table(
         lines = order_lines(source("lineitem"), orders)
         if len(needed(LINE_VARIETY)) + bool(needed(LINE_MEASURES)) > 1:
             # The dearest join runs once: its narrow result is written and feeds every branch.
-            lines = materialize(lines, "lines")
+            read = LINE_FACTS if needed(LINE_MEASURES) else ("o_custkey", "l_partkey", "l_linenumber")
+            lines = materialize(lines.select(*read), "lines")
     if chosen := needed(LINE_MEASURES):
         measures = line_measures(lines, source("supplier"), chosen)
         out = out.join(measures, F.col("c_custkey") == F.col("l_custkey"), "left")

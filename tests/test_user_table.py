@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorekit.operators.features import GROUPS, raw_columns
+from scorekit.sources import user_table as module
 from scorekit.sources.user_table import USER_COLUMNS, bucketed_tables, load, order_lines, user_table
 
 
@@ -132,3 +133,25 @@ def test_bucketed_tables_are_joined_where_they_lie(spark, sf_dir):
         assert joined.exceptAll(files).count() == 0 and files.exceptAll(joined).count() == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_lines_are_written_with_no_more_than_the_branches_read(spark, skewed, monkeypatch):
+    written = []
+    monkeypatch.setattr(module, "materialize", lambda df, name: written.append(df.columns) or df)
+    user_table(spark, skewed[0])
+    facts = ["o_custkey", "l_suppkey", "l_partkey", "l_linenumber", "ok", "flt", "lead", "l_discount", "l_extendedprice"]
+    assert written == [facts]
+    written.clear()
+    user_table(spark, skewed[0], ["com_passenger_count", "com_mobile_count"])
+    assert written == [["o_custkey", "l_partkey", "l_linenumber"]]
+
+
+def test_nations_are_grouped_only_where_they_are_counted(spark, skewed):
+    base = skewed[0]
+    names = ["com_idno_count", "ord_success_order_cmobile_count", "pro_advanced_date", "pro_generous_stingy_tag", "pro_ctrip_profits"]
+    some, more = user_table(spark, base, ["uid_uid", *names]), user_table(spark, base, ["uid_uid", *names, "ord_success_order_acity_count"])
+    assert "keys=[l_custkey" in plan(some) and "s_nationkey" not in plan(some) and "s_nationkey" in plan(more)
+    assert sorted(some.collect()) == sorted(r[:-1] for r in more.collect())
+    twice = {"supplier": load(spark, base, "supplier").unionByName(load(spark, base, "supplier").where("s_suppkey < 4"))}
+    some, more = (user_table(spark, base, df.columns, twice) for df in (some, more))
+    assert sorted(some.collect()) == sorted(r[:-1] for r in more.collect())
